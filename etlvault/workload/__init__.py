@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("vault_queries",)
+_MODULES = ("vault_queries", "recon_queries")
 
 
 def _merged(attribute: str) -> dict:
