@@ -6,6 +6,7 @@ reference rule adds one aggregate over its own column only.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -30,8 +31,6 @@ DIMENSIONS = {
 EMAIL_PATTERN = r"^[a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,}$"
 MIN_DATE = "1900-01-01"
 
-_ROWS = ("SCALAR", "rows_checked", "actual_failures")
-
 
 def dimensions(spark) -> DataFrame:
     return spark.createDataFrame(list(DIMENSIONS.items()), "dimension string, description string")
@@ -54,6 +53,7 @@ def failure(df: DataFrame, name: str, rule: Rule) -> Column | None:
     if check == "NOT_NULL":
         tests = [column.isNull()]
     elif check == "REGEX":
+        re.compile(rule["pattern"])
         tests = [~F.regexp_like(column.cast("string"), F.lit(f"^(?:{rule['pattern']})"))]
     elif check == "RANGE":
         value = _number(column, kind)
@@ -119,7 +119,8 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], table: str | None = None,
              parents: Mapping[str, DataFrame] | None = None) -> DataFrame:
     """One result row per rule: failures, rows checked, pass rate and status.
 
-    A rule on an absent column, or needing a parent table not given, is SKIPPED.
+    A rule on an absent column, or needing a parent table not given, is SKIPPED; one that
+    is itself wrong (no or bad pattern, missing bound) is an ERROR with pass rate 0.
     """
     spark, parents = df.sparkSession, parents or {}
     scalar: list[Column] = []
@@ -128,8 +129,13 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], table: str | None = None,
     for i, rule in enumerate(rules):
         name, note, status = resolve(df, rule["column"]), None, None
         check = rule["check_type"]
-        test = failure(df, name, rule) if name else None
-        if name is None:
+        try:
+            test = failure(df, name, rule) if name else None
+        except (KeyError, TypeError, re.error) as problem:
+            test, status, note = None, "ERROR", f"{type(problem).__name__}: {problem}"
+        if status == "ERROR":
+            pass
+        elif name is None:
             status, note = "SKIPPED", f"Column '{rule['column']}' is not in the table"
         elif check == "UNIQUE":
             results.append(_unique(df, name).withColumn("i", F.lit(i)))
@@ -156,7 +162,8 @@ def evaluate(df: DataFrame, rules: Sequence[Rule], table: str | None = None,
     return head.join(measured, "i", "left").select(
         "rule_id", "dimension", "table", "column", "check_type", "threshold",
         F.coalesce(n, F.lit(0)).alias("rows_checked"), F.coalesce(f, F.lit(0)).alias("actual_failures"),
-        F.when(n > 0, F.round((n - f) * F.lit(100.0) / n, 2)).otherwise(F.lit(100.0)).alias("pass_rate"),
+        F.when(F.col("preset") == "ERROR", F.lit(0.0))
+        .when(n > 0, F.round((n - f) * F.lit(100.0) / n, 2)).otherwise(F.lit(100.0)).alias("pass_rate"),
         F.coalesce("preset", F.when(f <= F.col("threshold"), "PASS").otherwise("FAIL")).alias("status"), "note")
 
 
