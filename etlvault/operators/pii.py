@@ -41,17 +41,21 @@ def _octets(hit: Column) -> Column:
 
 
 # Patterns and scores; list order breaks ties between hits that start together.
-_DIGIT, _AT = "[0-9]", "@"
+_AT = "@"
+_SSN_FORM, _DATE_FORM = "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{4}-[0-9]{2}-[0-9]{2}"
 _WORD_RUN = r"[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*"
 RECOGNISERS = (
     Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "", 1.0, _AT),
-    Recogniser("US_SSN", _WORD_RUN, r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$", 0.85, _DIGIT),
+    Recogniser("US_SSN", _WORD_RUN, f"^{_SSN_FORM}$", 0.85, _SSN_FORM),
     Recogniser("CREDIT_CARD", r"[0-9]+(?:[ -][0-9]+)*",
-               r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$", 1.0, _DIGIT, luhn),
-    Recogniser("IP_ADDRESS", r"[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", 0.95, _DIGIT, _octets),
-    Recogniser("DATE_TIME", _WORD_RUN, r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$", 0.6, _DIGIT),
+               r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$", 1.0,
+               "[0-9](?:[ -]?[0-9]){12}", luhn),
+    Recogniser("IP_ADDRESS", r"[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", 0.95,
+               r"[0-9]\.[0-9]{1,3}\.[0-9]", _octets),
+    Recogniser("DATE_TIME", _WORD_RUN, r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$", 0.6, _DATE_FORM),
     Recogniser("PHONE_NUMBER", r"\+?[0-9(][0-9() .-]*[0-9]",
-               r"^(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$|^\+[0-9]{1,3}[ .-]?[0-9]{4,12}$", 0.75, _DIGIT),
+               r"^(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$|^\+[0-9]{1,3}[ .-]?[0-9]{4,12}$", 0.75,
+               r"[ .-][0-9]{4}|\+[0-9]"),
 )
 
 # Score a hit must reach, per entity, and the single threshold of the plain form.
@@ -99,19 +103,20 @@ def cell_hits(value: Column, recognisers: Sequence[Recogniser] = RECOGNISERS,
     return F.array_sort(F.concat(*[F.coalesce(h, blank) for h in per_entity]))
 
 
+def _cells(df: DataFrame, row_id: str, columns: Sequence[str] | None) -> DataFrame:
+    """The string cells in long form, blank ones left out."""
+    columns = list(columns or string_columns(df))
+    empty = F.array().cast("array<struct<column_name:string,v:string>>")
+    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).alias("v")) for c in columns]) if columns else empty
+    return df.select(col(row_id).alias("row_id"), F.inline(cells)).filter(F.trim("v") != "")
+
+
 def detect(df: DataFrame, row_id: str, columns: Sequence[str] | None = None,
            recognisers: Sequence[Recogniser] = RECOGNISERS, threshold: float | None = None) -> DataFrame:
     """One row per hit in any string column: column, row, entity, confidence and span. No shuffle."""
-    columns = list(columns or string_columns(df))
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), cell_hits(col(c), recognisers, threshold).alias("h")) for c in columns])
-    if not columns:
-        cells = F.array().cast("array<struct<column_name:string,h:array<struct<start_char:int,priority:int,"
-                               "end_char:int,entity_type:string,confidence:double>>>>")
-    return (
-        df.select(col(row_id).alias("row_id"), F.inline(cells))
-        .select("row_id", "column_name", F.inline("h"))
-        .select("column_name", "row_id", "entity_type", "confidence", "start_char", "end_char")
-    )
+    found = _cells(df, row_id, columns).select("row_id", "column_name", cell_hits(F.col("v"), recognisers, threshold).alias("h"))
+    return found.select("row_id", "column_name", F.inline("h")).select(
+        "column_name", "row_id", "entity_type", "confidence", "start_char", "end_char")
 
 
 def column_summary(detections: DataFrame, df: DataFrame, dataset: str, run_ts: str,
@@ -149,25 +154,22 @@ def anonymise(df: DataFrame, dataset: str, run_ts: str, row_id: str, columns: Se
               recognisers: Sequence[Recogniser] = RECOGNISERS) -> DataFrame:
     """The frame with every cell that holds PII masked whole, by its first hit. One projection."""
     columns = list(columns or string_columns(df))
+    # named first, so that a detection is evaluated once and not per branch of the mask
+    entities = {c: F.get(cell_hits(col(c), recognisers), F.lit(0))["entity_type"] for c in columns}
+    found = df.withColumns({f"__e_{c}": e for c, e in entities.items()})
     out = []
     for c in df.columns:
-        if c in columns:
-            entity = F.get(cell_hits(col(c), recognisers), F.lit(0))["entity_type"]
-            out.append(F.when(entity.isNotNull(), mask(col(c), entity)).otherwise(col(c)).alias(c))
-        else:
-            out.append(col(c))
-    return df.select(F.lit(dataset).alias("dataset_name"), F.lit(run_ts).alias("run_timestamp"),
+        entity = col(f"__e_{c}")
+        out.append(F.when(entity.isNotNull(), mask(col(c), entity)).otherwise(col(c)).alias(c) if c in columns else col(c))
+    return found.select(F.lit(dataset).alias("dataset_name"), F.lit(run_ts).alias("run_timestamp"),
                      col(row_id).alias("row_index"), *out)
 
 
 def vault_cells(df: DataFrame, row_id: str, dataset: str, run_ts: str, key_id: str, key: str | None = None,
                 columns: Sequence[str] | None = None, recognisers: Sequence[Recogniser] = RECOGNISERS) -> DataFrame:
     """Detections with masked value and encrypted original of their cell, one row per hit."""
-    columns = list(columns or string_columns(df))
     k = secret(df.sparkSession, key)
-    cells = F.array(*[F.struct(F.lit(c).alias("column_name"), col(c).alias("v"), cell_hits(col(c), recognisers).alias("h"))
-                      for c in columns])
-    rows = df.select(col(row_id).alias("row_id"), F.inline(cells)).filter(F.size("h") > 0)
+    rows = _cells(df, row_id, columns).withColumn("h", cell_hits(F.col("v"), recognisers)).filter(F.size("h") > 0)
     sealed = rows.select("row_id", "column_name", "v", encrypt(F.col("v"), k).alias("encrypted_value"), F.inline("h"))
     return sealed.select(
         F.lit(dataset).alias("dataset_name"), F.lit(run_ts).alias("run_timestamp"), "column_name", "row_id",
