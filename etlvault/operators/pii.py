@@ -1,8 +1,9 @@
 """Pattern-based PII: detection with spans, column summary, masking, encryption, restore.
 
-A recogniser reads a value in two steps: ``token`` takes maximal runs of the characters
-an entity may consist of, ``accept`` tests a whole run. Neighbouring text can then never
-be part of a hit, and no look-around is needed. All work is built-in expressions.
+A recogniser reads a value in two steps: ``token`` cuts it into candidates, taking runs
+that touch further word characters whole, and ``accept`` tests a candidate from end to
+end. A hit is then never part of a longer run, without look-around. All work is built-in
+expressions.
 """
 
 from __future__ import annotations
@@ -47,15 +48,17 @@ _WORD_RUN = r"[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*"
 RECOGNISERS = (
     Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "", 1.0, _AT),
     Recogniser("US_SSN", _WORD_RUN, f"^{_SSN_FORM}$", 0.85, _SSN_FORM),
-    Recogniser("CREDIT_CARD", r"[0-9]+(?:[ -][0-9]+)*",
+    Recogniser("CREDIT_CARD", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]+|[0-9]{4}[ -][0-9]{6}[ -][0-9]+|[A-Za-z0-9_]+",
                r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$", 1.0,
                "[0-9](?:[ -]?[0-9]){12}", luhn),
     Recogniser("IP_ADDRESS", r"[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", 0.95,
                r"[0-9]\.[0-9]{1,3}\.[0-9]", _octets),
     Recogniser("DATE_TIME", _WORD_RUN, r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$", 0.6, _DATE_FORM),
-    Recogniser("PHONE_NUMBER", r"\+?[0-9(][0-9() .-]*[0-9]",
-               r"^(?:\+1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}$|^\+[0-9]{1,3}[ .-]?[0-9]{4,12}$", 0.75,
-               r"[ .-][0-9]{4}|\+[0-9]"),
+    Recogniser("PHONE_NUMBER", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}[0-9]*"
+               r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}[0-9]*|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]+|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]+"
+               r"|[A-Za-z0-9_]+(?:\.[0-9]+)*",
+               r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}$|^\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}$"
+               r"|^\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", 0.75, r"[ .-][0-9]{4}|\+[0-9]"),
 )
 
 # Score a hit must reach, per entity, and the single threshold of the plain form.

@@ -151,9 +151,15 @@ def descriptive(df: DataFrame, dataset: str, run_ts: str, columns: Sequence[str]
 def correlations(df: DataFrame, dataset: str, run_ts: str, columns: Sequence[str] | None = None,
                  digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair of numeric columns, by name order; undefined pairs are left out."""
+    def pearson(a: str, b: str) -> Column:
+        x, y = col(a).cast("double"), col(b).cast("double")
+        # over the rows that have both; the built-in correlation fails on a constant column
+        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
     columns = sorted(columns or numeric_columns(df))
     pairs = [F.struct(F.lit("pearson").alias("correlation_type"), F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                      F.round(F.corr(col(a).cast("double"), col(b).cast("double")), digits).alias("correlation_value"))
+                      F.round(pearson(a, b), digits).alias("correlation_value"))
              for a, b in combinations(columns, 2)]
     found = df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
     value = F.col("correlation_value")

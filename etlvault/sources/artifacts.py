@@ -59,8 +59,7 @@ def _none(spark: SparkSession, fields: dict[str, str]) -> DataFrame:
 def read_files(spark: SparkSession, path: str | Sequence[str], extensions: Sequence[str] | None = None,
                recursive: bool = True) -> DataFrame:
     """Files as rows ``(path, content)``, whole texts, optionally by extension in any case."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", str(recursive).lower())
-    files = reader.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=recursive).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("content"))
     if extensions is None:
         return files
     return files.filter(extension(F.col("path")).isin([e.lower() for e in extensions]))

@@ -69,16 +69,18 @@ def _hits_sql(source: str) -> str:
     """Hits with spans: runs and gaps of each token pattern, summed up in order."""
     parts = []
     for i, r in enumerate(pii.RECOGNISERS):
+        accepted = f"regexp_matches(x, '{r.accept}')" if r.accept else "true"
+        # texts without an accepted candidate need no spans
         parts.append(f"""
-          select row_id, column_name, v, '{r.entity}' as entity_type, {i} as priority, {r.score} as score, {r.weak_score} as weak,
+          select * from (select row_id, column_name, v, '{r.entity}' as entity_type, {i} as priority, {r.score} as score, {r.weak_score} as weak,
                  '{r.accept}' as accept, regexp_extract_all(v, '{r.token}') as runs, regexp_split_to_array(v, '{r.token}') as gaps
-          from ({source})""")
+          from ({source})) where len([x for x in runs if {accepted}]) > 0""")
     return f"""
 runs as ({' union all '.join(parts)}),
 pos as (
   select row_id, column_name, entity_type, priority, score, weak, accept, unnest(runs) as run,
          unnest([length(gaps[x]) for x in range(1, len(runs) + 1)]) as gap,
-         unnest(range(1, len(runs) + 1)) as i, v from runs where len(runs) > 0),
+         unnest(range(1, len(runs) + 1)) as i from runs),
 spans as (
   select *, sum(gap + length(run)) over (partition by row_id, column_name, entity_type order by i) as e from pos),
 digits as (
