@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etlvault.functions.columns import col
+from etlvault.session import cut_lineage
 
 # Fixed values of the detectors.
 TREES, SAMPLE_ROWS, CONTAMINATION, SEED = 100, 256, 0.05, 42
@@ -145,7 +146,8 @@ def isolation_flags(df: DataFrame, row_id: str, features: str = "features", tree
                     contamination: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
     """Add ``if_score`` and ``if_anomaly``."""
     score = isolation_score(df.sparkSession, grow_forest(df, row_id, features, trees, rows, seed), rows)
-    scored = df.withColumn("if_score", score(vector_to_array(col(features))))
+    # read twice, for the cut and for the flags, while scoring is the costly step
+    scored = cut_lineage(df.withColumn("if_score", score(vector_to_array(col(features)))))
     return _flag_above(scored, "if_score", 1 - contamination, "if_anomaly")
 
 

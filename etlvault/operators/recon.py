@@ -94,6 +94,11 @@ def aggregate_compare(source: DataFrame, target: DataFrame, columns: Sequence[st
     pair = both.groupBy("column", "aggregate").agg(
         F.max(F.when(F.col(_SIDE) == "S", F.col("v"))).alias("s"),
         F.max(F.when(F.col(_SIDE) == "T", F.col("v"))).alias("t"))
+    return _with_tolerance(pair, tolerance_pct)
+
+
+def _with_tolerance(pair: DataFrame, tolerance_pct: float, keep: Sequence[str] = ()) -> DataFrame:
+    """Compare rows ``(column, aggregate, s, t)`` within a percentage of the source value."""
     diff = F.abs(F.col("s") - F.col("t"))
     pct = F.when(F.col("s") != 0, diff / F.nullif(F.abs(F.col("s")), F.lit(0.0)) * 100).when(
         F.col("t") == 0, F.lit(0.0)).otherwise(F.lit(100.0))
@@ -106,7 +111,7 @@ def aggregate_compare(source: DataFrame, target: DataFrame, columns: Sequence[st
         F.when(status == "PASS", F.format_string("%s(%s) matches within tolerance.", "aggregate", "column"))
         .otherwise(F.format_string(
             "%s(%s) is outside the tolerance. Check NULL handling, rounding and missing rows.", "aggregate", "column"))
-        .alias("recommendation"))
+        .alias("recommendation"), *keep)
 
 
 def key_presence(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
@@ -308,28 +313,106 @@ def value_check(source: DataFrame, target: DataFrame, key: str, columns: Sequenc
         .alias("recommendation"))
 
 
+_REPORT = ("check", "column", "aggregate", "source_value", "target_value", "abs_diff", "pct_diff", "tolerance_pct", "status", "recommendation")
+
+
 def reconcile(source: DataFrame, target: DataFrame, key: str, numeric: Sequence[str], run_ts: str,
               columns: Sequence[str] | None = None, scales: Mapping[str, int] | None = None,
               tolerance_pct: float = DEFAULT_TOLERANCE_PCT) -> DataFrame:
-    """All five checks as one long result table."""
-    def long(df: DataFrame, source_value: str | None, target_value: str | None, abs_diff: str | None,
-             pct: str | None = None) -> DataFrame:
-        def number(name: str | None) -> Column:
-            return (col(name) if name else F.lit(None)).cast("double")
-        return df.select("check", F.lit(None).cast("string").alias("column"), F.lit(None).cast("string").alias("aggregate"),
-                         number(source_value).alias("source_value"), number(target_value).alias("target_value"),
-                         number(abs_diff).alias("abs_diff"), number(pct).alias("pct_diff"),
-                         F.lit(None).cast("double").alias("tolerance_pct"), "status", "recommendation")
-
-    counts = row_counts(source, target).withColumn("difference", F.abs("difference"))
-    parts = [
-        long(counts, "source_count", "target_count", "difference", "pct_difference"),
-        long(key_check(source, target, key), "missing_in_target", "extra_in_target", None),
-        aggregate_compare(source, target, numeric, tolerance_pct),
-        long(value_check(source, target, key, columns), "rows_compared", None, "mismatches_found"),
-        long(hash_check(source, target, key, scales=scales), "rows_compared", None, "hash_mismatches"),
-    ]
-    return _union(parts).select(F.lit(run_ts).alias("run_ts"), "*")
+    """All five checks as one long result table.
+
+    Each side is scanned once and shuffled once: one aggregate per key holds the row
+    counts, both row versions, both digests and the partial sums, and one aggregate over
+    the keys turns them into every figure of the report.
+    """
+    keyed = resolve(source, key) is not None and resolve(target, key) is not None
+    columns = list(columns or common_columns(source, target, [key]))
+    hashed = sorted(common_columns(source, target, [key]))
+
+    def side(df: DataFrame, other: DataFrame, s: int) -> DataFrame:
+        def shared(c: str) -> Column:
+            mine, theirs = resolve(df, c), resolve(other, c)
+            return col(mine).cast(_shared_type(df.schema[mine].dataType, other.schema[theirs].dataType)).alias(c)
+
+        numbers = [(col(resolve(df, c)) if resolve(df, c) else F.lit(None).cast("double")).alias(f"__n{i}") for i, c in enumerate(numeric)]
+        name = (col(resolve(df, key)).cast("string") if keyed else F.lit(None).cast("string")).alias("key")
+        return df.select(name, F.lit(s).alias(_SIDE), F.struct(*[shared(c) for c in columns]).alias("__row"),
+                         row_digest([resolve(df, c) for c in hashed], scales).alias("__h"), *numbers)
+
+    is_source, slots = F.col(_SIDE) == 1, range(len(numeric))
+    both = side(source, target, 1).unionByName(side(target, source, 0))
+
+    def of(value: str, s: bool) -> Column:
+        return F.when(is_source if s else ~is_source, F.col(value))
+
+    per_key = both.groupBy("key").agg(
+        F.count_if(is_source).alias("ns"), F.count_if(~is_source).alias("nt"),
+        F.max(of("__row", True)).alias("rs"), F.max(of("__row", False)).alias("rt"),
+        F.max(of("__h", True)).alias("hs"), F.max(of("__h", False)).alias("ht"),
+        *[f(of(f"__n{i}", s)).alias(f"{n}{i}{'s' if s else 't'}") for i in slots for s in (True, False) for n, f in (("t", F.sum), ("c", F.count))])
+    named = F.col("key").isNotNull()
+    pair = named & (F.col("ns") == 1) & (F.col("nt") == 1)
+    differing: Column = F.lit(0)
+    for c in columns:
+        differing = differing + F.when(F.col("rs").getField(c).eqNullSafe(F.col("rt").getField(c)), 0).otherwise(1)
+    zero = F.lit(0)
+    totals = per_key.agg(
+        F.coalesce(F.sum("ns"), zero).alias("ns"), F.coalesce(F.sum("nt"), zero).alias("nt"),
+        F.count_if(named & (F.col("nt") == 0)).alias("lost"), F.count_if(named & (F.col("ns") == 0)).alias("added"),
+        F.count_if(pair).alias("pairs"), F.coalesce(F.sum(F.when(pair, differing)), zero).alias("cells"),
+        F.count_if(named & (F.col("ns") > 0) & (F.col("nt") > 0)).alias("hashed"),
+        F.count_if(named & (F.col("hs") != F.col("ht"))).alias("changed"),
+        *[F.coalesce(F.sum(f"{n}{i}{s}").cast("double"), F.lit(0.0)).alias(f"{n}{i}{s}") for i in slots for s in "st" for n in "tc"])
+
+    blank = F.lit(None).cast("double")
+
+    def row(check: str, values: Sequence[Column], passed: Column, text: Column) -> Column:
+        sv, tv, diff, pct = [v.cast("double") for v in values]
+        status = F.when(passed, "PASS").otherwise("FAIL") if keyed or check == "ROW_COUNT" else F.lit("SKIPPED")
+        parts = (F.lit(check), F.lit(None).cast("string"), F.lit(None).cast("string"), sv, tv, diff, pct, blank, status, text)
+        return F.struct(*[v.alias(n) for v, n in zip(parts, _REPORT)])
+
+    def advice(passed: Column, good: str, bad: str, *numbers: str) -> Column:
+        return F.when(passed, F.lit(good)).otherwise(F.format_string(bad, *numbers)) if keyed else F.lit(f"Key column '{key}' not found")
+
+    gap = F.abs(F.col("ns") - F.col("nt"))
+    same_rows, same_keys = gap == 0, (F.col("lost") == 0) & (F.col("added") == 0)
+    same_cells, same_hashes = F.col("cells") == 0, F.col("changed") == 0
+    gap_pct = F.when(F.col("ns") > 0, F.round(gap * F.lit(100.0) / F.nullif("ns", zero), 4)).otherwise(F.lit(0.0))
+    checks = F.array(
+        row("ROW_COUNT", (F.col("ns"), F.col("nt"), gap, gap_pct), same_rows,
+            F.when(same_rows, F.lit("Row counts match.")).otherwise(F.lit("Row counts differ. Check filters, rejected records and truncation."))),
+        row("MISSING_KEYS", (F.col("lost"), F.col("added"), blank, blank), same_keys, advice(
+            same_keys, "All keys matched.", "%d keys missing in target, %d extra. Check load failures, key generation and stale data.", "lost", "added")),
+        row("VALUE_MISMATCH", (F.col("pairs"), blank, F.col("cells"), blank), same_cells, advice(
+            same_cells, "All values matched for compared rows.", "%d value mismatches found. Review the transformation of the affected columns.", "cells")),
+        row("HASH_COMPARISON", (F.col("hashed"), blank, F.col("changed"), blank), same_hashes, advice(
+            same_hashes, "All row hashes matched.", "%d rows have differing hashes. Run the value check to find the columns.", "changed")))
+
+    def measure(i: int, label: str, s: str) -> Column:
+        total, count = F.col(f"t{i}{s}"), F.col(f"c{i}{s}")
+        return {"SUM": total, "COUNT": count}.get(label, F.when(count > 0, total / F.nullif(count, F.lit(0.0))).otherwise(F.lit(0.0)))
+
+    measures = F.array(*[
+        F.struct(F.lit(c).alias("column"), F.lit(a).alias("aggregate"), measure(i, a, "s").alias("s"), measure(i, a, "t").alias("t"))
+        for i, c in enumerate(numeric) for a in ("SUM", "AVG", "COUNT")]) if numeric else None
+    stamp = F.lit(run_ts).alias("run_ts")
+    if measures is None:
+        return totals.select(F.inline(checks)).select(stamp, *_REPORT)
+    # the one row of totals becomes all rows at once, so it is computed once
+    empty = F.array().cast("array<struct<column:string,aggregate:string,s:double,t:double>>")
+    blocks = totals.select(F.explode(F.array(
+        F.struct(checks.alias("done"), empty.alias("open")), F.struct(F.slice(checks, 1, 0).alias("done"), measures.alias("open")))).alias("b"))
+    compared = blocks.select(F.col("b.done").alias("done"), F.explode_outer("b.open").alias("m")).select("done", "m.*")
+    rows = _with_tolerance_rows(compared, tolerance_pct)
+    return rows.select(stamp, *_REPORT)
+
+
+def _with_tolerance_rows(compared: DataFrame, tolerance_pct: float) -> DataFrame:
+    """Rows of finished checks as they are, rows of open measures compared."""
+    made = _with_tolerance(compared.withColumn("__done", F.col("done")), tolerance_pct, keep=["__done"])
+    entry = F.struct(*[F.col(c).alias(c) for c in _REPORT])
+    return made.select(F.inline(F.when(F.col("aggregate").isNotNull(), F.array(entry)).otherwise(F.col("__done"))))
 
 
 def summarise(checks: DataFrame) -> DataFrame:

@@ -50,15 +50,16 @@ def load_hub(staged: DataFrame, hub_key: str, business_keys: Sequence[str],
              stored: DataFrame | None = None, single_batch: bool = False) -> DataFrame:
     """New hub rows: the first record of every hash key not stored yet.
 
-    ``single_batch`` states that LOAD_DATE and RECORD_SOURCE are the same on all rows,
-    which turns the first-record rule into a plain hash-aggregated distinct.
+    ``single_batch`` states that LOAD_DATE and RECORD_SOURCE are the same on all rows and
+    that a hash key stands for one business key, which turns the first-record rule into a
+    plain hash-aggregated distinct.
     """
     names = [hub_key, *business_keys, LOAD_DATE, RECORD_SOURCE]
     rows = staged.filter(col(hub_key).isNotNull()).select(*cols(names))
     if single_batch:
         rows = rows.distinct()
     else:
-        rows = first_by(rows, [hub_key, *business_keys], [LOAD_DATE, RECORD_SOURCE])
+        rows = first_by(rows, [hub_key], [LOAD_DATE, RECORD_SOURCE, *business_keys])
     return _not_stored(rows, stored, [hub_key])
 
 
@@ -72,6 +73,39 @@ def load_link(staged: DataFrame, link_key: str, hub_keys: Sequence[str],
     return load_hub(rows, link_key, hub_keys, stored, single_batch)
 
 
+def _one_text(df: DataFrame, columns: Sequence[str]) -> bool:
+    """Whether different values of the columns always give different key texts.
+
+    A single column does; several do unless a string may itself hold the separator.
+    """
+    fixed = (T.IntegralType, T.DecimalType, T.DateType, T.TimestampType, T.TimestampNTZType, T.BooleanType)
+    return len(columns) == 1 or all(isinstance(df.schema[c].dataType, fixed) for c in columns)
+
+
+def load_link_batch(source: DataFrame, link_key: str, hub_keys: Mapping[str, Sequence[str]], load_date: str, record_source: str,
+                    stored: DataFrame | None = None, algorithm: str = "md5", keep: Sequence[str] = ()) -> DataFrame:
+    """Link rows of one batch straight from its source rows.
+
+    The business keys are made distinct before they are hashed, so the shuffle carries
+    narrow keys and every distinct relation is hashed once. ``keep`` names business key
+    columns to carry along. Where the key text could be ambiguous the hashes are made
+    distinct as well.
+    """
+    parts = list(dict.fromkeys(c for columns in hub_keys.values() for c in columns))
+    rows = source.select(*cols(parts)).dropna().distinct()
+    staged = stage(rows, {link_key: parts, **hub_keys}, load_date, record_source, algorithm=algorithm)
+    if not _one_text(source, parts):
+        return load_link(staged, link_key, [*hub_keys, *keep], stored)
+    names = [link_key, *[k for k in hub_keys if k != link_key], *keep, LOAD_DATE, RECORD_SOURCE]
+    return _not_stored(staged.select(*cols(names)), stored, [link_key])
+
+
+def load_hub_batch(source: DataFrame, hub_key: str, business_keys: Sequence[str], load_date: str, record_source: str,
+                   stored: DataFrame | None = None, algorithm: str = "md5") -> DataFrame:
+    """Hub rows of one batch straight from its source rows, distinct before hashing."""
+    return load_link_batch(source, hub_key, {hub_key: business_keys}, load_date, record_source, stored, algorithm, keep=business_keys)
+
+
 def load_satellite(staged: DataFrame, hub_key: str, diff: str, payload: Sequence[str],
                    stored: DataFrame | None = None, bucket: str | None = "DAY") -> DataFrame:
     """New satellite rows: those whose hash difference changes against the row before them.

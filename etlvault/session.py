@@ -45,13 +45,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{root}/{name}-{os.urandom(6).hex()}"
 
 
-def cut_lineage(df: DataFrame, eager: bool = False) -> DataFrame:
-    """Checkpoint ``df`` in the shared folder.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` in the shared folder, computing it once, now.
 
-    All readers of the result share one RDD, so range bounds and partition ids
-    inside it are fixed even when a lost executor forces a recomputation.
+    All later reads come from the written files, so partition ids and anything else that
+    depends on how the rows were split is fixed, also after a lost executor. A lazy
+    checkpoint would compute the rows for the first action and again for the files.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint(eager=eager)
+    return df.checkpoint(eager=True)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a plain scan over the cores when it has fewer splits than cores.
+
+    For work that costs more per row than moving the row once: hashing, text scans,
+    sorts. A scan that is already wide, as any large table is, stays as it is.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

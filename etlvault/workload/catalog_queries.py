@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from etlvault.plans import mapping, model, rules
+from etlvault.session import cut_lineage
 from etlvault.sources import artifacts
 from etlvault.workload import derived
 from etlvault.workload.tables import table
@@ -105,7 +106,8 @@ def harvest_all(spark, sf_dir):
     """All four kinds of files together, routed by extension and merged: columns per tool and role."""
     files = scripts(spark, sf_dir).unionByName(job_exports(spark, sf_dir)).unionByName(mapping_exports(spark, sf_dir)).unionByName(
         replication_tasks(spark, sf_dir))
-    return artifacts.harvest(files).columns.groupBy("tool", "role").agg(
+    # every harvester reads the folder of files, so it is made once
+    return artifacts.harvest(cut_lineage(files)).columns.groupBy("tool", "role").agg(
         F.count("*").alias("columns"), F.count_distinct("source_file").alias("files"))
 
 

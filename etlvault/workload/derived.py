@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from etlvault.workload.tables import table
+from etlvault.workload.tables import table, wide
 
 SPAN, HALF = 16, 8
 
@@ -56,7 +56,7 @@ def _target(key: str = "s_suppkey"):
 
 def mappings(spark, sf_dir) -> DataFrame:
     c = columns(spark, sf_dir).select("p_partkey", "tool", "table_name", "column_name")
-    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
+    lines = wide(spark, sf_dir, "lineitem", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus")
     name = F.col("column_name")
     expression = (F.when(F.col("l_returnflag") == "A", "").when(F.col("l_returnflag") == "N", F.concat(F.lit("UPPER("), name, F.lit(")")))
                   .otherwise(F.concat(F.lit("NVL("), name, F.lit(", 0)"))))

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from etlvault.operators import anomaly, features
-from etlvault.workload.tables import table, texts
+from etlvault.session import cut_lineage
+from etlvault.workload.tables import table, wide
 
 NUMERIC, CATEGORICAL = ["value", "hour", "day_of_week", "k", "user_id"], ["event_type", "user_bucket"]
 
 
 def email_domains(spark, sf_dir):
-    docs = texts(spark, sf_dir, "documents").select("doc_id", features.email_domain(F.col("text")).alias("email_domain"))
+    docs = wide(spark, sf_dir, "documents").select("doc_id", features.email_domain(F.col("text")).alias("email_domain"))
     return features.bucket_top_k(docs, "email_domain", 5)
 
 
@@ -61,14 +62,14 @@ def evaluate(spark, sf_dir):
 
 
 def event_frame(spark, sf_dir) -> DataFrame:
-    e = table(spark, sf_dir, "events")
+    e = wide(spark, sf_dir, "events")
     raw = e.select("event_id", "user_id", "event_type", "value", features.hour("ts").alias("hour"), features.day_of_week("ts").alias("day_of_week"),
                    features.coerce_number(F.get_json_object("props", "$.k")).alias("k"), F.col("user_id").cast("string").alias("user_bucket"))
     return features.bucket_top_k(features.fill_median(raw, NUMERIC), "user_bucket")
 
 
 def _flagged(spark, sf_dir):
-    frame = event_frame(spark, sf_dir)
+    frame = cut_lineage(event_frame(spark, sf_dir))  # every fitted stage rereads it
     model = anomaly.fit_features(frame, NUMERIC, CATEGORICAL)
     vectors = model.transform(frame).select("event_id", "value", "hour", "event_type", "features")
     flagged = anomaly.reconstruction_flags(anomaly.isolation_flags(vectors, "event_id"), 5)
@@ -81,7 +82,6 @@ def anomaly_flags(spark, sf_dir):
 
 
 def _fitted(spark, sf_dir):
-    from etlvault.session import cut_lineage
     flagged, model = _flagged(spark, sf_dir)
     # the trees and the boosting rounds reread their input, so it is computed once
     flagged = cut_lineage(flagged)

@@ -5,36 +5,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from etlvault.operators import pii
-from etlvault.workload.tables import texts
+from etlvault.workload.tables import wide
 
 RUN_TS = "2024-01-02 00:00:00"
 KEY_ID, TEST_KEY = "key_20240102", "0123456789abcdef"
 
 
 def cells(spark, sf_dir):
-    return pii.detect(texts(spark, sf_dir, "documents"), "doc_id")
+    return pii.detect(wide(spark, sf_dir, "documents"), "doc_id")
 
 
 def turn_cells(spark, sf_dir):
     """Hits in conversation turns, at the lower single threshold."""
-    turns = texts(spark, sf_dir, "conversations").select(
+    turns = wide(spark, sf_dir, "conversations").select(
         F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
     return pii.detect(turns, "turn_id", ["text"], threshold=pii.GLOBAL_THRESHOLD)
 
 
 def column_summary(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = wide(spark, sf_dir, "documents")
     return pii.column_summary(pii.detect(documents, "doc_id"), documents, "documents", RUN_TS)
 
 
 def high_confidence(spark, sf_dir):
-    return pii.detect(texts(spark, sf_dir, "documents"), "doc_id").filter(
+    return pii.detect(wide(spark, sf_dir, "documents"), "doc_id").filter(
         F.col("confidence") >= pii.HIGH_CONFIDENCE).groupBy("entity_type").agg(F.count("*").alias("hits"))
 
 
 def _contacts(spark, sf_dir):
     """One cell per contact found in a text line, so that masks keep a recognisable shape."""
-    lines = texts(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
+    lines = wide(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "value"))
     return lines.select(F.concat_ws(":", "doc_id", "line").alias("line_id"), "value")
 
 
@@ -44,14 +44,14 @@ def masked(spark, sf_dir):
 
 
 def registry(spark, sf_dir):
-    documents = texts(spark, sf_dir, "documents")
+    documents = wide(spark, sf_dir, "documents")
     sealed = pii.vault_cells(documents, "doc_id", "documents", RUN_TS, KEY_ID, TEST_KEY, ["text"])
     return pii.key_registry(spark, sealed, "documents", RUN_TS, KEY_ID, TEST_KEY)
 
 
 def roundtrip(spark, sf_dir):
     """Mask and encrypt all document texts, restore them and count what differs."""
-    documents = texts(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    documents = wide(spark, sf_dir, "documents").select("doc_id", "text", "source")
     names = ["text", "source"]
     sealed = pii.vault_cells(documents, "doc_id", "documents", RUN_TS, KEY_ID, TEST_KEY, names)
     hidden = pii.anonymise(documents, "documents", RUN_TS, "doc_id", names)

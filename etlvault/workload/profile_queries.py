@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from etlvault.operators import pii, profile
-from etlvault.workload.tables import table
+from etlvault.workload.tables import table, wide
 
 RUN_TS = "2024-01-02 00:00:00"
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -32,7 +32,7 @@ def null_counts(spark, sf_dir):
 
 
 def descriptive(spark, sf_dir):
-    return profile.descriptive(table(spark, sf_dir, "lineitem"), "lineitem", RUN_TS, LINE_NUMBERS, digits=4)
+    return profile.descriptive(wide(spark, sf_dir, "lineitem", *LINE_NUMBERS), "lineitem", RUN_TS, LINE_NUMBERS, digits=4)
 
 
 def quantiles(spark, sf_dir):

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from etlvault.operators import scan
 from etlvault.sources import artifacts
 from etlvault.workload import catalog_queries, derived
-from etlvault.workload.tables import table, texts
+from etlvault.workload.tables import table, wide
 
 # One script per supplier, by its nation: (last nation key, extension, text around the supplier's name).
 TEMPLATES = [
@@ -35,9 +35,9 @@ def legacy_scripts(spark, sf_dir) -> DataFrame:
 
 
 def corpus(spark, sf_dir) -> DataFrame:
-    documents = texts(spark, sf_dir, "documents").select(
+    documents = wide(spark, sf_dir, "documents").select(
         F.concat(F.lit("doc/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
-    pages = texts(spark, sf_dir, "pages").select(
+    pages = wide(spark, sf_dir, "pages").select(
         F.concat(F.lit("page/"), F.col("page_id").cast("string"), F.lit(".xml")).alias("path"), F.col("html").alias("content"))
     scripts = catalog_queries.scripts(spark, sf_dir).select(F.concat(F.lit("ddl/"), "path").alias("path"), "content")
     return documents.unionByName(pages).unionByName(scripts).unionByName(legacy_scripts(spark, sf_dir))

@@ -4,18 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from etlvault.session import configure
+from etlvault.session import configure, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return configure(spark).read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def texts(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of long texts, spread over the cores when its scan has fewer splits than cores.
-
-    Scanning text costs far more than moving it once; a scan that is already wide stays as it is.
-    """
+def wide(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table for costly per-row work, given columns only, spread over the cores."""
     scan = table(spark, sf_dir, name)
-    cores = spark.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    return spread(scan.select(*columns) if columns else scan)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from etlvault.functions.hashing import hash_key, normalised_key
 from etlvault.operators import vault
-from etlvault.workload.tables import table
+from etlvault.workload.tables import table, wide
 
 DAY_1, DAY_2 = "2024-01-01 00:00:00", "2024-01-02 00:00:00"
 MONEY = {"o_totalprice": 2, "c_acctbal": 2}
@@ -23,7 +23,7 @@ def _text(df: DataFrame, *names: str) -> DataFrame:
 
 
 def staged_orders(spark, sf_dir, load_date=DAY_1, orders=None) -> DataFrame:
-    orders = table(spark, sf_dir, "orders") if orders is None else orders
+    orders = wide(spark, sf_dir, "orders") if orders is None else orders
     return vault.stage(
         orders,
         {"ORDER_HK": ["o_orderkey"], "CUSTOMER_HK": ["o_custkey"],
@@ -37,7 +37,7 @@ def staged_customer(spark, sf_dir) -> DataFrame:
 
 
 def staged_events(spark, sf_dir) -> DataFrame:
-    return vault.stage(table(spark, sf_dir, "events"), {"USER_HK": ["user_id"]}, F.col("ts"),
+    return vault.stage(wide(spark, sf_dir, "events", "user_id", "ts", "event_type"), {"USER_HK": ["user_id"]}, F.col("ts"),
                        "WEB.EVENTS", {"EVENT_HASHDIFF": ["event_type"]})
 
 
@@ -56,22 +56,22 @@ def hub_customer(spark, sf_dir):
 
 
 def hub_order(spark, sf_dir):
-    return _text(vault.load_hub(staged_orders(spark, sf_dir), "ORDER_HK", ["o_orderkey"],
-                                single_batch=True), "LOAD_DATE")
+    return _text(vault.load_hub_batch(table(spark, sf_dir, "orders"), "ORDER_HK", ["o_orderkey"], DAY_1, "OMS.ORDERS"), "LOAD_DATE")
+
+
+def _link_customer_order(spark, sf_dir):
+    return vault.load_link_batch(table(spark, sf_dir, "orders"), "LNK_CUSTOMER_ORDER_HK",
+                                 {"CUSTOMER_HK": ["o_custkey"], "ORDER_HK": ["o_orderkey"]}, DAY_1, "OMS.ORDERS")
 
 
 def link_customer_order(spark, sf_dir):
-    return _text(vault.load_link(staged_orders(spark, sf_dir), "LNK_CUSTOMER_ORDER_HK",
-                                 ["CUSTOMER_HK", "ORDER_HK"], single_batch=True), "LOAD_DATE")
+    return _text(_link_customer_order(spark, sf_dir), "LOAD_DATE")
 
 
 def link_lineitem(spark, sf_dir):
-    staged = vault.stage(
-        table(spark, sf_dir, "lineitem"),
-        {"LNK_HK": ["l_orderkey", "l_partkey", "l_suppkey"], "ORDER_HK": ["l_orderkey"],
-         "PART_HK": ["l_partkey"], "SUPPLIER_HK": ["l_suppkey"]}, DAY_1, "OMS.LINEITEM")
-    return _text(vault.load_link(staged, "LNK_HK", ["ORDER_HK", "PART_HK", "SUPPLIER_HK"],
-                                 single_batch=True), "LOAD_DATE")
+    return _text(vault.load_link_batch(
+        table(spark, sf_dir, "lineitem"), "LNK_HK",
+        {"ORDER_HK": ["l_orderkey"], "PART_HK": ["l_partkey"], "SUPPLIER_HK": ["l_suppkey"]}, DAY_1, "OMS.LINEITEM"), "LOAD_DATE")
 
 
 def _sat_order(spark, sf_dir):
@@ -84,7 +84,7 @@ def sat_order(spark, sf_dir):
 
 def sat_incremental(spark, sf_dir):
     """Second load of all orders: those from 2000 on were closed meanwhile."""
-    orders = table(spark, sf_dir, "orders").withColumn(
+    orders = wide(spark, sf_dir, "orders").withColumn(
         "o_orderstatus",
         F.when(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"), "F")
         .otherwise(F.col("o_orderstatus")))
@@ -117,7 +117,7 @@ def ghost(spark, sf_dir):
 
 
 def key_checks(spark, sf_dir):
-    items = vault.stage(table(spark, sf_dir, "lineitem"), {"LINE_HK": ["l_orderkey", "l_linenumber"]},
+    items = vault.stage(wide(spark, sf_dir, "lineitem", "l_orderkey", "l_linenumber"), {"LINE_HK": ["l_orderkey", "l_linenumber"]},
                         DAY_1, "OMS.LINEITEM")
     orders = staged_orders(spark, sf_dir)
     return vault.key_checks({
@@ -137,9 +137,9 @@ def sha256_key(spark, sf_dir):
 def order_360(spark, sf_dir):
     """Stage, load hubs, link and satellites, then join them back: value per market segment."""
     orders, customers = staged_orders(spark, sf_dir), staged_customer(spark, sf_dir)
-    hub_c = vault.load_hub(customers, "CUSTOMER_HK", ["c_custkey"], single_batch=True)
+    hub_c = vault.load_hub_batch(table(spark, sf_dir, "customer"), "CUSTOMER_HK", ["c_custkey"], DAY_1, "CRM.CUSTOMER")
     sat_c = vault.load_satellite(customers, "CUSTOMER_HK", "CUSTOMER_HASHDIFF", ["c_mktsegment"], bucket=None)
-    link = vault.load_link(orders, "LNK_CUSTOMER_ORDER_HK", ["CUSTOMER_HK", "ORDER_HK"], single_batch=True)
+    link = _link_customer_order(spark, sf_dir)
     sat_o = vault.load_satellite(orders, "ORDER_HK", "ORDER_HASHDIFF", ["o_orderstatus", "o_totalprice"], bucket=None)
     kept = sat_o.filter(F.col("o_orderstatus").isin("F", "O") & (F.col("o_totalprice") > 0))
     # value per customer first: a customer with most of the orders is one row in the next join

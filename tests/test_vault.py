@@ -76,6 +76,18 @@ def test_link_needs_both_parents(spark):
     assert vault.load_link(staged, "L_HK", ["A_HK", "B_HK"], stored=link, single_batch=True).count() == 0
 
 
+def test_batch_loads_dedupe_before_hashing(spark, rows):
+    df = spark.createDataFrame([(1, "a||b", "c"), (1, "a", "b||c"), (1, "a", "b||c"), (2, None, "x")], "i int, p string, q string")
+    # both texts read a||b||c: one hash key, one row
+    link = vault.load_link_batch(df, "L_HK", {"P_HK": ["p"], "Q_HK": ["q"]}, "2024-01-01", "S")
+    assert link.count() == 1
+    hub = vault.load_hub_batch(df, "I_HK", ["i"], "2024-01-01", "S")
+    staged = vault.stage(df, {"I_HK": ["i"]}, "2024-01-01", "S")
+    assert hub.columns == vault.load_hub(staged, "I_HK", ["i"]).columns
+    assert rows(hub) == rows(vault.load_hub(staged, "I_HK", ["i"]))
+    assert vault.load_hub_batch(df, "I_HK", ["i"], "2024-01-02", "S", stored=hub).count() == 0
+
+
 def test_end_dates_and_point_in_time(spark, rows):
     staged = frame(spark, BASE)
     satellite = sat(staged)
