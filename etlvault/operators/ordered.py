@@ -49,34 +49,39 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, n
     )
 
 
+def _add_offsets(placed: DataFrame, name: str, columns: Sequence[str]) -> DataFrame:
+    """Add to each row's running value the totals of the partitions before its own."""
+    totals = placed.groupBy(_PART).agg(F.max(_POS).alias(_BASE))
+    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(_PART, F.coalesce(F.sum(_BASE).over(before), F.lit(0)).alias(_BASE))
+    # one row per partition: bounded by the partition count, so it may be broadcast
+    return (placed.join(F.broadcast(offsets), _PART)
+            .withColumn(name, F.col(_POS) + F.col(_BASE)).select(*cols(columns), col(name)))
+
+
 def with_running_sum(df: DataFrame, order: Sequence[str], amount: Column, name: str) -> DataFrame:
-    """Add ``name``: the running sum of ``amount`` over the whole frame in a total order.
+    """Add ``name``: the running sum of a non-negative ``amount`` over the whole frame in a total order.
 
     The frame is range-partitioned, each partition keeps its own running sum and the
     sums of the partitions before it are added; only one row per partition is gathered.
     """
-    spread = cut_lineage(
-        df.withColumn(_POS, amount)
-        .repartitionByRange(*cols(order))
-        .withColumn(_PART, F.spark_partition_id())
-    )
-    totals = spread.groupBy(_PART).agg(F.sum(_POS).alias(_BASE))
-    before = Window.orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(_PART, F.coalesce(F.sum(_BASE).over(before), F.lit(0)).alias(_BASE))
+    ranged = cut_lineage(df.withColumn(_POS, amount).repartitionByRange(*cols(order)).withColumn(_PART, F.spark_partition_id()))
     local = Window.partitionBy(_PART).orderBy(*cols(order)).rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    # one row per partition: bounded by the partition count, so it may be broadcast
-    return (
-        spread.withColumn(_POS, F.sum(_POS).over(local))
-        .join(F.broadcast(offsets), _PART)
-        .withColumn(name, F.col(_POS) + F.col(_BASE))
-        .select(*cols(df.columns), col(name))
-    )
+    return _add_offsets(ranged.withColumn(_POS, F.sum(_POS).over(local)), name, df.columns)
 
 
 def with_running_number(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
-    """Add ``name``: 1, 2, 3 … over the whole frame in a total order."""
-    return with_running_sum(df, order, F.lit(1).cast("bigint"), name)
+    """Add ``name``: 1, 2, 3 … over the whole frame in a total order.
+
+    Inside a sorted partition the generated row id already counts from zero, so numbering
+    takes one range shuffle and no window.
+    """
+    row_in_partition = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ranged = cut_lineage(
+        df.repartitionByRange(*cols(order)).sortWithinPartitions(*cols(order))
+        .withColumn(_PART, F.spark_partition_id()).withColumn(_POS, row_in_partition + 1))
+    return _add_offsets(ranged, name, df.columns)
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
