@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from etlvault.functions.columns import col, cols
 from etlvault.session import cut_lineage
 
-_BUCKET, _EDGE, _CARRY = "__bucket", "__edge", "__carry"
-_PART, _POS, _BASE = "__part", "__pos", "__base"
+_BUCKET, _EDGE, _CARRY = "__time_bucket", "__time_edge", "__time_carry"
+_PART, _POS, _BASE = "__range_part", "__range_pos", "__range_base"
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str,

@@ -184,8 +184,10 @@ def ghost_record(table: DataFrame, hash_columns: Sequence[str], algorithm: str =
 
 def with_ghost(table: DataFrame, hash_columns: Sequence[str], algorithm: str = "md5") -> DataFrame:
     """The table with its ghost record, added only when it has none yet."""
-    return table.unionByName(
-        _not_stored(ghost_record(table, hash_columns, algorithm), table, [hash_columns[0]]))
+    zero = F.lit("0" * HASH_WIDTH[algorithm])
+    # a pushed-down count instead of an anti join, whose constant key would loop over the table
+    present = table.filter(col(hash_columns[0]) == zero).agg(F.count("*").alias("n")).scalar()
+    return table.unionByName(ghost_record(table, hash_columns, algorithm).filter(present == 0))
 
 
 def key_checks(tables: Mapping[str, tuple[DataFrame, str, Sequence[str]]]) -> DataFrame:

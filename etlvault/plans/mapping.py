@@ -86,44 +86,51 @@ def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, t
                       F.col("data_type").alias("source_data_type"), F.col("nullable").alias("s_nullable"), F.upper("key_type").alias("s_key"))
     t = target.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"),
                       F.col("data_type").alias("target_data_type"))
+    columns = catalog.filter("role = 'source'")
+    if not list_all_sources:
+        used = mappings.select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name")).distinct()
+        columns = columns.join(used, ["table_name", "column_name"], "left_anti")
+
+    blank = F.lit("")
+    attributes = {"source_schema": "string", "source_data_type": "string", "s_nullable": "boolean", "s_key": "string"}
+    read = distinct.select(F.lit(1).alias("__section"), *order[:3], F.col("ordinal").cast("bigint").alias("__ordinal"), *key, "expression",
+                           *[F.lit(None).cast(t).alias(n) for n, t in attributes.items()])
+    unread = columns.select(
+        F.lit(2).alias("__section"), *order[:3], (F.col("position") * F.lit(100_000).cast("bigint") + F.col("ordinal")).alias("__ordinal"),
+        F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), F.lit(UNMAPPED).alias("target_table"),
+        blank.alias("target_column"), blank.alias("expression"), F.col("schema_name").alias("source_schema"),
+        F.col("data_type").alias("source_data_type"), F.col("nullable").alias("s_nullable"), F.upper("key_type").alias("s_key"))
+    # numbered while the rows are narrow: the sort behind it reads its input twice
+    numbered = with_running_number(read.unionByName(unread), ["__section", *order[:3], "__ordinal", *key], "__n").withColumn(
+        "mapping_id", F.format_string("MAP_%04d", "__n"))
+
     # every lookup side is unique on its key, so the joins keep the mapping rows one to one
-    mapped = (
-        distinct.join(s, ["source_table", "source_column"], "left")
+    found = (
+        numbered.filter("__section = 1").drop(*attributes)
+        .join(s, ["source_table", "source_column"], "left")
         .join(schemas.select(F.col("table_name").alias("source_table"), F.col("schema_name").alias("source_schema")), ["source_table"], "left")
         .join(t, ["target_table", "target_column"], "left")
         .withColumn("field", F.upper("source_column"))
         .join(rules.select("field", F.col("expression").alias("rule")), ["field"], "left")
-        .withColumn("expression", F.coalesce(F.nullif("expression", F.lit("")), "rule", F.lit("")))
+        .withColumn("expression", F.coalesce(F.nullif("expression", blank), "rule", blank))
+        .withColumns({"target_database": F.lit(target_database), "target_schema": F.lit(target_schema), "notes": blank,
+                      "transformation_type": expression_class(F.col("expression"))})
     )
-    blank = F.lit("")
-    rows = mapped.select(
-        F.lit(1).alias("__part"), "source_file", "job", F.col("ordinal").cast("bigint").alias("__ordinal"), "tool",
-        F.coalesce("source_schema", blank).alias("source_schema"), "source_table", "source_column",
-        F.coalesce("source_data_type", blank).alias("source_data_type"), F.lit(target_database).alias("target_database"),
-        F.lit(target_schema).alias("target_schema"), "target_table", "target_column",
-        F.coalesce("target_data_type", blank).alias("target_data_type"),
-        expression_class(F.col("expression")).alias("transformation_type"), "expression",
-        F.when(F.col("s_nullable").isNull(), blank).otherwise(_yes(F.col("s_nullable"))).alias("nullable"),
-        _yes(F.coalesce(F.col("s_key").contains("PRIMARY"), F.lit(False))).alias("is_pk"),
-        _yes(F.coalesce(F.col("s_key").contains("FOREIGN"), F.lit(False))).alias("is_fk"),
-        pii_flag(F.col("source_column")).alias("pii_flag"), blank.alias("notes"))
-
-    columns = catalog.filter("role = 'source'")
-    if not list_all_sources:
-        used = distinct.select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name")).distinct()
-        columns = columns.join(used, ["table_name", "column_name"], "left_anti")
-    unused = columns.select(
-        F.lit(2).alias("__part"), "source_file", F.col("job"), (F.col("position") * F.lit(100_000).cast("bigint") + F.col("ordinal")).alias("__ordinal"),
-        "tool", F.col("schema_name").alias("source_schema"), F.col("table_name").alias("source_table"),
-        F.col("column_name").alias("source_column"), F.col("data_type").alias("source_data_type"), blank.alias("target_database"),
-        blank.alias("target_schema"), F.lit(UNMAPPED).alias("target_table"), blank.alias("target_column"), blank.alias("target_data_type"),
-        F.lit("NONE").alias("transformation_type"), blank.alias("expression"), _yes(F.col("nullable")).alias("nullable"),
-        _yes(F.upper("key_type").contains("PRIMARY")).alias("is_pk"), _yes(F.upper("key_type").contains("FOREIGN")).alias("is_fk"),
-        pii_flag(F.col("column_name")).alias("pii_flag"), F.lit("UNMAPPED — review required").alias("notes"))
-
-    order = ["__part", "tool", "source_file", "job", "__ordinal", "source_table", "source_column", "target_table", "target_column"]
-    numbered = with_running_number(rows.unionByName(unused), order, "__n")
-    return numbered.withColumn("mapping_id", F.format_string("MAP_%04d", "__n")).select(*STTM_FIELDS)
+    open_ones = numbered.filter("__section = 2").withColumns({
+        "target_database": blank, "target_schema": blank, "target_data_type": blank, "transformation_type": F.lit("NONE"),
+        "notes": F.lit("UNMAPPED — review required")})
+
+    def finished(rows: DataFrame) -> DataFrame:
+        made = {
+            "nullable": F.when(F.col("s_nullable").isNull(), blank).otherwise(_yes(F.col("s_nullable"))),
+            "is_pk": _yes(F.coalesce(F.col("s_key").contains("PRIMARY"), F.lit(False))),
+            "is_fk": _yes(F.coalesce(F.col("s_key").contains("FOREIGN"), F.lit(False))),
+            "pii_flag": pii_flag(F.col("source_column")),
+            **{c: F.coalesce(c, blank) for c in ("source_schema", "source_data_type", "target_data_type")},
+        }
+        return rows.withColumns(made).select(*STTM_FIELDS)
+
+    return finished(found).unionByName(finished(open_ones))
 
 
 def mapped(sttm: DataFrame) -> DataFrame:

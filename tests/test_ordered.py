@@ -32,7 +32,7 @@ def test_neighbours_match_the_plain_window(spark, rows):
 
 def test_neighbour_splits_the_hot_key(spark):
     plan = with_neighbour(skewed(spark), ["k"], "t", "v", "n")._jdf.queryExecution().toString()
-    assert "windowspecdefinition(k#" in plan and "__bucket#" in plan
+    assert "windowspecdefinition(k#" in plan and "__time_bucket#" in plan
 
 
 def test_running_sum_and_number(spark):

@@ -63,6 +63,6 @@ def test_batch_link_shuffles_keys_not_hashes(spark, orders):
 
 
 def test_no_nested_loops_or_cross_products(spark):
-    for query in (vault_queries.order_360, vault_queries.pit, vault_queries.sat_incremental, recon_queries.report, recon_queries.value_mismatch):
+    for query in (vault_queries.order_360, vault_queries.pit, vault_queries.ghost, vault_queries.sat_incremental, recon_queries.report, recon_queries.value_mismatch):
         text = plan(query(spark, SF_DIR))
         assert "NestedLoop" not in text and "CartesianProduct" not in text
