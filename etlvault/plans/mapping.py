@@ -155,10 +155,10 @@ def summarise(sttm: DataFrame) -> DataFrame:
         F.count_distinct(F.when(real, F.col("target_table"))).alias("target_tables"))
 
 
-def summarise_by_tool(sttm: DataFrame) -> DataFrame:
-    """Mapping counts per tool: keys, direct copies and transformed columns."""
+def summarise_by(sttm: DataFrame, by: Sequence[str] = ("tool",)) -> DataFrame:
+    """Mapping counts per tool, or per tool and load strategy where a mapping carries one."""
     direct = F.col("transformation_type") == "DIRECT"
-    return sttm.groupBy("tool").agg(
+    return sttm.groupBy(*cols(by)).agg(
         F.count("*").alias("mappings"), F.count_if(F.col("is_pk") == "Y").alias("pk_columns"),
         F.count_if(direct).alias("direct"), F.count_if(~direct & (F.col("transformation_type") != "NONE")).alias("transformed"))
 

@@ -86,8 +86,12 @@ class VaultFolder:
 
 
 def stream_load(changes: DataFrame, stage: Callable[[DataFrame], DataFrame], folder: VaultFolder, checkpoint: str,
-                once: bool = True) -> StreamingQuery:
-    """Run the loads on every micro-batch of a stream; ``once`` takes all that is there and stops."""
+                every: str | None = None) -> StreamingQuery:
+    """Run the loads on every micro-batch of a stream.
+
+    ``every`` names the interval of a continuous load, such as ``"5 minutes"``; without it
+    the load takes all that is there and stops.
+    """
     def load(batch: DataFrame, batch_id: int) -> None:
         staged = stage(batch).persist()  # read by every table's load
         try:
@@ -96,9 +100,7 @@ def stream_load(changes: DataFrame, stage: Callable[[DataFrame], DataFrame], fol
             staged.unpersist()
 
     writer = changes.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)
-    if once:
-        writer = writer.trigger(availableNow=True)
-    return writer.start()
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
 
 def read_changes(spark: SparkSession, path: str, schema, pattern: str | None = None, files_per_batch: int | None = None) -> DataFrame:

@@ -125,7 +125,7 @@ def sttm_summary(spark, sf_dir):
 
 
 def sttm_by_tool(spark, sf_dir):
-    return mapping.summarise_by_tool(_sttm(spark, sf_dir, list_all_sources=True))
+    return mapping.summarise_by(_sttm(spark, sf_dir, list_all_sources=True))
 
 
 def sttm_unmapped(spark, sf_dir):

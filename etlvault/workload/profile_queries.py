@@ -70,8 +70,8 @@ QUERIES = {
 
 def _overview_sql(name: str, source: str, kinds: list[str]) -> str:
     return f"""
-        select '{name}' as dataset_name, '{RUN_TS}' as run_timestamp, sum(n) as n_rows, {len(kinds)} as n_cols,
-               cast(0 as bigint) as n_missing_cells, cast(0.0 as double) as pct_missing_cells, sum(n - 1) as n_duplicate_rows,
+        select '{name}' as dataset_name, '{RUN_TS}' as run_timestamp, cast(sum(n) as bigint) as n_rows, {len(kinds)} as n_cols,
+               cast(0 as bigint) as n_missing_cells, cast(0.0 as double) as pct_missing_cells, cast(sum(n - 1) as bigint) as n_duplicate_rows,
                cast(round(sum(n - 1) * 100.0 / sum(n), 4) as double) as pct_duplicate_rows,
                count(*) filter (where n > 1) as n_duplicate_groups,
                {kinds.count('Numeric')} as n_numeric_cols, {kinds.count('Categorical')} as n_categorical_cols

@@ -162,6 +162,8 @@ def test_sttm(sttm):
     assert (everything.mapped, everything.unmapped) == (3, 12)
     assert mapping.unmapped(sttm()).filter("source_column = 'EMAIL'").count() == 0
     assert mapping.personal(sttm()).count() == 2
+    by_strategy = mapping.summarise_by(mapping.mapped(sttm()).withColumn("load_strategy", F.lit("FULL")), ["tool", "load_strategy"]).collect()
+    assert [(r.tool, r.load_strategy, r.mappings, r.pk_columns, r.direct, r.transformed) for r in by_strategy] == [("job_export", "FULL", 3, 1, 1, 2)]
 
 
 @pytest.mark.parametrize("expression,want,short", [
