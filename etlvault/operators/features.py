@@ -11,7 +11,7 @@ from etlvault.functions.columns import col, string_columns
 from etlvault.operators.profile import exact_quantiles, top_values
 
 MISSING, UNKNOWN, OTHER = "missing", "unknown", "other"
-# Hours in which the policy forbids changes, and the text flag of a live record.
+# Hours in which the policy forbids changes, the text flag of a live record, the domain pattern.
 FORBIDDEN_HOURS = (0, 1, 2, 3)
 NOT_DELETED = "FALSE"
 DOMAIN_PATTERN = r"@([\w.-]+)"

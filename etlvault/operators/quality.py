@@ -19,7 +19,7 @@ from etlvault.functions.columns import col, resolve
 
 Rule = Mapping[str, Any]
 
-# The six dimensions and what they assert.
+# The six dimensions and what they assert, the email pattern and the earliest date.
 DIMENSIONS = {
     "COMPLETENESS": "No unexpected NULLs in required fields",
     "UNIQUENESS": "No duplicate values in key columns",
