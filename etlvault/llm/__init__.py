@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "warc")
+_MODULES = ("exact_dedup", "piece_transducer", "warc")
 
 
 def _merged(attribute: str) -> dict:
