@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("exact_dedup", "piece_transducer", "warc")
+_MODULES = ("exact_dedup", "piece_transducer", "toxicity", "warc")
 
 
 def _merged(attribute: str) -> dict:
