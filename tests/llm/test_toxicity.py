@@ -28,7 +28,7 @@ def test_matcher_and_brute_force():
 
 def corpus(spark, n=400):
     rng = np.random.default_rng(1)
-    base = [f"w{i:03d}x" for i in range(300)]
+    base = [f"{i:05d}w" for i in range(20_000)]
     rows, labels = [], []
     for i in range(n):
         words = list(rng.choice(base, 60))
