@@ -119,11 +119,11 @@ def shingle_sets(texts: pa.Array, n: int = SHINGLE_WORDS) -> tuple[np.ndarray, n
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
         extra = []
         for t in short:
-            total = np.uint64(counts[t])
+            total = counts[t:t + 1].astype(np.uint64)
             for w in words[first[t]:first[t] + counts[t]]:
-                total = np.bitwise_xor(total, w) * _BASE
+                total = (total ^ w) * _BASE
             extra.append(total)
-        grams = np.concatenate([grams, mix(np.array(extra, np.uint64))])
+        grams = np.concatenate([grams, mix(np.concatenate(extra))])
         owner_of = np.concatenate([owner_of, short])
     order = np.lexsort((grams, owner_of))
     grams, owner_of = grams[order], owner_of[order]
