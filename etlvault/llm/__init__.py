@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("decontaminate", "exact_dedup", "jaccard_join", "langid", "piece_transducer", "toxicity", "warc")
+_MODULES = ("decontaminate", "exact_dedup", "html_text", "jaccard_join", "langid", "piece_transducer", "toxicity", "warc")
 
 
 def _merged(attribute: str) -> dict:
