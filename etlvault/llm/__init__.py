@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("decontaminate", "exact_dedup", "html_text", "jaccard_join", "langid", "piece_transducer", "toxicity", "url_rules", "warc")
+_MODULES = ("decontaminate", "exact_dedup", "html_text", "jaccard_join", "langid", "line_dedup", "piece_transducer", "toxicity", "url_rules", "warc")
 
 
 def _merged(attribute: str) -> dict:
