@@ -37,8 +37,7 @@ RECALL = 0.995   # of pairs exactly at the threshold; more similar pairs meet mo
 BRANCH = 1.25    # tokens a set samples at the root of a run, on average
 SUB_BRANCH = 3.0  # and at each further node
 DEPTH = 3        # levels of splits
-LEAF = 200       # sets of a node that is not split further
-BLOCK = 1_000    # sets of a block of a node that stays full
+LEAF = 1_000     # sets of a node that is not split further, and of a block of a dense node
 SKETCH = 64      # least tokens kept as a sketch
 _TOP = np.uint64(2**64 - 1)
 _GOLD = 0x9E3779B97F4A7C15
@@ -110,7 +109,8 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         taken = (mix(sketch ^ mix(path + np.uint64(_GOLD))[:, None]) < _limits(n, SUB_BRANCH)[:, None]) & (sketch != _TOP)
         rows, places = np.nonzero(taken)
         onward = mix(sketch[rows, places] ^ mix(path[rows])).view(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(onward), batch.column("rid").take(pa.array(rows))], ["path", "rid"])
+        parent, full = (batch.column(c).take(pa.array(rows)) for c in ("path", "size"))
+        yield pa.RecordBatch.from_arrays([parent, full, pa.array(onward), batch.column("rid").take(pa.array(rows))], ["parent", "full", "path", "rid"])
 
 
 def _leaf_lists(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -149,19 +149,49 @@ def _likely(sketch: np.ndarray, n: np.ndarray, i: np.ndarray, j: np.ndarray, thr
     return out
 
 
-def _pairs(bounds: np.ndarray, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of rows of one group, in chunks of about ``most``."""
+def _pairs(bounds: np.ndarray, sketch: np.ndarray, n: np.ndarray, threshold: float, most: int = 200_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Likely pairs of rows of one group, in chunks: small groups pair by pair, large ones row by row."""
     held_i, held_j, count = [], [], 0
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a > 64:
+            for x, y in _likely_rows(sketch[a:b], n[a:b], threshold):
+                yield x + a, y + a
+            continue
         for x in range(a, b - 1):
             held_i.append(np.full(b - x - 1, x))
             held_j.append(np.arange(x + 1, b))
             count += b - x - 1
-            if count >= most:
-                yield np.concatenate(held_i), np.concatenate(held_j)
-                held_i, held_j, count = [], [], 0
+        if count >= most:
+            i, j = np.concatenate(held_i), np.concatenate(held_j)
+            fits = _likely(sketch, n, i, j, threshold)
+            yield i[fits], j[fits]
+            held_i, held_j, count = [], [], 0
     if count:
-        yield np.concatenate(held_i), np.concatenate(held_j)
+        i, j = np.concatenate(held_i), np.concatenate(held_j)
+        fits = _likely(sketch, n, i, j, threshold)
+        yield i[fits], j[fits]
+
+
+def _likely_rows(sketch: np.ndarray, n: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """As ``_likely`` for all pairs of a group: one row's tokens are marked and counted in all later rows."""
+    top = np.where(n > SKETCH, sketch[:, -1], _TOP - np.uint64(1))
+    known, flat = np.unique(sketch, return_inverse=True)
+    flat = flat.reshape(sketch.shape)
+    mark = np.zeros(len(known), np.int8)
+    found_i, found_j = [], []
+    for x in range(len(n) - 1):
+        mine = flat[x][sketch[x] != _TOP]
+        mark[mine] = 1
+        common = mark[flat[x + 1:]].sum(1, dtype=np.int64)
+        mark[mine] = 0
+        reach = np.minimum(top[x], top[x + 1:])
+        union = (sketch[x] <= reach[:, None]).sum(1) + (sketch[x + 1:] <= reach[:, None]).sum(1) - common
+        whole = (n[x] <= SKETCH) & (n[x + 1:] <= SKETCH)
+        slack = np.where(whole, 1e-9, 4 * np.sqrt(threshold * (1 - threshold) / np.maximum(union, 1)))
+        y = np.flatnonzero(common >= (threshold - slack) * union) + x + 1
+        found_i.append(np.full(len(y), x))
+        found_j.append(y)
+    yield np.concatenate(found_i), np.concatenate(found_j)
 
 
 def _bounds(bucket: np.ndarray) -> np.ndarray:
@@ -177,11 +207,9 @@ def _plausible(threshold: float):
             same = table.column("same").to_numpy(zero_copy_only=False)
             sketch, leaves = _sketch_matrix(table.column("sketch")), _leaf_lists(table.column("leaves"))
             taken = np.zeros(len(bucket), bool)
-            for i, j in _pairs(_bounds(bucket)):
+            for i, j in _pairs(_bounds(bucket), sketch, n, threshold):
                 fits = (np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9) & (same[i] | (blk[i] != blk[j]))
                 i, j = i[fits], j[fits]
-                fits = _likely(sketch, n, i, j, threshold)
-                i, j = i[fits], j[fits]
                 fits = _owned(leaves, path, i, j)
                 taken[i[fits]] = taken[j[fits]] = True
             out = table.filter(pa.array(taken)).drop_columns(["n", "sketch"])
@@ -277,20 +305,24 @@ def similar_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketches = with_set.select("rid", "n", "sketch").dropDuplicates(["rid"])
 
     def met(members: DataFrame) -> DataFrame:
-        """(path, rid, size) of the nodes that more than one set reaches."""
+        """``members`` with the size of their node, where more than one set reaches it."""
         sizes = members.groupBy("path").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
         return cut(members.join(sizes, "path"))
 
     nodes = met(with_set.select(F.explode("paths").alias("path"), "rid").distinct())
-    small, full = nodes.where(F.col("size") <= LEAF), nodes.where(F.col("size") > LEAF)
+    ready, full = nodes.where(F.col("size") <= LEAF), nodes.where(F.col("size") > LEAF)
     for _ in range(DEPTH - 1):
         if full.isEmpty():
             break
-        nodes = met(full.join(sketches, "rid").select("path", "rid", "sketch").mapInArrow(_split, "path long, rid binary").distinct())
-        small, full = small.unionByName(nodes.where(F.col("size") <= LEAF)), nodes.where(F.col("size") > LEAF)
-
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    placed = (small.unionByName(full).withColumn("blk", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
+        onward = full.join(sketches, "rid").select("path", "size", "rid", "sketch")
+        nodes = met(onward.mapInArrow(_split, "parent long, full long, path long, rid binary").distinct())
+        dense = nodes.groupBy("parent", "full").agg(F.max("size").alias("most")).where("2 * most >= full").select("parent")
+        ready = ready.unionByName(full.join(dense, full["path"] == dense["parent"], "left_semi"))
+        nodes = nodes.join(dense, "parent", "left_anti").select("path", "rid", "size")
+        ready, full = ready.unionByName(nodes.where(F.col("size") <= LEAF)), nodes.where(F.col("size") > LEAF)
+
+    blocks = F.ceil(F.col("size") / LEAF).cast("int")
+    placed = (ready.unionByName(full).withColumn("blk", F.pmod(F.xxhash64("rid"), blocks).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
               .select("rid", F.struct(F.xxhash64("path", F.least("blk", "other"), F.greatest("blk", "other")).alias("bucket"), "path", "blk",
                                       (F.col("blk") == F.col("other")).alias("same")).alias("leaf")))

@@ -73,7 +73,6 @@ def test_against_all_pairs(spark):
 
 def test_full_nodes_are_split_and_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "LEAF", 8)
-    monkeypatch.setattr(jaccard_join, "BLOCK", 9)
     rows = list(enumerate(near_group(60, 3) + near_group(20, 4)))
     want, have = brute(rows), got(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sum(w[2] for w in want) * 0.98 <= sum(h[2] for h in have) <= sum(w[2] for w in want)
