@@ -35,8 +35,8 @@ from etlvault.llm.components import connected
 THRESHOLD = 0.8
 RECALL = 0.995   # of pairs exactly at the threshold; more similar pairs meet more often
 BRANCH = 1.25    # tokens a set samples at the root of a run, on average
-SUB_BRANCH = 3.0  # and at each further node
-DEPTH = 3        # levels of splits
+SUB_BRANCH = 2.0  # and at each further node
+DEPTH = 2        # levels of splits
 LEAF = 1_000     # sets of a node that is not split further, and of a block of a dense node
 SKETCH = 64      # least tokens kept as a sketch
 _TOP = np.uint64(2**64 - 1)
