@@ -50,9 +50,10 @@ def expression_class(expression: Column) -> Column:
     return picked.otherwise("EXPRESSION")
 
 
-def short_expression_class(expression: Column) -> Column:
-    return F.when(expression.isNull() | expression.isin("", "DIRECT"), "DIRECT").when(
-        contains_any(F.upper(expression), ["MD5", "SHA", "HASH"]), "HASH").otherwise("EXPRESSION")
+def short_expression_class(expression: Column, source_column: Column) -> Column:
+    """DIRECT for no expression or the bare source column, HASH for digests, else EXPRESSION."""
+    return F.when(expression.isNull() | expression.isin("", "DIRECT") | (expression == source_column), "DIRECT").when(
+        contains_any(F.upper(expression), ["MD5", "SHA"]), "HASH").otherwise("EXPRESSION")
 
 
 def _yes(test: Column) -> Column:

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from etlvault.operators.ordered import first_by
@@ -34,12 +34,12 @@ class Catalogs(NamedTuple):
     views: DataFrame
 
 
-COLUMN_FIELDS = {"tool": "string", "source_file": "string", "job": "string", "position": "int", "table_name": "string",
+COLUMN_FIELDS = {"tool": "string", "source_file": "string", "job": "string", "position": "bigint", "table_name": "string",
                  "schema_name": "string", "role": "string", "ordinal": "int", "column_name": "string",
                  "data_type": "string", "length": "string", "nullable": "boolean", "key_type": "string", "expression": "string"}
-MAPPING_FIELDS = {"tool": "string", "source_file": "string", "job": "string", "ordinal": "int", "source_table": "string",
+MAPPING_FIELDS = {"tool": "string", "source_file": "string", "job": "string", "ordinal": "bigint", "source_table": "string",
                   "source_column": "string", "target_table": "string", "target_column": "string", "expression": "string"}
-TRANSFORM_FIELDS = {"tool": "string", "source_file": "string", "job": "string", "ordinal": "int", "name": "string",
+TRANSFORM_FIELDS = {"tool": "string", "source_file": "string", "job": "string", "ordinal": "bigint", "name": "string",
                     "type": "string", "field": "string", "expression": "string", "data_type": "string"}
 VIEW_FIELDS = {"tool": "string", "source_file": "string", "name": "string", "schema_name": "string", "sql": "string"}
 
@@ -101,6 +101,11 @@ def _first(*options: Column) -> Column:
     return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
 
 
+def _place(outer: str, inner: str) -> Column:
+    """One number that orders by two positions, each of which has 31 bits."""
+    return F.shiftleft(F.col(outer).cast("bigint"), 31) + F.col(inner)
+
+
 def _joined(*arrays: Column, kind: str) -> Column:
     return F.concat(*[F.coalesce(a, F.array().cast(kind)) for a in arrays])
 
@@ -119,12 +124,29 @@ _LINK = f"STRUCT<_SourceStage: STRING, _source_stage: STRING, _TargetStage: STRI
         f"Column: ARRAY<{_COL}>, DSColumn: ARRAY<{_COL}>, Columns: STRUCT<Column: ARRAY<{_COL}>>>"
 _JOB_BODY = f"_Identifier: STRING, _Name: STRING, Stage: ARRAY<{_STAGE}>, DSStage: ARRAY<{_STAGE}>, Link: ARRAY<{_LINK}>, DSLink: ARRAY<{_LINK}>"
 _JOB = f"STRUCT<{_JOB_BODY}>"
-_EXPORT = f"STRUCT<Job: ARRAY<{_JOB}>, DSJob: ARRAY<{_JOB}>, DSExportedObject: ARRAY<{_JOB}>, {_JOB_BODY}>"
+_ATTRIBUTES = r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+"""
+_COLUMN_TAG = rf"<(?:DS)?Column\b{_ATTRIBUTES}>"
 _XML = {"valueTag": "body", "mode": "PERMISSIVE"}
 
 
 def _columns_of(node: str) -> Column:
-    return _joined(F.col(f"{node}.Column"), F.col(f"{node}.DSColumn"), F.col(f"{node}.Columns.Column"), kind=f"ARRAY<{_COL}>")
+    return _joined(F.col(f"{node}.Column"), F.col(f"{node}.DSColumn"), kind=f"ARRAY<{_COL}>")
+
+
+def _blocks(column: str, *names: str) -> Column:
+    """Elements of the given names, at any level, as text."""
+    return F.regexp_extract_all(F.col(column), F.lit(rf"(?s)<({'|'.join(names)})\b{_ATTRIBUTES}(?:(?<=/)>|>.*?</\1\s*+>)"), F.lit(0))
+
+
+def _parsed(blocks: Column, name: str, schema: str) -> Column:
+    """The elements parsed, with the columns of all their levels right below them."""
+    def flat(block: Column) -> Column:
+        head = F.regexp_replace(F.regexp_extract(block, rf"^<\w+{_ATTRIBUTES}>", 0), r"^<\w+|\s*/?>$", "")
+        body = F.regexp_replace(F.regexp_replace(block, rf"(?s)^<\w+{_ATTRIBUTES}>|</\w+\s*+>$", ""), rf"{_COLUMN_TAG}|</(?:DS)?Column\s*+>", "")
+        columns = F.transform(F.regexp_extract_all(block, F.lit(_COLUMN_TAG), F.lit(0)), lambda c: F.regexp_replace(c, r"\s*/?>$", "/>"))
+        return F.concat(F.lit(f"<{name}"), head, F.lit(">"), body, F.array_join(columns, ""), F.lit(f"</{name}>"))
+
+    return F.from_xml(F.concat(F.lit("<all>"), F.array_join(F.transform(blocks, flat), ""), F.lit("</all>")), f"{name} ARRAY<{schema}>", _XML)[name]
 
 
 def harvest_jobs(files: DataFrame, stage_type_only: bool = False) -> Catalogs:
@@ -134,14 +156,13 @@ def harvest_jobs(files: DataFrame, stage_type_only: bool = False) -> Catalogs:
     stages carry the same type on both ends; ``stage_type_only`` decides by type alone.
     """
     tool = "job_export"
-    root = files.select("path", F.from_xml("content", _EXPORT, _XML).alias("x"))
-    whole = F.array(F.struct(*[F.col(f"x.{f}").alias(f) for f in
-                               ("_Identifier", "_Name", "Stage", "DSStage", "Link", "DSLink")]))
+    whole = files.filter(F.from_xml("content", "_version STRING", _XML).isNotNull())
+    blocks = whole.select("path", _blocks("content", "Job", "DSJob", "DSExportedObject").alias("b"), F.col("content"))
+    texts = blocks.select("path", F.posexplode(F.when(F.size("b") > 0, F.col("b")).otherwise(F.array("content"))).alias("at", "t"))
     jobs = (
-        root.filter(F.col("x").isNotNull())
-        .select("path", F.explode(F.coalesce("x.Job", "x.DSJob", "x.DSExportedObject", whole)).alias("j"))
-        .select("path", _first(F.col("j._Identifier"), F.col("j._Name"), F.lit("UNKNOWN_JOB")).alias("job"),
-                F.coalesce("j.Stage", "j.DSStage").alias("stages"), F.coalesce("j.Link", "j.DSLink").alias("links"))
+        texts.select("path", "at", F.from_xml("t", "_Identifier STRING, _Name STRING", _XML).alias("j"),
+                     _parsed(_blocks("t", "Stage", "DSStage"), "Stage", _STAGE).alias("stages"), _parsed(_blocks("t", "Link", "DSLink"), "Link", _LINK).alias("links"))
+        .select("path", _first(F.col("j._Identifier"), F.col("j._Name"), F.lit("UNKNOWN_JOB")).alias("job"), "stages", "links")
         .withColumn("feeds", F.transform("links", lambda k: F.coalesce(k["_SourceStage"], k["_source_stage"])))
         .withColumn("fed", F.transform("links", lambda k: F.coalesce(k["_TargetStage"], k["_target_stage"])))
     )
@@ -184,7 +205,7 @@ def harvest_jobs(files: DataFrame, stage_type_only: bool = False) -> Catalogs:
                          F.posexplode(_columns_of("k")).alias("q", "c"))
     column = _first(F.col("c._Identifier"), F.col("c._Name"))
     mappings = _shape(moved, MAPPING_FIELDS, tool=tool, source_file=F.col("path"), job=F.col("job"),
-                      ordinal=F.col("p") * 100_000 + F.col("q"), source_table=_first(F.col("a1"), F.col("a2")), source_column=column,
+                      ordinal=_place("p", "q"), source_table=_first(F.col("a1"), F.col("a2")), source_column=column,
                       target_table=_first(F.col("b1"), F.col("b2")), target_column=column,
                       expression=_first(F.col("c._Derivation"), F.col("c._Expression")))
     return Catalogs(columns, mappings, transforms, _none(files.sparkSession, VIEW_FIELDS))
@@ -216,7 +237,7 @@ def harvest_mappings(files: DataFrame) -> Catalogs:
         inner = F.flatten(F.transform("f.MAPPING", lambda m: F.coalesce(m[node], F.array().cast(kind))))
         found = folders.select("path", "fp", F.posexplode(_joined(F.col(f"f.{node}"), inner, kind=kind)).alias("p", "t"))
         cells = found.select(
-            "path", (F.col("fp") * 100_000 + F.col("p")).alias("p"),
+            "path", _place("fp", "p").alias("p"),
             _first(F.col("t._NAME"), F.col("t._DBDNAME"), F.lit(f"UNKNOWN_{role.upper()}")).alias("table_name"),
             _first(F.col("t._DBDNAME"), F.col("t._SCHEMANAME")).alias("schema_name"), F.posexplode(f"t.{fields}").alias("ordinal", "c"))
         return _shape(cells, COLUMN_FIELDS, tool=tool, source_file=F.col("path"), position=F.col("p"), table_name=F.col("table_name"),
@@ -228,17 +249,17 @@ def harvest_mappings(files: DataFrame) -> Catalogs:
         tables("TARGET", "TARGETFIELD", "target", f"ARRAY<{_TGT}>"))
     maps = folders.select("path", "fp", F.posexplode("f.MAPPING").alias("mp", "m")).withColumn(
         "job", F.coalesce("m._NAME", F.lit("UNKNOWN_MAPPING")))
-    at = F.col("fp") * 10_000 + F.col("mp")
+    at = F.shiftleft(F.col("fp").cast("bigint"), 16) + F.col("mp")
     steps = maps.select("path", "job", at.alias("at"), F.posexplode("m.TRANSFORMATION").alias("sp", "s")).select(
         "path", "job", "at", "sp", "s", F.posexplode("s.TRANSFORMFIELD").alias("pp", "p"))
     steps = steps.withColumn("text", _first(F.col("p._EXPRESSION"), F.col("p._DEFAULTVALUE"))).filter("text <> ''")
     transforms = _shape(steps, TRANSFORM_FIELDS, tool=tool, source_file=F.col("path"), job=F.col("job"),
-                        ordinal=F.col("at") * 100_000 + F.col("sp") * 1_000 + F.col("pp"), name=F.coalesce("s._NAME", F.lit("")),
+                        ordinal=F.shiftleft(F.shiftleft("at", 16) + F.col("sp"), 16) + F.col("pp"), name=F.coalesce("s._NAME", F.lit("")),
                         type=F.lower(F.coalesce("s._TYPE", F.lit(""))), field=F.coalesce("p._NAME", F.lit("")),
                         expression=F.col("text"), data_type=F.coalesce("p._DATATYPE", F.lit("")))
     wires = maps.select("path", "job", at.alias("at"), F.posexplode("m.CONNECTOR").alias("wp", "w"))
     mappings = _shape(wires, MAPPING_FIELDS, tool=tool, source_file=F.col("path"), job=F.col("job"),
-                      ordinal=F.col("at") * 100_000 + F.col("wp"), source_table=F.coalesce("w._FROMINSTANCE", F.lit("")),
+                      ordinal=F.shiftleft("at", 32) + F.col("wp"), source_table=F.coalesce("w._FROMINSTANCE", F.lit("")),
                       source_column=F.coalesce("w._FROMFIELD", F.lit("")), target_table=F.coalesce("w._TOINSTANCE", F.lit("")),
                       target_column=F.coalesce("w._TOFIELD", F.lit("")))
     return Catalogs(columns, mappings, transforms, _none(files.sparkSession, VIEW_FIELDS))
@@ -250,8 +271,7 @@ _RULE_COL = "STRUCT<columnName: STRING, column_name: STRING, dataType: STRING, d
             "nullable: STRING, expression: STRING>"
 _RULES = f"ARRAY<STRUCT<tableName: STRING, table_name: STRING, schemaName: STRING, schema_name: STRING, " \
          f"columns: ARRAY<{_RULE_COL}>, columnRules: ARRAY<{_RULE_COL}>>>"
-_RULE_KEYS = ("tableRules", "table_rules", "tables")
-_JSON_DEPTH = 4
+_RULE_KEY = r'"(?:tableRules|table_rules|tables)"\s*+:\s*+(?=\[)'
 
 
 def _attribute(text: Column, *names: str) -> Column:
@@ -259,18 +279,14 @@ def _attribute(text: Column, *names: str) -> Column:
 
 
 def harvest_replication(files: DataFrame) -> Catalogs:
-    """Replication tasks: table rules with their columns, at any of the upper JSON levels or as XML attributes."""
+    """Replication tasks: table rules with their columns, at any JSON level or as XML attributes."""
     tool = "replication"
     trimmed = files.select("path", F.trim("content").alias("doc"))
-    level, found = trimmed.filter(F.substring("doc", 1, 1).isin("{", "[")), []
-    for _ in range(_JSON_DEPTH):
-        # nested objects come back as JSON text, so each level is one more map parse
-        listed = F.when(F.substring("doc", 1, 1) == "[", F.from_json("doc", "ARRAY<STRING>")).otherwise(F.array("doc"))
-        entries = level.select("path", F.explode(listed).alias("doc")).select(
-            "path", F.explode(F.from_json("doc", "MAP<STRING, STRING>")).alias("k", "doc"))
-        found.append(entries.filter(F.col("k").isin(*_RULE_KEYS)).select("path", "doc"))
-        level = entries.filter(F.substring("doc", 1, 1).isin("{", "[")).select("path", "doc")
-    rules = reduce(DataFrame.unionByName, found).select("path", F.posexplode(F.from_json("doc", _RULES)).alias("p", "t"))
+    # a list of rules begins after its key, however deep; reading it stops where the list ends
+    parts = trimmed.filter(F.substring("doc", 1, 1).isin("{", "[")).select("path", F.split("doc", _RULE_KEY).alias("parts")).filter(F.size("parts") > 1)
+    lists = parts.select("path", "parts", F.explode(F.sequence(F.lit(2), F.size("parts"))).alias("at")).select(
+        "path", "at", F.array_join(F.slice("parts", F.col("at"), F.size("parts")), '"tables":').alias("doc"))
+    rules = lists.select("path", "at", F.posexplode(F.from_json("doc", _RULES)).alias("k", "t")).withColumn("p", _place("at", "k"))
     cells = rules.select("path", "p", _first(F.col("t.tableName"), F.col("t.table_name"), F.lit("UNKNOWN")).alias("table_name"),
                          _first(F.col("t.schemaName"), F.col("t.schema_name")).alias("schema_name"),
                          F.posexplode(F.coalesce("t.columns", "t.columnRules")).alias("ordinal", "c"))
@@ -305,97 +321,157 @@ def harvest_replication(files: DataFrame) -> Catalogs:
 
 # ------------------------------------------------------------------------- scripts
 
-# Statement patterns of the supported script dialects.
-_NAME = r'[`"\[]?[\w.]+[`"\]]?'
+_NAME = r'[`"\[]?[\w.]++[`"\]]?'
 _QUOTES = r'[`"\[\]]'
-_COMMENT = r"(?s)--[^\n]*|/\*.*?\*/"
-_BODY = r"\(([^;()]*(?:\([^()]*\)[^;()]*)*)\)"
-_OR_REPLACE = r"CREATE\s+(?:OR\s+REPLACE\s+)?"
-_TABLE = rf"(?i){_OR_REPLACE}(?:TEMP(?:ORARY)?\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})\s*{_BODY}"
-_BASE_VIEW = rf"(?i){_OR_REPLACE}BASE\s+VIEW\s+({_NAME})\s*{_BODY}"
-_VIEW = rf"(?is){_OR_REPLACE}(?:INTERFACE\s+)?VIEW\s+({_NAME})\s+AS\s+(SELECT\s+.+?)(?=CREATE|$)"
-_INSERT = rf"(?is)INSERT\s+(?:INTO\s+)?({_NAME})(?:\s*\(([^)]+)\))?\s+SELECT\s+(.+?)\s+FROM\s+({_NAME})"
-_SOURCE = rf"(?i){_OR_REPLACE}(?:JDBC|DF|WS|CUSTOM|LDAP|ODBC|WEB|BSON|JSON|XML|ITP|SAPERP)?\s*DATA\s*SOURCE\s+(\w+)"
-_COMMA = r",(?![^()]*(?:\([^()]*\)[^()]*)*\))"
+# Quoted text is kept, comments go. Possessive repeats, here and below, run as loops of any length.
+_COMMENT = r"""(?s)('[^']*+'|"[^"]*+")|--[^\n]*+|/\*.*?\*/"""
+# A script as quoted text, single marks, and the text between them, which starts anew at a statement's first word.
+_TOKEN = r"""'[^']*+'|"[^"]*+"|`[^`]*+`|[(),;'"`]|[^'"`(),;]++"""
+_FIRST_WORD = r"(?i)(?<![\w.])(?=(?:CREATE|INSERT)\s)"
+_CREATE = r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?"
+_TABLE = rf"{_CREATE}(?:TEMP(?:ORARY)?\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})\s*+\("
+_BASE_VIEW = rf"{_CREATE}BASE\s+VIEW\s+({_NAME})\s*+\("
+_VIEW = rf"{_CREATE}(?:INTERFACE\s+)?VIEW\s+({_NAME})\s+(?:\([^()]*+\)\s*+)?AS\s+(SELECT\s.+|WITH\s.+)$"
+_INSERT = rf"(?is)^INSERT\s+(?:INTO\s+)?({_NAME})(?:\s*+\(([^()]++)\))?\s+SELECT\s+(.+)$"
+_FROM = rf"(?is)^\s*FROM\s+({_NAME})"
+# The kinds of data sources a script can create.
+DATA_SOURCES = ("JDBC", "DF", "WS", "CUSTOM", "LDAP", "ODBC", "WEB", "BSON", "JSON", "XML", "ITP", "SAPERP")
+_SOURCE = rf"{_CREATE}(?:{'|'.join(DATA_SOURCES)})?\s*+DATA\s*+SOURCE\s+(\w++)"
 _CONSTRAINT = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|CHECK)\b"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def _bare(name: Column) -> Column:
     return F.regexp_replace(_strip(name), _QUOTES, "")
 
 
-def _groups(text: Column, pattern: str, *names: str) -> Column:
-    """All matches as an array of structs, one field per capture group."""
-    return F.arrays_zip(*[F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
+
+
+def _words(text: Column) -> Column:
+    """The tokens of a script, those that hold a statement's first word cut before it."""
+    return F.flatten(F.transform(_tokens(text), lambda t: F.when(F.regexp_like(t, F.lit("^['\"`]")), F.array(t)).otherwise(F.split(t, _FIRST_WORD))))
 
 
-def _select_items(sql: Column) -> Column:
-    items = F.split(F.regexp_extract(sql, r"(?is)SELECT\s+(.+?)\s+FROM", 1), _COMMA)
-    return F.filter(F.transform(items, _strip), lambda t: t != "")
+def _nested(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Token rows (i, t) with ``depth``, the parentheses open before each token of its text."""
+    change = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
+    return rows.withColumn("depth", F.greatest(F.lit(0), F.coalesce(F.sum(change).over(_before(keys)), F.lit(0))))
 
 
-def _clean(files: DataFrame) -> DataFrame:
-    return files.select("path", "content", F.regexp_replace("content", _COMMENT, " ").alias("text"))
+def _before(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _so_far(test: Column, keys: list[str]) -> Column:
+    """How often ``test`` held before a token of its text."""
+    return F.coalesce(F.sum(test.cast("int")).over(_before(keys)), F.lit(0))
+
+
+def _joined_text(rows: DataFrame, *keys: str) -> DataFrame:
+    """One row per key with the tokens laid end to end as ``item`` and the first one's number as ``at``."""
+    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("all"), F.min("i").alias("at")).select(
+        *keys, "at", _strip(F.array_join(F.col("all.t"), "")).alias("item"))
+
+
+def _statements(files: DataFrame) -> DataFrame:
+    """(path, p, text, closed): the statements of every script, without comments.
+
+    A statement ends at a semicolon outside quotes, or before CREATE or INSERT outside
+    parentheses. Tokens are rows, so that long scripts take time in proportion.
+    """
+    rows = files.select("path", F.posexplode(_words(F.regexp_replace("content", _COMMENT, "$1 "))).alias("i", "t"))
+    rows = _nested(rows.withColumn("part", _so_far(F.col("t") == ";", ["path"])), ["path", "part"])
+    first = (F.col("depth") == 0) & F.regexp_like("t", F.lit(r"(?i)^(CREATE|INSERT)\s"))
+    rows = rows.withColumn("turn", _so_far(first, ["path", "part"]) + first.cast("int"))
+    closed = rows.filter("t = ';'").select("path", "part", "turn", F.lit(True).alias("closed"))
+    made = _joined_text(rows.filter("t <> ';'"), "path", "part", "turn").join(closed, ["path", "part", "turn"], "left")
+    return made.filter("item <> ''").select("path", F.col("at").alias("p"), F.col("item").alias("text"), F.coalesce("closed", F.lit(False)).alias("closed"))
+
+
+def _list_items(statements: DataFrame) -> DataFrame:
+    """(path, p, q, item): parts of the first parenthesised list of (path, p, text), between its own commas."""
+    keys, t, depth = ["path", "p"], F.col("t"), F.col("depth")
+    rows = _nested(statements.select(*keys, F.posexplode(_tokens(F.col("text"))).alias("i", "t")), keys)
+    rows = rows.withColumn("done", _so_far((t == ")") & (depth == 1), keys)).filter((F.col("done") == 0) & (depth > 0))
+    rows = rows.withColumn("q", _so_far((t == ",") & (depth == 1), keys)).filter(~((depth == 1) & t.isin(",", ")")))
+    return _joined_text(rows, "path", "p", "q").drop("at")
+
+
+def _select_list(queries: DataFrame) -> DataFrame:
+    """(path, p, q, item, source_table): what the select list of (path, p, text) names; queries without FROM give none."""
+    keys, t, depth = ["path", "p"], F.col("t"), F.col("depth")
+    words = F.flatten(F.transform(_tokens(F.regexp_extract("text", r"(?is)^(?:SELECT\s+)?(.*)$", 1)), lambda x: F.split(x, r"(?i)(?<![\w.])(?=FROM\s)")))
+    rows = _nested(queries.select(*keys, F.posexplode(words).alias("i", "t")), keys)
+    ahead = Window.partitionBy(*keys).orderBy("i")
+    # the name after FROM stands in the next tokens, if it is quoted
+    rows = rows.withColumn("rest", F.concat(t, *[F.coalesce(F.lead("t", k).over(ahead), F.lit("")) for k in (1, 2, 3)]))
+    start = (depth == 0) & F.regexp_like("t", F.lit(r"(?i)^FROM\s"))
+    whole = Window.partitionBy(*keys)
+    rows = rows.withColumn("from", F.min(F.when(start, F.col("i"))).over(whole)).filter("i <= `from`")
+    rows = rows.withColumn("source_table", _bare(F.regexp_extract(F.max(F.when(F.col("i") == F.col("from"), F.col("rest"))).over(whole), _FROM, 1)))
+    rows = rows.filter("i < `from`").withColumn("q", _so_far((t == ",") & (depth == 0), keys)).filter(~((depth == 0) & (t == ",")))
+    return _joined_text(rows, "path", "p", "q", "source_table").drop("at").filter("item <> ''")
 
 
 def harvest_ddl(files: DataFrame) -> Catalogs:
     """Scripts: table and base-view columns, views, and the positional mappings of INSERT … SELECT.
 
-    A bulk extraction with a few patterns over comment-free text, not a grammar. Views of
-    ``.vql`` files also map their source columns; a ``.vw`` file without a match is taken
-    whole as a view named after the file.
+    A script is cut into statements and lists by quotes, parentheses and commas; a few small
+    patterns then tell the statements apart. It is no grammar. Views of ``.vql`` files also map
+    their source columns; a ``.vw`` file without a table or view is taken whole as a view named
+    after the file.
     """
-    clean = _clean(files).withColumn("vql", extension(F.col("path")) == ".vql").withColumn(
-        "schema_name", F.when(F.col("vql"), F.lit("denodo")).otherwise(F.lit("")))
+    vql = extension(F.col("path")) == ".vql"
+    schema = F.when(vql, F.lit("denodo")).otherwise(F.lit(""))
+    statements = _statements(files)
     text = F.col("text")
-    kind = "array<struct<name:string,body:string>>"
-    tables = clean.select("path", "schema_name", F.posexplode(F.concat(
-        _groups(text, _TABLE, "name", "body").cast(kind), _groups(text, _BASE_VIEW, "name", "body").cast(kind))).alias("p", "t"))
-    lines = tables.select("path", "schema_name", "p", _bare(F.col("t.name")).alias("table_name"),
-                          F.posexplode(F.filter(F.transform(F.split("t.body", _COMMA), _strip),
-                                                lambda d: (d != "") & ~F.regexp_like(d, F.lit(_CONSTRAINT)))).alias("ordinal", "d"))
+
+    table_name = _first(F.regexp_extract(text, _TABLE, 1), F.regexp_extract(text, _BASE_VIEW, 1))
+    tables = statements.select("path", "p", "text", _bare(table_name).alias("table_name")).filter("table_name <> ''")
+    lines = _list_items(tables).withColumnRenamed("item", "d").filter((F.col("d") != "") & ~F.regexp_like("d", F.lit(_CONSTRAINT)))
+    lines = lines.withColumn("ordinal", F.row_number().over(Window.partitionBy("path", "p").orderBy("q")) - 1).join(tables.drop("text"), ["path", "p"])
     d = F.col("d")
     columns = _shape(lines, COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("table_name"),
-                     schema_name=F.col("schema_name"), role="source", ordinal=F.col("ordinal"),
-                     column_name=F.regexp_extract(d, r'^[`"\[]?(\w+)', 1),
-                     data_type=F.regexp_extract(d, r'^[`"\[]?\w+[`"\]]?\s+(\w+(?:\s*\([^)]*\))?)', 1),
+                     schema_name=schema, role="source", ordinal=F.col("ordinal"),
+                     column_name=_first(F.regexp_extract(d, r'^[`"\[]([^`"\]]++)', 1), F.regexp_extract(d, r'^(\w+)', 1)),
+                     data_type=F.regexp_extract(d, r'^(?:[`"\[][^`"\]]++[`"\]]|\w++)\s+(\w+(?:\s*\([^)]*\))?)', 1),
                      nullable=~F.regexp_like(d, F.lit(r"(?i)NOT\s+NULL")),
                      key_type=F.when(F.regexp_like(d, F.lit(r"(?i)PRIMARY\s+KEY")), F.lit("PRIMARY KEY"))
                      .when(F.regexp_like(d, F.lit(r"(?i)REFERENCES\s")), F.lit("FOREIGN KEY")).otherwise(F.lit("")))
 
-    named = clean.withColumn("v", _groups(text, _VIEW, "name", "sql").cast("array<struct<name:string,sql:string>>"))
+    shown = statements.select("path", "p", _bare(F.regexp_extract(text, _VIEW, 1)).alias("name"),
+                              F.concat(F.regexp_extract(text, _VIEW, 2), F.when(F.col("closed"), ";").otherwise("")).alias("text")).filter("name <> ''")
     stem = F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")
-    lone = (extension(F.col("path")) == ".vw") & (F.size("v") == 0) & ~F.regexp_like(text, F.lit(_TABLE))
-    found = named.select("path", "vql", "schema_name", F.inline(
-        F.when(lone, F.array(F.struct(stem.alias("name"), F.col("content").alias("sql")))).otherwise(F.col("v"))))
-    views = _shape(found, VIEW_FIELDS, tool="script", source_file=F.col("path"), name=_bare(F.col("name")),
-                   schema_name=F.col("schema_name"), sql=_strip(F.col("sql")))
-
-    moves = clean.select("path", F.posexplode(_groups(text, _INSERT, "target", "names", "items", "source")).alias("p", "i")).select(
-        "path", "p", _bare(F.col("i.target")).alias("target_table"), _bare(F.col("i.source")).alias("source_table"),
-        F.posexplode(F.arrays_zip(F.transform(F.split("i.names", ","), _bare).alias("t"),
-                                  F.transform(F.split("i.items", _COMMA), _bare).alias("s"))).alias("q", "x")).filter(
-        (F.col("x.t") != "") & F.col("x.s").isNotNull())
-    inserted = _shape(moves, MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=F.col("p") * 100_000 + F.col("q"),
-                      source_table=F.col("source_table"), source_column=F.col("x.s"), target_table=F.col("target_table"),
-                      target_column=F.col("x.t"), expression=F.col("x.s"))
-    shown = found.filter("vql").select(
-        "path", _bare(F.col("name")).alias("name"), _bare(F.regexp_extract("sql", rf"(?is)\sFROM\s+({_NAME})", 1)).alias("source_table"),
-        F.posexplode(_select_items(F.col("sql"))).alias("q", "item"))
+    known = shown.select("path").unionByName(tables.select("path")).distinct()
+    lone = (files.filter(extension(F.col("path")) == ".vw").join(known, "path", "left_anti")
+            .select("path", F.lit(0).alias("p"), stem.alias("name"), _strip(F.col("content")).alias("text")))
+    found = shown.unionByName(lone)
+    views = _shape(found, VIEW_FIELDS, tool="script", source_file=F.col("path"), name=F.col("name"), schema_name=schema, sql=text)
+    output = _select_list(found).join(found.drop("text"), ["path", "p"]).withColumn("target", F.regexp_extract("item", r'(\w+)[`"\]]?$', 1))
+    view_columns = _shape(output.filter("target <> ''"), COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("name"),
+                          schema_name=schema, role="view", ordinal=F.col("q"), column_name=F.col("target"), nullable=True, expression=F.col("item"))
+
+    moves = statements.select("path", "p", _bare(F.regexp_extract(text, _INSERT, 1)).alias("target_table"),
+                              F.split(F.regexp_extract(text, _INSERT, 2), ",").alias("names"), F.regexp_extract(text, _INSERT, 3).alias("text")).filter("target_table <> ''")
+    moved = (_select_list(moves).join(moves.drop("text"), ["path", "p"])
+             .withColumn("t", _bare(F.coalesce(F.get("names", F.col("q").cast("int")), F.lit("")))).withColumn("s", _bare(F.col("item"))).filter("t <> ''"))
+    inserted = _shape(moved, MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=_place("p", "q"),
+                      source_table=F.col("source_table"), source_column=F.col("s"), target_table=F.col("target_table"),
+                      target_column=F.col("t"), expression=F.col("s"))
     item = F.col("item")
-    viewed = _shape(shown, MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=F.col("q"), source_table=F.col("source_table"),
-                    source_column=_bare(F.substring_index(item, ".", -1)), target_table=F.col("name"),
-                    target_column=F.regexp_extract(item, r'(\w+)[`"\]]?$', 1), expression=item)
-    return Catalogs(columns, inserted.unionByName(viewed), _none(files.sparkSession, TRANSFORM_FIELDS), views)
+    viewed = _shape(output.filter(vql), MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=F.col("q"), source_table=F.col("source_table"),
+                    source_column=_bare(F.substring_index(item, ".", -1)), target_table=F.col("name"), target_column=F.col("target"), expression=item)
+    return Catalogs(columns.unionByName(view_columns), inserted.unionByName(viewed), _none(files.sparkSession, TRANSFORM_FIELDS), views)
 
 
 def data_sources(files: DataFrame) -> DataFrame:
     """Names of the data sources scripts create."""
-    return _clean(files).select("path", F.explode(F.regexp_extract_all("text", F.lit(_SOURCE), F.lit(1))).alias("data_source"))
+    return _statements(files).select("path", F.regexp_extract("text", _SOURCE, 1).alias("data_source")).filter("data_source <> ''")
 
 
 # --------------------------------------------------------------------- all together

@@ -70,7 +70,12 @@ def replication_tasks(spark, sf_dir) -> DataFrame:
 
 
 def harvest_ddl(spark, sf_dir):
-    return artifacts.harvest_ddl(scripts(spark, sf_dir)).columns.select(CATALOG_COLUMNS)
+    return artifacts.harvest_ddl(scripts(spark, sf_dir)).columns.filter("role = 'source'").select(CATALOG_COLUMNS)
+
+
+def harvest_views(spark, sf_dir):
+    """The columns that views show."""
+    return artifacts.harvest_ddl(scripts(spark, sf_dir)).columns.filter("role = 'view'").select("table_name", "ordinal", "column_name", "expression")
 
 
 def harvest_ddl_moves(spark, sf_dir):
@@ -210,7 +215,7 @@ def dq_rule_counts(spark, sf_dir):
 
 
 QUERIES = {
-    "harvest_ddl": harvest_ddl, "harvest_ddl_moves": harvest_ddl_moves, "harvest_jobs": harvest_jobs, "harvest_job_links": harvest_job_links,
+    "harvest_ddl": harvest_ddl, "harvest_views": harvest_views, "harvest_ddl_moves": harvest_ddl_moves, "harvest_jobs": harvest_jobs, "harvest_job_links": harvest_job_links,
     "harvest_mappings": harvest_mappings, "harvest_transforms": harvest_transforms, "harvest_replication": harvest_replication,
     "harvest_all": harvest_all, "sttm_build": sttm_build, "sttm_summary": sttm_summary, "sttm_by_tool": sttm_by_tool,
     "sttm_unmapped": sttm_unmapped, "sttm_personal": sttm_personal, "sttm_apply": sttm_apply, "model_business_keys": model_business_keys,
@@ -313,6 +318,8 @@ _TYPE = """case when contains(data_type, 'CHAR') then 'string' when contains(dat
 
 ORACLE = {
     "harvest_ddl": f"with {_CAT} select table_name, ordinal, column_name, data_type, nullable, case when key_type = 'NOT A KEY' then '' else key_type end as key_type from cat",
+    "harvest_views": f"""with {_CAT}, t as (select distinct table_name from cat)
+        select 'V_' || table_name as table_name, 0 as ordinal, 'K' as column_name, 'K' as expression from t union all select 'V_' || table_name, 1, 'V', 'V' from t""",
     "harvest_ddl_moves": f"""with {_CAT}, t as (select distinct table_name from cat)
         select 'TGT_' || table_name as target_table, 'K' as target_column, 'MD5(CAST(ID AS VARCHAR))' as expression from t
         union all select 'TGT_' || table_name, 'V', 'NVL(V, 0)' from t
@@ -331,7 +338,7 @@ ORACLE = {
         case when key_type = 'PRIMARY KEY' then key_type else '' end as key_type from cat""",
     "harvest_all": f"""with {_CAT}, t as (select count(distinct table_name) as files, count(*) as n from cat)
         select unnest(['script', 'job_export', 'mapping_export', 'replication']) as tool, 'source' as role, n as columns, files from t
-        union all select 'job_export', 'target', files, files from t""",
+        union all select 'job_export', 'target', files, files from t union all select 'script', 'view', 2 * files, files from t""",
     "sttm_build": f"with {_STTM} select * from sttm",
     "sttm_summary": f"""with {_STTM} select count(*) as total_mappings, count(*) filter (where target_table <> '{mapping.UNMAPPED}') as mapped,
         count(*) filter (where target_table = '{mapping.UNMAPPED}') as unmapped, count(*) filter (where pii_flag = 'Y') as pii_columns,

@@ -81,7 +81,7 @@ def test_mapping_export(files):
 
 def test_scripts(files):
     c = artifacts.harvest_ddl(of(files, "orders.sql", "products.vql", "customer.vw", "empty.vw", "noise.md"))
-    assert names(c.columns, "table_name", "column_name", "data_type", "nullable", "key_type") == [
+    assert names(c.columns.filter("role = 'source'"), "table_name", "column_name", "data_type", "nullable", "key_type") == [
         ("SRC_ORDER", "CUSTOMER_ID", "INTEGER", False, ""), ("SRC_ORDER", "ORDER_AMOUNT", "DECIMAL(18,2)", True, ""),
         ("SRC_ORDER", "ORDER_ID", "INTEGER", False, "PRIMARY KEY"), ("bv_product", "PRODUCT_ID", "int", True, ""),
         ("bv_product", "PRODUCT_NAME", "text", True, "")]
@@ -105,8 +105,8 @@ def test_routing_and_merge(files):
     c = artifacts.harvest(files)
     assert {r.tool for r in c.columns.select("tool").distinct().collect()} == {"job_export", "mapping_export", "script", "replication"}
     twice = artifacts.merge([artifacts.harvest_ddl(of(files, "orders.sql"))] * 2)
-    assert twice.columns.count() == 3
-    moved = artifacts.harvest_ddl(of(files, "orders.sql")).columns
+    assert twice.columns.filter("role = 'source'").count() == 3
+    moved = artifacts.harvest_ddl(of(files, "orders.sql")).columns.filter("role = 'source'")
     both = moved.unionByName(moved.withColumn("source_file", F.lit("zzz")))
     assert artifacts.unify(both).count() == 3
     routes = {r.path.rsplit("/", 1)[1]: r.tool for r in artifacts.route(files).collect()}
@@ -168,10 +168,11 @@ def test_sttm(sttm):
 
 @pytest.mark.parametrize("expression,want,short", [
     ("", "DIRECT", "DIRECT"), ("MD5(a)", "HASH", "HASH"), ("ACCOUNT", "AGGREGATE", "EXPRESSION"), ("CASE WHEN a THEN b END", "CONDITIONAL", "EXPRESSION"),
-    ("a || b", "STRING_TRANSFORM", "EXPRESSION"), ("TO_DATE(a)", "TYPE_CAST", "EXPRESSION"), ("LOOKUP(a)", "LOOKUP", "EXPRESSION"), ("a + 1", "EXPRESSION", "EXPRESSION")])
+    ("a || b", "STRING_TRANSFORM", "EXPRESSION"), ("TO_DATE(a)", "TYPE_CAST", "EXPRESSION"), ("LOOKUP(a)", "LOOKUP", "EXPRESSION"), ("a + 1", "EXPRESSION", "EXPRESSION"),
+    ("SRC", "EXPRESSION", "DIRECT"), ("HASHED", "HASH", "EXPRESSION")])
 def test_expression_classes(spark, expression, want, short):
     e = F.lit(expression)
-    r = spark.range(1).select(mapping.expression_class(e).alias("a"), mapping.short_expression_class(e).alias("b")).collect()[0]
+    r = spark.range(1).select(mapping.expression_class(e).alias("a"), mapping.short_expression_class(e, F.lit("SRC")).alias("b")).collect()[0]
     assert (r.a, r.b) == (want, short)
 
 
@@ -258,3 +259,54 @@ def test_metadata_round_trip(spark, catalog, tmp_path):
     assert names(history.read_metadata(spark, str(tmp_path), {"columns": schema})["columns"], "table_name", "column_name") == names(catalog, "table_name", "column_name")
     other = spark.createDataFrame([("a", "b", None, "d"), ("q", "r", "s", "t")], "src_table string, src_col string, target_table string, tgt_table string")
     assert names(history.to_common(other, "mapping"), "source_table", "source_column", "target_table") == [("a", "b", "d"), ("q", "r", "s")]
+
+
+def scripts(spark, **files):
+    return artifacts.harvest_ddl(spark.createDataFrame([(k.replace("_", "."), v) for k, v in files.items()], "path string, content string"))
+
+
+def test_view_text_ends_with_its_statement(spark):
+    got = scripts(spark, a_sql="""CREATE VIEW v AS SELECT id, created_at, amount AS total FROM orders WHERE create_date > 1;
+        INSERT INTO t (x, y) SELECT f(a, b), 'p;q,(' FROM src WHERE z; CREATE OR REPLACE VIEW w AS WITH q AS (SELECT 1) SELECT k FROM q""")
+    assert names(got.views, "name", "sql") == [
+        ("v", "SELECT id, created_at, amount AS total FROM orders WHERE create_date > 1;"), ("w", "WITH q AS (SELECT 1) SELECT k FROM q")]
+    assert names(got.columns.filter("role = 'view' AND table_name = 'v'"), "ordinal", "column_name") == [(0, "id"), (1, "created_at"), (2, "total")]
+    assert names(got.mappings, "target_table", "target_column", "source_table", "expression") == [("t", "x", "src", "f(a, b)"), ("t", "y", "src", "'p;q,('")]
+
+
+def test_table_bodies_nest_and_quote(spark):
+    got = scripts(spark, a_sql="""CREATE TABLE q (a INT DEFAULT (coalesce((1),(2))), b VARCHAR(10) DEFAULT '; -- )', "c d" INT /* , z INT */, PRIMARY KEY (a))
+        CREATE TABLE r (x DECIMAL(18, 2) NOT NULL)""", b_sql="CREATE TABLE open (u INT, v INT", c_vw="SELECT 1 FROM d", d_sql="")
+    assert names(got.columns.filter("role = 'source'"), "table_name", "ordinal", "column_name", "data_type") == [
+        ("open", 0, "u", "INT"), ("open", 1, "v", "INT"), ("q", 0, "a", "INT"), ("q", 1, "b", "VARCHAR(10)"), ("q", 2, "c d", "INT"), ("r", 0, "x", "DECIMAL(18, 2)")]
+    assert names(got.views, "name", "sql") == [("c", "SELECT 1 FROM d")]
+
+
+def test_wide_table(spark):
+    body = ", ".join(f"c{i} DECIMAL(18,2) DEFAULT 'x'" for i in range(20_000))
+    got = scripts(spark, a_sql=f"CREATE TABLE wide ({body});")
+    r = got.columns.agg(F.count("*"), F.max("ordinal"), F.countDistinct("column_name"), F.min("data_type")).collect()[0]
+    assert tuple(r) == (20_000, 19_999, 20_000, "DECIMAL(18,2)")
+
+
+def test_rules_at_any_level(spark):
+    rules = '[{"tableName": "t", "columns": [{"columnName": "a"}, {"columnName": "b"}]}, {"tableName": "u", "columns": [{"columnName": "c"}]}]'
+    deep = '{"k": ' * 12 + '{"note": "x \\"tables\\": [", "tableRules": ' + rules + ', "z": [1]}' + "}" * 12
+    files = spark.createDataFrame([("a.atl", deep), ("b.atl", '[{"tables": ' + rules + '}, {"table_rules": ' + rules + "}]"), ("c.atl", "{broken"), ("d.atl", "")], "path string, content string")
+    got = artifacts.harvest_replication(files).columns.groupBy("source_file").agg(F.count("*"), F.countDistinct("position"))
+    assert names(got) == [("a.atl", 3, 2), ("b.atl", 6, 4)]
+
+
+def test_jobs_and_columns_at_any_level(spark):
+    text = ('<?xml version="1.0"?><DSExport><Project><Job Identifier="J1"><Stage Identifier="S" StageType="OracleSource"><Record><Column Identifier="A" SqlType="INT"/>'
+            '<Group><Column Name="B &gt; 1"></Column></Group></Record></Stage><Link SourceStage="S" TargetStage="T"><Columns><Column Identifier="A"/></Columns></Link></Job>'
+            '<Job Identifier="J2"><Stages><DSStage Name="X" Type="odbc sink"/></Stages></Job></Project></DSExport>')
+    got = artifacts.harvest_jobs(spark.createDataFrame([("a.dsx", text), ("b.dsx", "<broken")], "path string, content string"))
+    assert names(got.columns, "job", "table_name", "ordinal", "column_name") == [("J1", "S", 0, "A"), ("J1", "S", 1, "B > 1")]
+    assert names(got.mappings, "job", "source_table", "target_table", "source_column") == [("J1", "S", "T", "A")]
+
+
+def test_many_folders(spark):
+    folder = '<FOLDER NAME="F"><MAPPING NAME="M"><TRANSFORMATION NAME="E" TYPE="x">' + "".join(f'<TRANSFORMFIELD NAME="P{i}" EXPRESSION="{i}"/>' for i in range(1200)) + "</TRANSFORMATION></MAPPING></FOLDER>"
+    got = artifacts.harvest_mappings(spark.createDataFrame([("a.xml", "<POWERMART>" + folder * 50 + "</POWERMART>")], "path string, content string")).transforms
+    assert tuple(got.agg(F.count("*"), F.countDistinct("ordinal")).collect()[0]) == (60_000, 60_000)
