@@ -44,19 +44,20 @@ def _octets(hit: Column) -> Column:
 # Patterns and scores; list order breaks ties between hits that start together.
 _AT = "@"
 _SSN_FORM, _DATE_FORM = "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{4}-[0-9]{2}-[0-9]{2}"
-_WORD_RUN = r"[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*"
+# possessive repeats run as a loop in Java; plain ones recurse once per part of a long run
+_WORD_RUN = r"[A-Za-z0-9_]++(?:-[A-Za-z0-9_]++)*+"
 RECOGNISERS = (
     Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "", 1.0, _AT),
     Recogniser("US_SSN", _WORD_RUN, f"^{_SSN_FORM}$", 0.85, _SSN_FORM),
     Recogniser("CREDIT_CARD", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]+|[0-9]{4}[ -][0-9]{6}[ -][0-9]+|[A-Za-z0-9_]+",
                r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$", 1.0,
                "[0-9](?:[ -]?[0-9]){12}", luhn),
-    Recogniser("IP_ADDRESS", r"[A-Za-z0-9_]+(?:\.[A-Za-z0-9_]+)*", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", 0.95,
+    Recogniser("IP_ADDRESS", r"[A-Za-z0-9_]++(?:\.[A-Za-z0-9_]++)*+", r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", 0.95,
                r"[0-9]\.[0-9]{1,3}\.[0-9]", _octets),
     Recogniser("DATE_TIME", _WORD_RUN, r"^[0-9]{4}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])$", 0.6, _DATE_FORM),
     Recogniser("PHONE_NUMBER", r"\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}[0-9]*"
                r"|\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}[0-9]*|\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]+|[0-9]{3}[ .-][0-9]{3}[ .-][0-9]+"
-               r"|[A-Za-z0-9_]+(?:\.[0-9]+)*",
+               r"|[A-Za-z0-9_]++(?:\.[0-9]++)*+",
                r"^\+[0-9]{1,3}[ .-]?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-]?)[0-9]{3}[ .-]?[0-9]{4}$|^\+[0-9]{1,3}(?:[ .-][0-9]{2,4}){2,4}$"
                r"|^\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}$|^[0-9]{3}[ .-][0-9]{3}[ .-][0-9]{4}$", 0.75, r"[ .-][0-9]{4}|\+[0-9]"),
 )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from etlvault.operators import pii
@@ -18,8 +20,8 @@ def cells(spark, sf_dir):
 def turn_cells(spark, sf_dir):
     """Hits in conversation turns, at the lower single threshold."""
     turns = wide(spark, sf_dir, "conversations").select(
-        F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
-    return pii.detect(turns, "turn_id", ["text"], threshold=pii.GLOBAL_THRESHOLD)
+        F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text", "role")
+    return pii.detect(turns, "turn_id", ["text", "role"], threshold=pii.GLOBAL_THRESHOLD)
 
 
 def column_summary(spark, sf_dir):
@@ -45,7 +47,7 @@ def masked(spark, sf_dir):
 
 def registry(spark, sf_dir):
     documents = wide(spark, sf_dir, "documents")
-    sealed = pii.vault_cells(documents, "doc_id", "documents", RUN_TS, KEY_ID, TEST_KEY, ["text"])
+    sealed = pii.vault_cells(documents, "doc_id", "documents", RUN_TS, KEY_ID, TEST_KEY)
     return pii.key_registry(spark, sealed, "documents", RUN_TS, KEY_ID, TEST_KEY)
 
 
@@ -68,7 +70,7 @@ QUERIES = {
 def _hits_sql(source: str) -> str:
     """Hits with spans: runs and gaps of each token pattern, summed up in order."""
     parts = []
-    for i, r in enumerate(pii.RECOGNISERS):
+    for i, r in enumerate(replace(r, token=r.token.replace("++", "+").replace("*+", "*")) for r in pii.RECOGNISERS):  # SQL has no possessive form
         accepted = f"regexp_matches(x, '{r.accept}')" if r.accept else "true"
         # texts without an accepted candidate need no spans
         parts.append(f"""
@@ -108,7 +110,7 @@ ORACLE = {
         select column_name, row_id, entity_type, cast(confidence as double) as confidence, cast(s as int) as start_char, cast(e as int) as end_char
         from hits where {_LIMIT}""",
     "pii_turn_cells": f"""
-        with {_hits_sql("select cast(conv_id as varchar) || ':' || cast(turn as varchar) as row_id, 'text' as column_name, text as v from conversations")}
+        with {_hits_sql("select cast(conv_id as varchar) || ':' || cast(turn as varchar) as row_id, unnest(['text', 'role']) as column_name, unnest([text, role]) as v from conversations")}
         select column_name, row_id, entity_type, cast(confidence as double) as confidence, cast(s as int) as start_char, cast(e as int) as end_char
         from hits where confidence >= 0.4""",
     "pii_column_summary": f"""
@@ -140,7 +142,7 @@ ORACLE = {
             else g end) as masked_md5
         from x""",
     "pii_key_registry": f"""
-        with {_hits_sql("select doc_id as row_id, 'text' as column_name, text as v from documents")}
+        with {_hits_sql(_DOC)}
         select 'documents' as dataset_name, '{RUN_TS}' as run_timestamp, '{KEY_ID}' as key_id, sha256('{TEST_KEY}') as key_fingerprint,
                string_agg(distinct entity_type, ', ' order by entity_type) as entities_covered from hits where {_LIMIT}""",
     "pii_roundtrip": """

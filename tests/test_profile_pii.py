@@ -143,3 +143,9 @@ def test_column_summary_covers_clean_columns(spark, cells):
     assert s["v"].n_entity_types == 6 and s["v"].pct_flagged_rows == 100.0 and s["v"].min_confidence == 0.6
     assert not s["clean"].is_pii and s["clean"].detected_entity_types is None and s["clean"].n_flagged_rows == 0
     assert pii.flagged_columns(pii.column_summary(pii.detect(df, "id"), df, "d", RUN)).count() == 1
+
+
+def test_long_runs_do_not_overflow(spark):
+    runs = ["-".join(["ab"] * 200_000) + " 123-45-6789", ".".join(["12"] * 200_000) + " 10.0.0.1", "call 555.123.4567 " + ".".join(["7"] * 200_000)]
+    got = pii.detect(spark.createDataFrame(list(enumerate(runs)), "id long, v string"), "id").select("row_id", "entity_type").collect()
+    assert {(0, "US_SSN"), (1, "IP_ADDRESS"), (2, "PHONE_NUMBER")} <= {tuple(r) for r in got}
