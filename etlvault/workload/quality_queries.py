@@ -70,9 +70,8 @@ def accepted_values(spark, sf_dir):
     """Values of the order priority that the early orders did not use, learned as a baseline."""
     orders = table(spark, sf_dir, "orders")
     early = orders.filter((F.col("o_orderdate") < F.lit("1995-03-01").cast("timestamp_ntz")) & (F.col("o_orderstatus") == "P"))
-    known = quality.accepted_from(early, "o_orderpriority")
-    rule = _rule(1, "VALIDITY", "o_orderpriority", "ACCEPTED_VALUES", values=known)
-    return quality.evaluate(orders, [rule], "orders").drop("note")
+    rule = _rule(1, "VALIDITY", "o_orderpriority", "ACCEPTED_VALUES", ref_table="early", ref_column="o_orderpriority")
+    return quality.evaluate(orders, [rule], "orders", {"early": early}).drop("note")
 
 
 def unique_listing(spark, sf_dir):

@@ -129,7 +129,8 @@ def test_reference_rule_and_learned_values(spark):
     r = one(quality.evaluate(child, [rule], parents={"p": parent}))
     assert (r.rows_checked, r.actual_failures, r.status) == (7, 3, "FAIL")
     assert one(quality.evaluate(child, [rule])).status == "SKIPPED"
-    assert quality.accepted_from(child, "k") == ["1", "2", "9"]
-    with pytest.raises(ValueError):
-        quality.accepted_from(child, "k", limit=2)
+    rule["check_type"] = "ACCEPTED_VALUES"
+    r = one(quality.evaluate(child, [rule], parents={"p": parent}))
+    assert (r.rows_checked, r.actual_failures, r.status) == (7, 3, "FAIL")
+    assert one(quality.evaluate(child, [rule], parents={"p": spark.range(20_000).toDF("id")})).status == "PASS"
     assert quality.dimensions(spark).count() == 6
