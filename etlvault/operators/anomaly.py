@@ -14,13 +14,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from etlvault.functions.columns import col
+from etlvault.operators.profile import exact_quantiles
 from etlvault.session import cut_lineage
 
 # Fixed values of the detectors.
 TREES, SAMPLE_ROWS, CONTAMINATION, SEED = 100, 256, 0.05, 42
 ERROR_PERCENTILE, TRAIN_SHARE = 0.95, 0.8
-PERCENTILE_ACCURACY = 100_000
-_DEPTH = 8  # ceil(log2(SAMPLE_ROWS)): deeper nodes cannot change the ranking
 _TREE_SCHEMA = "tree int, node int, feature int, split double, size int"
 
 
@@ -52,30 +51,30 @@ def _uniform(*parts: Column) -> Column:
 
 
 def tree_samples(df: DataFrame, row_id: str, trees: int = TREES, rows: int = SAMPLE_ROWS, seed: int = SEED) -> DataFrame:
-    """About ``rows`` sampled rows per tree: the bounded input every tree is grown on."""
-    total = df.count()
+    """About ``rows`` sampled rows per tree: the bounded input every tree is grown on.
+
+    Every tree draws every row with the same chance, whatever the table's size; a row is
+    repeated only for the trees that drew it.
+    """
+    share = min(1.0, rows / max(df.count(), 1))
     key = col(row_id).cast("string")
-    share = trees * rows / max(total, 1)
-    if share < 1:
-        # each row serves at most one tree
-        kept = df.filter(_uniform(F.lit(seed), key) < share)
-        return kept.withColumn("tree", F.floor(_uniform(F.lit(seed + 1), key) * trees).cast("int"))
-    spread = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    return spread.filter(_uniform(F.lit(seed), key, F.col("tree")) < rows / max(total, 1))
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(F.lit(seed), key, t) < share)
+    return df.withColumn("tree", F.explode(drawn))
 
 
-def _grow(rows: int, seed: int):
+def _grow(seed: int):
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
         rng = np.random.default_rng(seed + tree)
-        x = np.stack(pdf.sort_values("h")["x"].to_list())[:rows]
+        x = np.stack(pdf.sort_values("h")["x"].to_list())
+        limit = max(1, int(np.ceil(np.log2(len(x)))))  # deeper nodes cannot change the ranking
         out, todo = [], [(0, np.arange(len(x)), 0)]
         while todo:
             node, at, depth = todo.pop()
             part = x[at]
             low, high = part.min(axis=0), part.max(axis=0)
             open_features = np.flatnonzero(high > low)
-            if depth >= _DEPTH or len(at) <= 1 or not len(open_features):
+            if depth >= limit or len(at) <= 1 or not len(open_features):
                 out.append((tree, node, -1, 0.0, len(at)))
                 continue
             f = int(rng.choice(open_features))
@@ -89,10 +88,10 @@ def _grow(rows: int, seed: int):
 
 def grow_forest(df: DataFrame, row_id: str, features: str = "features", trees: int = TREES, rows: int = SAMPLE_ROWS,
                 seed: int = SEED) -> DataFrame:
-    """Isolation trees as rows (tree, node, feature, split, size); a leaf has feature -1."""
+    """Isolation trees as rows (tree, node, feature, split, size); a leaf has feature -1, node 0 the tree's whole sample."""
     sample = tree_samples(df, row_id, trees, rows, seed)
     narrow = sample.select("tree", F.xxhash64(F.lit(seed), col(row_id).cast("string")).alias("h"), vector_to_array(col(features)).alias("x"))
-    return narrow.groupBy("tree").applyInPandas(_grow(rows, seed), _TREE_SCHEMA)
+    return narrow.groupBy("tree").applyInPandas(_grow(seed), _TREE_SCHEMA)
 
 
 def _expected_path(n: np.ndarray) -> np.ndarray:
@@ -101,21 +100,23 @@ def _expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, 2 * harmonic - 2 * (n - 1) / np.maximum(n, 1), np.where(n == 2, 1.0, 0.0))
 
 
-def isolation_score(spark: SparkSession, forest: DataFrame, rows: int = SAMPLE_ROWS):
-    """Pandas UDF scoring an array of features.
+def isolation_score(spark: SparkSession, forest: DataFrame):
+    """Pandas UDF scoring an array of features by path lengths, against those expected of the trees' own samples.
 
-    The forest is read to the driver and broadcast: at most TREES · 2^(depth+1) small
-    nodes, whatever the size of the data.
+    The forest is read to the driver and broadcast: a few small nodes per sampled row of
+    each tree, whatever the size of the data.
     """
     nodes = forest.toPandas()
-    trees, width = sorted(nodes["tree"].unique()), 2 ** (_DEPTH + 1)
+    trees = sorted(nodes["tree"].unique())
+    depth_limit = int(np.log2(nodes["node"].max() + 1)) if len(nodes) else 0
+    width = 2 ** (depth_limit + 1)
     feature = np.full((len(trees), width), -1)
     split, size = np.zeros((len(trees), width)), np.ones((len(trees), width))
     for i, t in enumerate(trees):
         part = nodes[nodes["tree"] == t]
         feature[i, part["node"]], split[i, part["node"]], size[i, part["node"]] = part["feature"], part["split"], part["size"]
     shared = spark.sparkContext.broadcast((feature, split, _expected_path(size)))
-    normal = float(_expected_path(np.array([rows]))[0])
+    normal = max(float(_expected_path(size[:, 0]).sum()), 1e-9)
 
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
@@ -124,28 +125,28 @@ def isolation_score(spark: SparkSession, forest: DataFrame, rows: int = SAMPLE_R
         every, total = np.arange(len(x)), np.zeros(len(x))
         for t in range(len(feature)):
             node, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
-            for _ in range(_DEPTH):
+            for _ in range(depth_limit):
                 f = feature[t, node]
                 inner = f >= 0
                 right = x[every, np.maximum(f, 0)] >= split[t, node]
                 node = np.where(inner, 2 * node + 1 + right, node)
                 depth += inner
             total += depth + rest[t, node]
-        return pd.Series(2.0 ** (-(total / len(feature)) / normal))
+        return pd.Series(2.0 ** (-total / normal))
 
     return score
 
 
 def _flag_above(df: DataFrame, value: str, share: float, flag: str) -> DataFrame:
-    """1 for values above the percentile, from a bounded sketch."""
-    cut = df.agg(F.percentile_approx(col(value), F.lit(share), F.lit(PERCENTILE_ACCURACY)).alias("c")).scalar()
+    """1 for values above the exact percentile."""
+    cut = exact_quantiles(df, [value], [share]).select(F.col("q")[0].alias("c")).scalar()
     return df.withColumn(flag, (col(value) > cut).cast("int"))
 
 
 def isolation_flags(df: DataFrame, row_id: str, features: str = "features", trees: int = TREES, rows: int = SAMPLE_ROWS,
                     contamination: float = CONTAMINATION, seed: int = SEED) -> DataFrame:
     """Add ``if_score`` and ``if_anomaly``."""
-    score = isolation_score(df.sparkSession, grow_forest(df, row_id, features, trees, rows, seed), rows)
+    score = isolation_score(df.sparkSession, grow_forest(df, row_id, features, trees, rows, seed))
     # read twice, for the cut and for the flags, while scoring is the costly step
     scored = cut_lineage(df.withColumn("if_score", score(vector_to_array(col(features)))))
     return _flag_above(scored, "if_score", 1 - contamination, "if_anomaly")

@@ -58,7 +58,7 @@ def email_domain(column: Column) -> Column:
 
 
 def bucket_top_k(df: DataFrame, column: str, k: int = 10, name: str | None = None) -> DataFrame:
-    """Keep the k most frequent values, put all others under ``other``; ties go to the smaller value."""
+    """Keep the k most frequent values, put all others and NULL under ``other``; ties go to the smaller value."""
     # k rows by construction, so this side may be broadcast
     kept = F.broadcast(top_values(df, column, k).select(F.col("value").alias("__kept")))
     return df.join(kept, col(column).eqNullSafe(F.col("__kept")), "left").withColumn(

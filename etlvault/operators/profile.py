@@ -178,8 +178,8 @@ def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, h
 
 
 def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
-    """The k most frequent values; ties go to the smaller value."""
-    counted = df.groupBy(col(column).alias("value")).agg(F.count("*").alias("frequency"))
+    """The k most frequent values, NULL not being one; ties go to the smaller value."""
+    counted = df.filter(col(column).isNotNull()).groupBy(col(column).alias("value")).agg(F.count("*").alias("frequency"))
     return counted.orderBy(F.desc("frequency"), "value").limit(k)
 
 

@@ -86,7 +86,7 @@ def _fitted(spark, sf_dir):
     # the trees and the boosting rounds reread their input, so it is computed once
     flagged = cut_lineage(flagged)
     train, test = anomaly.split(flagged, "event_id")
-    return anomaly.fit_classifier(train, iterations=5, depth=4), test, model
+    return anomaly.fit_classifier(train), test, model
 
 
 def model_eval(spark, sf_dir):

@@ -8,7 +8,7 @@ from etlvault.operators import pii, profile
 from etlvault.workload.tables import table, wide
 
 RUN_TS = "2024-01-02 00:00:00"
-LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 CUSTOMER_KINDS = {"c_custkey": "Numeric", "c_name": "Categorical", "c_nationkey": "Numeric", "c_acctbal": "Numeric",
                   "c_mktsegment": "Categorical"}
 LINE_KINDS = {"l_orderkey": "Numeric", "l_partkey": "Numeric", "l_suppkey": "Numeric", "l_linenumber": "Numeric",
@@ -17,7 +17,7 @@ LINE_KINDS = {"l_orderkey": "Numeric", "l_partkey": "Numeric", "l_suppkey": "Num
 
 
 def overview(spark, sf_dir):
-    events = table(spark, sf_dir, "events").select("user_id", "event_type", "props")
+    events = table(spark, sf_dir, "events")
     return (profile.overview(table(spark, sf_dir, "customer"), "customer", RUN_TS)
             .unionByName(profile.overview(events, "events", RUN_TS)))
 
@@ -27,7 +27,7 @@ def columns(spark, sf_dir):
 
 
 def null_counts(spark, sf_dir):
-    joined = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    joined = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return profile.null_counts(joined)
 
 
@@ -104,13 +104,16 @@ ORACLE = {
     "profile_overview": " union all ".join([
         _overview_sql("customer", "select (c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment) as all_columns from customer",
                       list(CUSTOMER_KINDS.values())),
-        _overview_sql("events", "select (user_id, event_type, props) as all_columns from events",
-                      ["Numeric", "Categorical", "Categorical"])]),
+        _overview_sql("events", "select (event_id, ts, user_id, event_type, value, props) as all_columns from events",
+                      ["Numeric", "DateTime", "Numeric", "Categorical", "Numeric", "Categorical"])]),
     "profile_columns": " union all ".join(_columns_sql("lineitem", c, k) for c, k in LINE_KINDS.items()),
     "profile_null_counts": """
-        with j as (select d.doc_id, lang, quality, toxic from documents d left join labels l on d.doc_id = l.doc_id)
+        with j as (select d.*, quality, toxic from documents d left join labels l on d.doc_id = l.doc_id)
         select 'doc_id' as column_name, count(*) - count(doc_id) as n_missing from j
+        union all select 'text', count(*) - count(text) from j
         union all select 'lang', count(*) - count(lang) from j
+        union all select 'source', count(*) - count(source) from j
+        union all select 'n_chars', count(*) - count(n_chars) from j
         union all select 'quality', count(*) - count(quality) from j
         union all select 'toxic', count(*) - count(toxic) from j""",
     "profile_descriptive": " union all ".join(_describe_sql(c) for c in LINE_NUMBERS),
