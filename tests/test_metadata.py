@@ -293,8 +293,8 @@ def test_rules_at_any_level(spark):
     rules = '[{"tableName": "t", "columns": [{"columnName": "a"}, {"columnName": "b"}]}, {"tableName": "u", "columns": [{"columnName": "c"}]}]'
     deep = '{"k": ' * 12 + '{"note": "x \\"tables\\": [", "tableRules": ' + rules + ', "z": [1]}' + "}" * 12
     files = spark.createDataFrame([("a.atl", deep), ("b.atl", '[{"tables": ' + rules + '}, {"table_rules": ' + rules + "}]"), ("c.atl", "{broken"), ("d.atl", "")], "path string, content string")
-    got = artifacts.harvest_replication(files).columns.groupBy("source_file").agg(F.count("*"), F.countDistinct("position"))
-    assert names(got) == [("a.atl", 3, 2), ("b.atl", 6, 4)]
+    got = artifacts.harvest_replication(files).columns.groupBy("source_file").agg(F.count("*").alias("n"), F.countDistinct("position").alias("k"))
+    assert names(got, "source_file", "n", "k") == [("a.atl", 3, 2), ("b.atl", 6, 4)]
 
 
 def test_jobs_and_columns_at_any_level(spark):
