@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare word n-grams find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: word n-grams find passages, Smith-Waterman alignment scores them.
 
-Every item offers its word n-grams as seeds. A first pass over the corpus counts in how many
-documents each seed occurs; an item keeps its rarer seeds, measured against its own lower
-quartile, so a leaked item never loses all of them however often it leaked. The second pass
-aligns the item with the words around each place a kept seed was found and reports alignments
-whose score reaches a share of the item's perfect score.
+Every item offers all its word n-grams as seeds, however often documents or other items hold
+them. The item is aligned with the words around each place a seed was found, as far as an
+alignment through it may reach, and alignments whose score reaches a share of the item's perfect
+score are reported. Items and places are passed over only where the words both sides have leave
+no alignment of that score, so shared seeds cost little where they are all that is shared.
 
 Items are worked through in blocks of bounded size, each of which is sent to all tasks; the
 documents are neither joined nor shuffled.
@@ -31,29 +31,26 @@ SEED_WORDS = 5
 THRESHOLD = 0.5          # share of the perfect alignment score from which a passage counts as leaked
 MATCH, MISMATCH, GAP = 2, -1, -1
 BLOCK_WORDS = 1_000_000  # words of benchmark items that are sent to the tasks at once
-RARE = 10                # a seed is rare up to so many times the item's lower quartile
 SLACK = 8                # words by which the aligned window is wider than the item, at least
 
 
 @dataclass
 class Block:
-    """Items of a block as word hashes, and the places of every seed: seed -> (item, place)."""
+    """Items of a block as word hashes, and their seeds: seed -> items, item -> (seed number, place)."""
 
     names: list[list[int]]
     words: list[np.ndarray]
     sizes: list[int]        # the lengths of seeds, one unless some items are very short
     seeds: dict[int, np.ndarray]    # length -> sorted seeds
-    starts: dict[int, np.ndarray]   # where each seed's places begin
+    starts: dict[int, np.ndarray]   # where each seed's items begin
     item: dict[int, np.ndarray]
-    place: dict[int, np.ndarray]
+    own: dict[int, tuple[np.ndarray, np.ndarray]]  # item -> numbers of its seeds, sorted, and their places
+    flat: np.ndarray        # the words of all items
+    bounds: np.ndarray      # where each item's words begin
 
 
 def make_block(items: list[tuple[int, str | None]]) -> Block:
-    """Hash the items; items with equal words share one entry.
-
-    A seed that many items share (a question's frame) is left out of items that have seeds
-    shared by fewer than a quarter as many.
-    """
+    """Hash the items; items with equal words share one entry."""
     hashes, owner = word_hashes(pa.array([t for _, t in items], pa.string()))
     bounds = np.searchsorted(owner, np.arange(len(items) + 1))
     by_words: dict[bytes, int] = {}
@@ -71,23 +68,28 @@ def make_block(items: list[tuple[int, str | None]]) -> Block:
         n = min(SEED_WORDS, len(own))
         grams, whole = ngram_hashes(own, np.zeros(len(own), int), n)
         rows.setdefault(n, []).append((grams[whole], k))
-    block = Block(names, words, sorted(rows), {}, {}, {}, {})
+    flat = np.concatenate(words) if words else np.zeros(0, np.uint64)
+    block = Block(names, words, sorted(rows), {}, {}, {}, {}, flat, np.cumsum([0, *map(len, words)]))
     for n, parts in rows.items():
-        grams = np.concatenate([g for g, _ in parts])
+        block.seeds[n], numbers = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+        at = 0
+        for grams, k in parts:
+            own = numbers[at:at + len(grams)]
+            at += len(grams)
+            place = np.argsort(own, kind="stable")
+            block.own[k] = own[place], place
         item = np.concatenate([np.full(len(g), k) for g, k in parts])
-        place = np.concatenate([np.arange(len(g)) for g, _ in parts])
-        _, back, shared = np.unique(grams, return_inverse=True, return_counts=True)
-        shared = shared[back]
-        fewest = np.full(len(words), np.iinfo(np.int64).max)
-        np.minimum.at(fewest, item, shared)
-        keep = shared <= 4 * fewest[item]
-        order = np.argsort(grams[keep], kind="stable")
-        grams, block.item[n], block.place[n] = grams[keep][order], item[keep][order], place[keep][order]
-        block.seeds[n], first = np.unique(grams, return_index=True)
-        block.starts[n] = np.append(first, len(grams))
+        order = np.argsort(numbers, kind="stable")
+        block.item[n] = item[order]
+        block.starts[n] = np.append(np.flatnonzero(np.diff(numbers[order], prepend=-1)), len(order))
     return block
 
 
+def _ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges that begin at ``first`` and have ``size`` members."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def found_seeds(block: Block, n: int, texts: pa.Array, words: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Places (in ``words``) where a seed of length ``n`` begins, and the seeds' numbers."""
     grams, whole = ngram_hashes(words, owner, n)
@@ -129,42 +131,57 @@ def align(item: np.ndarray, window: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-def leaks(block: Block, rare: dict[int, np.ndarray], texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
+def candidates(block: Block, n: int, numbers: np.ndarray, words: np.ndarray, threshold: float) -> np.ndarray:
+    """Items that have one of the seeds and enough of a text's words to reach the threshold."""
+    numbers = np.unique(numbers)
+    items = np.unique(block.item[n][_ranges(block.starts[n][numbers], block.starts[n][numbers + 1] - block.starts[n][numbers])])
+    size = block.bounds[items + 1] - block.bounds[items]
+    held = np.isin(block.flat[_ranges(block.bounds[items], size)], words)
+    return items[np.add.reduceat(held.astype(np.int64), np.cumsum(size) - size) / size >= threshold]
+
+
+def most(present: np.ndarray) -> int:
+    """No alignment scores more: the best run of words, of which the other side lacks those not ``present``.
+
+    A word inside an alignment that the other side lacks is a mismatch or a gap.
+    """
+    total = np.concatenate([[0], np.cumsum(np.where(present, MATCH, max(MISMATCH, GAP)))])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
+def leaks(block: Block, texts: pa.Array, threshold: float) -> Iterator[tuple[int, int, float, int, int]]:
     """(text, item, score, first word, end word) of the alignments that reach the threshold, best per text and item."""
     words, owner = word_hashes(texts)
     first_word = np.searchsorted(owner, np.arange(len(texts) + 1))
-    best: dict[tuple[int, int], tuple[float, int, int]] = {}
     seen: dict[tuple[int, bytes], tuple[int, int, int]] = {}
     for n in block.sizes:
         at, number = found_seeds(block, n, texts, words, owner)
-        good = rare[n][number]
-        at, number = at[good], number[good]
-        if not len(at):
-            continue
-        times = block.starts[n][number + 1] - block.starts[n][number]
-        entry = np.repeat(block.starts[n][number] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        text, item = np.repeat(owner[at], times), block.item[n][entry]
-        shift = np.repeat(at, times) - block.place[n][entry]  # where the item would begin
-        order = np.lexsort((shift, item, text))
-        text, item, shift = text[order], item[order], shift[order]
-        length = np.array([len(w) for w in block.words])[item]
-        new = np.concatenate([[True], (text[1:] != text[:-1]) | (item[1:] != item[:-1]) | (shift[1:] - shift[:-1] > length[1:] // 2)])
-        groups = np.flatnonzero(new)
-        for a, b in zip(groups, np.append(groups[1:], len(new)), strict=True):
-            t, k = int(text[a]), int(item[a])
-            own = block.words[k]
-            margin = max(SLACK, len(own) // 4)
-            lo = max(int(first_word[t]), int(shift[a]) - margin)
-            hi = min(int(first_word[t + 1]), int(shift[b - 1]) + len(own) + margin)
-            key = (k, words[lo:hi].tobytes())
-            if key not in seen:
-                seen[key] = align(own, words[lo:hi])
-            points, x, y = seen[key]
-            share = points / (MATCH * len(own))
-            if share >= threshold and share > best.get((t, k), (0.0,))[0]:
-                best[t, k] = (share, lo + x - int(first_word[t]), lo + y - int(first_word[t]))
-    for (t, k), (share, x, y) in best.items():
-        yield t, k, share, x, y
+        edges = np.append(np.flatnonzero(np.diff(owner[at], prepend=-1)), len(at))
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            t = int(owner[at[a]])
+            begin, end = int(first_word[t]), int(first_word[t + 1])
+            for k in candidates(block, n, number[a:b], words[begin:end], threshold).tolist():
+                own, (numbers, places) = block.words[k], block.own[k]
+                first = np.searchsorted(numbers, number[a:b])
+                times = np.searchsorted(numbers, number[a:b], "right") - first
+                shift = np.sort(np.repeat(at[a:b], times) - places[_ranges(first, times)])  # where the item would begin
+                groups = np.append(np.flatnonzero(np.diff(shift, prepend=shift[0] - len(own)) > len(own) // 2), len(shift))
+                # so many words may an alignment of that score leave out
+                margin = max(SLACK, int(MATCH * len(own) * (1 - threshold) / -GAP) + 1)
+                best = (0.0, 0, 0)
+                for x, y in zip(groups[:-1], groups[1:], strict=True):
+                    lo, hi = max(begin, int(shift[x]) - margin), min(end, int(shift[y - 1]) + len(own) + margin)
+                    window = words[lo:hi]
+                    key = (k, window.tobytes())
+                    if key not in seen:
+                        bound = min(most(np.isin(own, window)), most(np.isin(window, own))) / (MATCH * len(own))
+                        seen[key] = align(own, window) if bound >= threshold else (0, 0, 0)
+                    points, start, stop = seen[key]
+                    share = points / (MATCH * len(own))
+                    if share >= threshold and share > best[0]:
+                        best = (share, lo + start - begin, lo + stop - begin)
+                if best[0]:
+                    yield t, k, *best
 
 
 def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", words: int = BLOCK_WORDS) -> Iterator[Block]:
@@ -179,52 +196,19 @@ def blocks_of(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "te
             yield block
 
 
-def rare_seeds(docs: DataFrame, block: Block, text_col: str) -> dict[int, np.ndarray]:
-    """Which seeds are rare, by the number of documents that hold each, counted over all documents."""
-    shared = docs.sparkSession.sparkContext.broadcast(block)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, owner = word_hashes(part.column("text"))
-                for n in own.sizes:
-                    at, number = found_seeds(own, n, part.column("text"), words, owner)
-                    pairs = np.unique(owner[at] * np.int64(len(own.seeds[n])) + number)
-                    seeds, counts = np.unique(pairs % max(1, len(own.seeds[n])), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(seeds), n), pa.int32()), pa.array(seeds.astype(np.int64)), pa.array(counts.astype(np.int64))], ["n", "seed", "docs"])
-
-    counted = docs.select(F.col(text_col).alias("text")).mapInArrow(count, "n int, seed long, docs long").groupBy("n", "seed").agg(F.sum("docs").alias("docs"))
-    held = {n: np.zeros(len(block.seeds[n]), np.int64) for n in block.sizes}
-    for r in counted.collect():  # at most a number per seed of the block
-        held[r.n][r.seed] = r.docs
-    rare = {}
-    for n in block.sizes:
-        of_seed = np.repeat(np.arange(len(block.seeds[n])), np.diff(block.starts[n]))
-        rare[n] = np.zeros(len(block.seeds[n]), bool)
-        order = np.lexsort((held[n][of_seed], block.item[n]))
-        items, seeds = block.item[n][order], of_seed[order]
-        edges = np.append(np.flatnonzero(np.diff(items, prepend=-1)), len(items))
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            quartile = held[n][seeds[a + (b - a) // 4]]
-            own = seeds[a:b]
-            rare[n][own[held[n][own] <= RARE * (quartile + 1)]] = True
-    return rare
-
-
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of every leaked passage, the best of each document and item."""
     schema = "doc_id long, item_id long, score double, first_word int, end_word int"
     found = None
     for block in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast((block, rare_seeds(docs, block, text_col)))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own, rare = shared.value
+            own = shared.value
             for batch in batches:
                 for part in slices(batch, "text"):
                     ids = part.column("id").to_pylist()
-                    rows = [(ids[t], name, score, x, y) for t, k, score, x, y in leaks(own, rare, part.column("text"), threshold) for name in own.names[k]]
+                    rows = [(ids[t], name, score, x, y) for t, k, score, x, y in leaks(own, part.column("text"), threshold) for name in own.names[k]]
                     columns = zip(*rows, strict=True) if rows else [()] * 5
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)],
                                                      ["doc_id", "item_id", "score", "first_word", "end_word"])
@@ -236,13 +220,13 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def _is_clean(shared, threshold: float):
     def clean(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, rare = shared.value
+        own = shared.value
         for texts in parts:
             column = pa.array(texts, pa.string(), from_pandas=True)
             good = np.ones(len(texts), bool)
             at = 0
             for part in slices(pa.RecordBatch.from_arrays([column], ["text"]), "text"):
-                good[[at + t for t, *_ in leaks(own, rare, part.column("text"), threshold)]] = False
+                good[[at + t for t, *_ in leaks(own, part.column("text"), threshold)]] = False
                 at += part.num_rows
             yield pd.Series(good)
 
@@ -253,7 +237,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", t
     """``docs`` without the rows that hold a leaked passage."""
     out = docs
     for block in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast((block, rare_seeds(docs, block, text_col)))
+        shared = docs.sparkSession.sparkContext.broadcast(block)
         out = out.where(_is_clean(shared, threshold)(F.col(text_col)))
     return out
 

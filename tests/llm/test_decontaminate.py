@@ -89,3 +89,15 @@ def test_empty(spark):
     assert find_leaks(docs, items).count() == 0 and drop_leaked(docs, items).count() == 1
     some = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
     assert find_leaks(docs.limit(0), some).count() == 0 and got(docs, some) == {(1, 1)}
+
+
+def test_a_passage_edited_alike_in_many_documents(spark):
+    """More than a quarter of the item's seeds never occur, the others in every document."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"v{i}" for i in range(500)]
+    item = list(rng.choice(vocabulary, 38, replace=False))
+    edited = [*item[:14], "changed", *item[15:22], "words", *item[23:]]
+    docs = [(d, " ".join([*rng.choice(vocabulary, 30), *edited, *rng.choice(vocabulary, 30)])) for d in range(300)]
+    items = [(1, " ".join(item)), (2, " ".join(rng.choice(vocabulary, 38)))]
+    have = got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
+    assert have == brute(docs, items) == {(d, 1) for d in range(300)}
