@@ -101,3 +101,19 @@ def test_a_passage_edited_alike_in_many_documents(spark):
     items = [(1, " ".join(item)), (2, " ".join(rng.choice(vocabulary, 38)))]
     have = got(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame(items, "item_id long, text string"))
     assert have == brute(docs, items) == {(d, 1) for d in range(300)}
+
+
+@pytest.mark.parametrize("block_words", [1_000_000, 60])
+def test_items_that_share_a_context(spark, monkeypatch, block_words):
+    """Documents quote what several items share, without or with an edit of where they differ."""
+    monkeypatch.setattr(decontaminate.blocks_of, "__defaults__", ("item_id", "text", block_words))
+    rng = np.random.default_rng(8)
+    vocabulary = [f"v{i}" for i in range(500)]
+    context = list(rng.choice(vocabulary, 32, replace=False))
+    items = [(k, " ".join([*context, *(f"q{k}x{i}" for i in range(6))])) for k in range(7)]
+    docs = [(1, " ".join([*rng.choice(vocabulary, 40), *context, *rng.choice(vocabulary, 40)])), (2, " ".join([*context, "another", "question"])),
+            (3, " ".join([*context[:7], *rng.choice(vocabulary, 60)])), (4, " ".join([*context[:12], *("put", "in") * 8, *context[12:]]))]
+    have = got(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert have == brute(docs, items) == {(d, k) for d in (1, 2, 4) for k in range(7)}
+    left = drop_leaked(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {r.doc_id for r in left.collect()} == {3}
