@@ -7,8 +7,9 @@ from the body is the threshold for further parts, which are looked for in the sa
 every node that reaches it. Parts that are no article by their element, role or class (menus,
 page headers, footers, adverts, forms, comments …) are left out before densities are taken.
 
-Inside an ``article`` or ``main`` element the whole element is the content, so its headline is
-kept; elsewhere the headings that stand before the content on its path are added.
+Where the content lies in an ``article`` or ``main`` element the whole element is taken, so its headline is
+kept; other parts that reach the threshold are added to it, an ``article`` as a whole. Elsewhere the headings
+that stand before the content on its path are added.
 
 Defined cases: NULL and empty html and pages without text give an empty text; unclosed and
 crossed tags are closed as the surrounding block closes; any nesting depth works; repeated
@@ -232,18 +233,16 @@ class Page:
         threshold = min(density[i] for i in path)
         marked = [False] * n
         semantic = next((i for i in reversed(path) if self.names[i] in ("article", "main")), None)
-        if semantic is not None:
-            marked[semantic] = True
-        else:
-            marked[chosen] = True
-            on_path = set(path)
-            reached = [False] * n
-            for i in range(n):
-                reached[i] = (i == 0 or reached[self.parents[i]]) and density[i] >= threshold and density[i] > 0
-                if reached[i]:
-                    marked[best[i] if sums[best[i]] > 0 else i] = True
-                elif self.names[i] in HEADINGS and i < chosen and self.parents[i] in on_path:
-                    marked[i] = True
+        marked[chosen if semantic is None else semantic] = True
+        on_path = set(path)
+        reached = [False] * n
+        for i in range(n):
+            reached[i] = (i == 0 or reached[self.parents[i]]) and density[i] >= threshold and density[i] > 0
+            if reached[i]:
+                part = best[i] if sums[best[i]] > 0 else i
+                marked[i if self.names[i] in ("article", "main") else part] = True
+            elif semantic is None and self.names[i] in HEADINGS and i < chosen and self.parents[i] in on_path:
+                marked[i] = True
         for i in range(1, n):
             marked[i] = marked[i] or marked[self.parents[i]]
         return marked

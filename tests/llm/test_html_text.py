@@ -63,3 +63,11 @@ def test_columns(spark):
     got = extract(pages)
     assert got.columns == ["page_id", "url", "text"] and [len(r.text) for r in got.orderBy("page_id").collect()] == [0, 1, 1, 399_999]
     assert extract(pages.limit(0)).count() == 0
+
+
+def test_sibling_articles():
+    """Every article that reaches the threshold stays, not only the one with the largest sum; a list of links does not."""
+    post = "<article><h2>Post {0}</h2>" + "<p>A paragraph of part {0} that goes on for a good while.</p>" * 9 + "</article>"
+    page = "<body><div>" + "".join(post.format(i) for i in range(4)) + "</div><div>" + "<p><a href=#>link</a></p>" * 9 + "</div></body>"
+    got = main_text(page)
+    assert [(f"Post {i}" in got, got.count(f"paragraph of part {i}")) for i in range(4)] == [(True, 9)] * 4 and "link" not in got
