@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-_MODULES = ("decontaminate", "exact_dedup", "html_text", "hilbert_shards", "jaccard_join", "langid", "line_dedup", "piece_transducer", "prefix_trie", "toxicity", "url_rules", "warc")
+_MODULES = ("decontaminate", "exact_dedup", "html_text", "hilbert_shards", "jaccard_join", "langid", "line_dedup", "piece_transducer", "prefix_trie", "toxicity", "turn_repair", "url_rules", "warc")
 
 
 def _merged(attribute: str) -> dict:
