@@ -165,7 +165,7 @@ def burst(rows: DataFrame, members: DataFrame, limit: int) -> tuple[DataFrame, D
                                                          F.max("bytes").alias("bytes")).join(large.select(*key, "n"), key))
         shared = (F.col("have") == F.col("n")) & (F.col("low") == F.col("high"))
         # the first depth at which members differ or one has ended; the shared way ends above it
-        bottoms = cut(profile.groupBy(*key).agg((F.coalesce(F.min(F.when(~shared, F.col("depth"))), F.max("depth") + 1) - 1).alias("bottom")))
+        bottoms = profile.groupBy(*key).agg((F.coalesce(F.min(F.when(~shared, F.col("depth"))), F.max("depth") + 1) - 1).alias("bottom"))
         ways.append(profile.join(bottoms, key).where("depth <= bottom").select("head", F.col("head_depth").alias("top"), "depth", "bytes"))
         ended.append(hot.join(bottoms, key).where("length = bottom").select("head", F.col("head_depth").alias("top"), "conv"))
         parted = hot.join(bottoms, key).where("length > bottom").join(
@@ -174,7 +174,7 @@ def burst(rows: DataFrame, members: DataFrame, limit: int) -> tuple[DataFrame, D
         children = parted.groupBy(*key, "turn").agg(F.min("conv").alias("child"))
         counts = children.groupBy(*key).agg(F.count(F.lit(1)).alias("n_children"))
         fresh = large.join(bottoms, key).join(counts, key, "left")
-        heads.append(cut(fresh.select("head", F.col("head_depth").alias("top"), "bottom", "parent", "above", "n", F.coalesce("n_children", F.lit(0)).alias("n_children"))))
+        heads.append(fresh.select("head", F.col("head_depth").alias("top"), "bottom", "parent", "above", "n", F.coalesce("n_children", F.lit(0)).alias("n_children")))
         below = F.concat("above", F.array(F.struct(F.col("head"), F.col("head_depth").alias("top"))))
         lists = large.select(*key, below.alias("above"))
         named = children.join(lists, key)
@@ -194,7 +194,7 @@ def trie_nodes(rows: DataFrame, lengths: DataFrame, limit: int = CONTAINER_ROWS)
     """Nodes of the conversations given as (conv, depth, turn, bytes), depth from 0, and (conv, length)."""
     left, sizes, heads, ways, ended = burst(rows, lengths, limit)
     key = ["head", "head_depth"]
-    left = left.join(sizes, key)
+    left = cut(left.join(sizes, key))
     inside = left.join(rows, "conv").where("depth >= head_depth")
     # a container of one conversation: each turn is a node
     last = F.col("depth") == F.col("length")
@@ -211,7 +211,7 @@ def trie_nodes(rows: DataFrame, lengths: DataFrame, limit: int = CONTAINER_ROWS)
     if not heads:
         return nodes
     nodes = cut(nodes)
-    return nodes.unionByName(_head_nodes(nodes, left, _union(heads), _union(ways), _union(ended)))
+    return nodes.unionByName(_head_nodes(nodes, left, cut(_union(heads)), cut(_union(ways)), _union(ended)))
 
 
 def _head_nodes(nodes: DataFrame, left: DataFrame, head: DataFrame, way: DataFrame, ended: DataFrame) -> DataFrame:
