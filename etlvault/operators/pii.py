@@ -1,13 +1,16 @@
 """Pattern-based PII: detection with spans, column summary, masking, encryption, restore.
 
-A recogniser reads a value in two steps: ``token`` cuts it into candidates, taking runs
-that touch further word characters whole, and ``accept`` tests a candidate from end to
-end. A hit is then never part of a longer run, without look-around. All work is built-in
-expressions.
+A recogniser reads a value in one of two ways, both in time linear in its length. An
+anchored one splits the value at its anchor and widens from there: to the left over the
+characters that may stand before it, to the right by a pattern. Any other cuts the value
+into candidates by ``token``, taking runs that touch further word characters whole, and
+tests a candidate from end to end by ``accept``. A hit is then never part of a longer
+run, without look-around. All work is built-in expressions.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -21,7 +24,11 @@ from etlvault.functions.masking import decrypt, encrypt, fingerprint, luhn, mask
 
 @dataclass(frozen=True)
 class Recogniser:
-    """One entity. ``prefilter`` is a cheap test that no value with a hit can fail."""
+    """One entity. ``prefilter`` is a cheap test that no value with a hit can fail.
+
+    With ``anchor``, ``token`` is the class of characters that may stand before it, one at
+    least, and ``accept`` the pattern of what follows it.
+    """
 
     entity: str
     token: str
@@ -30,6 +37,12 @@ class Recogniser:
     prefilter: str
     validator: Callable[[Column], Column] | None = None
     weak_score: float = 0.3
+    anchor: str = ""
+
+    @property
+    def pattern(self) -> str:
+        """The candidates as one pattern, for engines that match without backtracking."""
+        return f"{self.token}+{self.anchor}{self.accept}" if self.anchor else self.token
 
     def confidence(self, hit: Column) -> Column:
         if self.validator is None:
@@ -47,7 +60,7 @@ _SSN_FORM, _DATE_FORM = "[0-9]{3}-[0-9]{2}-[0-9]{4}", "[0-9]{4}-[0-9]{2}-[0-9]{2
 # possessive repeats run as a loop in Java; plain ones recurse once per part of a long run
 _WORD_RUN = r"[A-Za-z0-9_]++(?:-[A-Za-z0-9_]++)*+"
 RECOGNISERS = (
-    Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", "", 1.0, _AT),
+    Recogniser("EMAIL_ADDRESS", r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9.-]+\.[A-Za-z]{2,}", 1.0, _AT, anchor=_AT),
     Recogniser("US_SSN", _WORD_RUN, f"^{_SSN_FORM}$", 0.85, _SSN_FORM),
     Recogniser("CREDIT_CARD", r"[0-9]{4}[ -][0-9]{4}[ -][0-9]{4}[ -][0-9]+|[0-9]{4}[ -][0-9]{6}[ -][0-9]+|[A-Za-z0-9_]+",
                r"^(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5})$", 1.0,
@@ -69,12 +82,46 @@ DEFAULT_THRESHOLD, GLOBAL_THRESHOLD = 0.5, 0.4
 HIGH_CONFIDENCE = 0.85
 
 
-def _hits(value: Column, rec: Recogniser, priority: int, threshold: float) -> Column:
-    """Array of the recogniser's accepted hits with their spans (start inclusive, end exclusive)."""
-    runs = F.regexp_extract_all(value, F.lit(rec.token), F.lit(0))
-    gaps = F.split(value, rec.token, -1)
-    steps = F.zip_with(F.slice(gaps, 1, F.size(runs)), runs, lambda gap, run: F.struct(F.length(gap).alias("g"), run.alias("r")))
-    empty = F.array().cast("array<struct<run:string,start:int,end:int>>")
+_SPANS = "array<struct<run:string,start:int,end:int>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _anchored_spans(value: Column, rec: Recogniser) -> Column:
+    """Hits of an anchored recogniser: one step per piece between anchors.
+
+    The piece before an anchor is read backwards, so that its run of allowed characters is
+    one anchored, possessive match; a run starts no earlier than the hit before it ends.
+    """
+    before, after = f"^{rec.token}*+", f"^(?:{rec.accept})"
+    size, start = F.lit(len(rec.anchor)), F.struct(F.lit(0).alias("at"), F.lit(0).alias("free"), F.array().cast(_SPANS).alias("out"))
+
+    def step(state: Column, s: Column) -> Column:
+        spot = state["at"] + F.length(s["left"])
+        begin = F.greatest(spot - s["reach"], state["free"])
+        end = spot + size + F.length(s["right"])
+        run = F.concat(F.substring(s["left"], F.length(s["left"]) - (spot - begin) + 1, spot - begin), F.lit(rec.anchor), s["right"])
+        hit = F.array(F.struct(run.alias("run"), begin.alias("start"), end.alias("end")))
+        is_hit = (begin < spot) & (s["right"] != "")
+        return F.struct((spot + size).alias("at"), F.when(is_hit, end).otherwise(state["free"]).alias("free"),
+                        F.when(is_hit, F.concat(state["out"], hit)).otherwise(state["out"]).alias("out"))
+
+    def spans(pieces: Column) -> Column:
+        n = F.size(pieces) - 1
+        steps = F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), lambda left, right: F.struct(
+            left.alias("left"), F.length(F.regexp_extract(F.reverse(left), before, 0)).alias("reach"),
+            F.regexp_extract(right, after, 0).alias("right")))
+        return F.aggregate(steps, start, step, lambda state: state["out"])
+
+    return _let(F.split(value, re.escape(rec.anchor), -1), spans)
+
+
+def _token_spans(value: Column, rec: Recogniser) -> Column:
+    """Hits among the candidates that ``token`` cuts out; spans only for values with an accepted one."""
+    empty = F.array().cast(_SPANS)
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
 
     def accepted(run: Column) -> Column:
@@ -84,10 +131,20 @@ def _hits(value: Column, rec: Recogniser, priority: int, threshold: float) -> Co
         begin = state["at"] + s["g"]
         end = begin + F.length(s["r"])
         found = F.array(F.struct(s["r"].alias("run"), begin.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(accepted(s["r"]), F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
+        return F.struct(end.alias("at"), F.when(s["ok"], F.concat(state["out"], found)).otherwise(state["out"]).alias("out"))
+
+    def spans(runs: Column) -> Column:
+        gaps = F.slice(F.split(value, rec.token, -1), F.lit(1), F.size(runs))
+        steps = F.zip_with(gaps, runs, lambda gap, run: F.struct(F.length(gap).alias("g"), run["r"].alias("r"), run["ok"].alias("ok")))
+        return F.when(F.exists(runs, lambda run: run["ok"]), F.aggregate(steps, start, step, lambda state: state["out"])).otherwise(empty)
 
-    # spans are computed only for values with an accepted run
-    spans = F.when(F.exists(runs, accepted), F.aggregate(steps, start, step, lambda state: state["out"])).otherwise(empty)
+    runs = F.regexp_extract_all(value, F.lit(rec.token), F.lit(0))
+    return _let(F.transform(runs, lambda run: F.struct(run.alias("r"), accepted(run).alias("ok"))), spans)
+
+
+def _hits(value: Column, rec: Recogniser, priority: int, threshold: float) -> Column:
+    """Array of the recogniser's accepted hits with their spans (start inclusive, end exclusive)."""
+    spans = _anchored_spans(value, rec) if rec.anchor else _token_spans(value, rec)
     scored = F.transform(spans, lambda s: F.struct(
         s["start"].alias("start_char"), F.lit(priority).alias("priority"), s["end"].alias("end_char"),
         F.lit(rec.entity).alias("entity_type"), rec.confidence(s["run"]).alias("confidence")))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
-from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +15,7 @@ from etlvault.functions.columns import col, cols, numeric_columns, ratio_pct
 from etlvault.operators.ordered import with_running_sum
 
 QUARTILES = (0.25, 0.5, 0.75)
+RELATIVE_ZERO = 1e-12
 
 
 def column_type(kind: T.DataType) -> str:
@@ -148,22 +150,51 @@ def descriptive(df: DataFrame, dataset: str, run_ts: str, columns: Sequence[str]
         F.coalesce(F.round(F.nanvl(v, F.lit(0.0)), digits), F.lit(0.0)).alias(k) for k, v in picked.items()]), dataset, run_ts)
 
 
+_SUMS = ("n", "sa", "sb", "saa", "sbb", "sab")
+
+
+def _comoments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, sums over the rows that have both) of every pair of columns of one task.
+
+    Values, squares and presence marks of a batch are multiplied as matrices; a task keeps four
+    square matrices of the number of columns.
+    """
+    total = None
+    for batch in batches:
+        have = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+        x = np.column_stack([c.fill_null(0.0).to_numpy(zero_copy_only=False) for c in batch.columns])
+        part = np.stack([have.T @ have, x.T @ have, (x * x).T @ have, x.T @ x])
+        total = part if total is None else total + part
+    if total is None:
+        return
+    n, s, ss, xy = total
+    a, b = np.triu_indices(len(n), 1)
+    columns = [a, b, n[a, b], s[a, b], s[b, a], ss[a, b], ss[b, a], xy[a, b]]
+    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b", *_SUMS])
+
+
 def correlations(df: DataFrame, dataset: str, run_ts: str, columns: Sequence[str] | None = None,
                  digits: int = 6) -> DataFrame:
-    """Pearson correlation of every pair of numeric columns, by name order; undefined pairs are left out."""
-    def pearson(a: str, b: str) -> Column:
-        x, y = col(a).cast("double"), col(b).cast("double")
-        # over the rows that have both; the built-in correlation fails on a constant column
-        x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
-        return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Pearson correlation of every pair of numeric columns, by name order; undefined pairs are left out.
 
+    Each pair counts the rows that have both. Tasks build a matrix of co-moments about the column
+    means, one row per pair and task is shuffled, and the plan is as long as the list of columns.
+    A column with a NaN or infinite value has no correlations.
+    """
     columns = sorted(columns or numeric_columns(df))
-    pairs = [F.struct(F.lit("pearson").alias("correlation_type"), F.lit(a).alias("column_a"), F.lit(b).alias("column_b"),
-                      F.round(pearson(a, b), digits).alias("correlation_value"))
-             for a, b in combinations(columns, 2)]
-    found = df.agg(F.array(*pairs).alias("p")).select(F.inline("p"))
-    value = F.col("correlation_value")
-    return _run(found.filter(value.isNotNull() & ~F.isnan(value)), dataset, run_ts)
+    means = df.agg(F.array(*[F.avg(col(c).cast("double")) for c in columns])).scalar() if columns else F.lit(None)
+    shifted = df.select(*[(col(c).cast("double") - means[i]).alias(f"c{i}") for i, c in enumerate(columns)])
+    sums = ", ".join(f"{c} double" for c in _SUMS)
+    pairs = shifted.mapInArrow(_comoments, f"a long, b long, {sums}").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in _SUMS])
+    va, vb = (F.col("saa") - F.col("sa") * F.col("sa") / F.col("n"), F.col("sbb") - F.col("sb") * F.col("sb") / F.col("n"))
+    # about its mean a value's squares are its variance; what is left of a constant is rounding
+    spread = (va > F.col("saa") * RELATIVE_ZERO) & (vb > F.col("sbb") * RELATIVE_ZERO)
+    value = (F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / (F.sqrt(va) * F.sqrt(vb))
+    names = F.array(*map(F.lit, columns)).cast("array<string>")
+    found = pairs.filter("n > 0").filter(spread).select(
+        F.lit("pearson").alias("correlation_type"), names[F.col("a")].alias("column_a"), names[F.col("b")].alias("column_b"),
+        F.round(value, digits).alias("correlation_value"))
+    return _run(found.filter(~F.isnan("correlation_value")), dataset, run_ts)
 
 
 def histogram(df: DataFrame, column: str, bins: int, low: float | None = None, high: float | None = None) -> DataFrame:

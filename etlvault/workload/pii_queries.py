@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import functions as F
 
 from etlvault.operators import pii
@@ -70,12 +68,14 @@ QUERIES = {
 def _hits_sql(source: str) -> str:
     """Hits with spans: runs and gaps of each token pattern, summed up in order."""
     parts = []
-    for i, r in enumerate(replace(r, token=r.token.replace("++", "+").replace("*+", "*")) for r in pii.RECOGNISERS):  # SQL has no possessive form
-        accepted = f"regexp_matches(x, '{r.accept}')" if r.accept else "true"
+    for i, r in enumerate(pii.RECOGNISERS):
+        token = r.pattern.replace("++", "+").replace("*+", "*")  # SQL has no possessive form
+        accept = "" if r.anchor else r.accept
+        accepted = f"regexp_matches(x, '{accept}')" if accept else "true"
         # texts without an accepted candidate need no spans
         parts.append(f"""
           select * from (select row_id, column_name, v, '{r.entity}' as entity_type, {i} as priority, {r.score} as score, {r.weak_score} as weak,
-                 '{r.accept}' as accept, regexp_extract_all(v, '{r.token}') as runs, regexp_split_to_array(v, '{r.token}') as gaps
+                 '{accept}' as accept, regexp_extract_all(v, '{token}') as runs, regexp_split_to_array(v, '{token}') as gaps
           from ({source})) where len([x for x in runs if {accepted}]) > 0""")
     return f"""
 runs as ({' union all '.join(parts)}),

@@ -1,5 +1,11 @@
 """Profiles with history, PII detection, masks, encryption and restore."""
 
+import random
+import re
+import time
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -149,3 +155,60 @@ def test_long_runs_do_not_overflow(spark):
     runs = ["-".join(["ab"] * 200_000) + " 123-45-6789", ".".join(["12"] * 200_000) + " 10.0.0.1", "call 555.123.4567 " + ".".join(["7"] * 200_000)]
     got = pii.detect(spark.createDataFrame(list(enumerate(runs)), "id long, v string"), "id").select("row_id", "entity_type").collect()
     assert {(0, "US_SSN"), (1, "IP_ADDRESS"), (2, "PHONE_NUMBER")} <= {tuple(r) for r in got}
+
+
+PLAIN_EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}")
+
+
+def test_anchored_emails_equal_a_plain_search(spark):
+    draw = random.Random(5)
+    texts = ["".join(draw.choice("ab.@-é x1") for _ in range(draw.randint(0, 40))) for _ in range(1500)]
+    texts += ["a@b.com@c.org", "a@b.comx@c.org y", "@a.bc", "a@@b.cd", "x@y.c", "ünï@b.de q@r.st, u+v%w@x-y.co.uk.", "a.b@c..de", "p@q.rs1", "🙂a@b.cd"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, v string")
+    email = [r for r in pii.RECOGNISERS if r.anchor]
+    got = {(r.row_id, r.start_char, r.end_char) for r in pii.detect(df, "id", recognisers=email).collect()}
+    assert got == {(i, m.start(), m.end()) for i, t in enumerate(texts) for m in PLAIN_EMAIL.finditer(t)}
+
+
+def test_long_cells_are_read_in_linear_time(spark):
+    def seconds(filler):
+        found = pii.detect(spark.createDataFrame([(1, f"{filler} me@site.org 10.0.0.1")], "id long, v string"), "id")
+        hits = {(r.entity_type, r.end_char - r.start_char) for r in found.collect()}
+        assert {("EMAIL_ADDRESS", 11), ("IP_ADDRESS", 8)} <= hits
+        started = time.perf_counter()
+        found.collect()
+        return time.perf_counter() - started
+
+    # letters alone, then fillers full of dots, hyphens and anchors; a pattern that restarts takes minutes
+    assert seconds("a" * 1_000_000) < 2
+    for part in ("1-", "@", "x@y"):
+        assert seconds(part * (1_000_000 // len(part))) < 6, part
+
+
+def test_custom_anchor(spark):
+    handle = pii.Recogniser("HANDLE", "[a-z]", "[0-9]+", 0.9, "#", anchor="#")
+    df = spark.createDataFrame([(1, "ab#12 #3 X c#d e#4#5")], "id long, v string")
+    assert sorted((r.start_char, r.end_char) for r in pii.detect(df, "id", recognisers=[handle]).collect()) == [(0, 5), (15, 18)]
+
+
+def test_correlations_of_many_columns_with_gaps(spark):
+    draw = np.random.default_rng(3)
+    base = draw.normal(size=(400, 1))
+    data = pd.DataFrame(base + draw.normal(size=(400, 200)) * draw.uniform(0.1, 3, size=200) + 1e6, columns=[f"c{i:03}" for i in range(200)])
+    data = data.mask(draw.random(data.shape) < 0.2)
+    data["c000"], data["c001"], data["c002"] = 0.1, None, np.arange(400) + 1e9
+    schema = ", ".join(f"{c} double" for c in data.columns)
+    df = spark.createDataFrame(data.astype(object).where(data.notna(), None).values.tolist(), schema).repartition(6)
+    got = {(r.column_a, r.column_b): r.correlation_value for r in profile.correlations(df, "d", RUN).collect()}
+    want = data.astype(float).corr().stack()
+    want = {(a, b): v for (a, b), v in want.items() if a < b}
+    assert {k for k in want if k[0] not in ("c000", "c001")} == set(got)  # constant and empty columns have none
+    assert all(abs(want[k] - v) < 2e-6 for k, v in got.items())
+
+
+def test_correlations_of_no_rows_and_few_columns(spark):
+    empty = spark.createDataFrame([], "a double, b int, c string")
+    assert profile.correlations(empty, "d", RUN).collect() == []
+    assert profile.correlations(empty.select("a"), "d", RUN).collect() == []
+    pair = spark.createDataFrame([(1.0, 2), (2.0, 4), (None, 9)], "a double, b int")
+    assert [r.correlation_value for r in profile.correlations(pair, "d", RUN).collect()] == [1.0]
