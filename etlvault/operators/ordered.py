@@ -10,29 +10,59 @@ from pyspark.sql import functions as F
 from etlvault.functions.columns import col, cols
 from etlvault.session import cut_lineage
 
-_BUCKET, _EDGE, _CARRY = "__time_bucket", "__time_edge", "__time_carry"
+BUCKETS = 1024  # runs of equal size that all rows are cut into
+_BUCKET, _EDGE, _CARRY = "__order_bucket", "__time_edge", "__time_carry"
 _PART, _POS, _BASE = "__range_part", "__range_pos", "__range_base"
 
 
-def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str,
-                   following: bool = False, bucket: str | None = "DAY") -> DataFrame:
+def order_cuts(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[str]:
+    """Values of ``order``, as text, that part all rows of ``df`` into about equal runs.
+
+    One aggregate over that column alone; its summaries are of bounded size and at most
+    ``buckets - 1`` values come back. Repeated values give one cut.
+    """
+    shares = [i / buckets for i in range(1, buckets)]
+    found = F.array_sort(F.array_distinct(F.percentile_approx(col(order), shares, 10 * buckets)))
+    return df.agg(F.transform(found, lambda v: v.cast("string")).alias("c")).head()["c"] or []
+
+
+def order_bucket(value: Column, cuts: Sequence[str], kind: str) -> Column:
+    """Number of cuts at or below ``value``, by halving."""
+    if not cuts:
+        return F.lit(0)
+    at = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
+    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                       lambda place, step: F.when(F.get(at, place + step - 1) <= value, place + step).otherwise(place))
+
+
+def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, following: bool = False,
+                   bucket: str | int | None = BUCKETS, sample: DataFrame | None = None) -> DataFrame:
     """Add ``name``: the ``value`` of the previous (or following) row of the same key.
 
-    A hot key would put all its rows into one window task, so the window runs per key
-    and time bucket. The last (first) row of each bucket is carried to the next
-    (previous) bucket of the key, which leaves one row per key and bucket to order.
-    ``order`` must be unique per key and ``value`` not NULL. ``bucket=None`` asks for
-    the plain window, for data known to hold few rows per key.
+    A hot key would put all its rows into one window task, so the window runs per key and
+    bucket of ``order``. A number of buckets cuts all rows into runs of equal size, so that
+    a key holds no more than one run's rows in a bucket, however dense it is in time; the
+    cuts are taken from ``sample``, a cheaper frame with the same column, where given.
+    The name of a time unit takes calendar buckets instead. The last (first) row of each
+    bucket is carried to the next (previous) bucket of the key, which leaves one row per key
+    and bucket to order. ``order`` must be unique per key and ``value`` not NULL.
+    ``bucket=None`` asks for the plain window, for data known to hold few rows per key.
     """
     shift = F.lead if following else F.lag
     if bucket is None:
         return df.withColumn(name, shift(col(value)).over(
             Window.partitionBy(*cols(keys)).orderBy(col(order))))
 
+    if isinstance(bucket, int):
+        cuts = order_cuts(df if sample is None else sample, order, bucket)
+        spot = order_bucket(col(order), cuts, dict(df.dtypes)[order])
+    else:
+        spot = F.date_trunc(bucket, col(order))
     in_bucket = Window.partitionBy(*cols(keys), F.col(_BUCKET)).orderBy(col(order))
     counter = F.lag if following else F.lead
     local = (
-        df.withColumn(_BUCKET, F.date_trunc(bucket, col(order)))
+        df.withColumn(_BUCKET, spot)
         .withColumn(name, shift(col(value)).over(in_bucket))
         # a row without a local neighbour on the other side closes its bucket
         .withColumn(_EDGE, counter(col(order)).over(in_bucket).isNull())
@@ -41,6 +71,7 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, n
     edges = (
         local.filter(F.col(_EDGE))
         .select(*cols(keys), _BUCKET, shift(col(value)).over(across).alias(_CARRY))
+        .filter(F.col(_CARRY).isNotNull())  # only keys that span buckets
     )
     return (
         local.join(edges, [*keys, _BUCKET], "left")

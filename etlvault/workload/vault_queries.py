@@ -102,7 +102,7 @@ def sat_history(spark, sf_dir):
 
 
 def sat_end_dated(spark, sf_dir):
-    return _text(vault.end_dated(_sat_event(spark, sf_dir), "USER_HK"), "LOAD_DATE", "LOAD_END_DATE")
+    return _text(vault.end_dated(_sat_event(spark, sf_dir), "USER_HK", dates=staged_events(spark, sf_dir)), "LOAD_DATE", "LOAD_END_DATE")
 
 
 def pit(spark, sf_dir):
