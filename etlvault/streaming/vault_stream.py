@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from etlvault.operators import vault
 
 LOG = "load_log"
+BUCKET = "key_bucket"  # leading digits of the hash key, the partition column of every stored table
 
 
 def only_changes(events: DataFrame, column: str, kinds: Sequence[str]) -> DataFrame:
@@ -52,22 +53,46 @@ class SatelliteLoad:
 
 @dataclass
 class VaultFolder:
-    """Vault tables as parquet folders under one path every executor reaches."""
+    """Vault tables as parquet folders under one path every executor reaches.
+
+    A table is partitioned by the first ``key_digits`` hexadecimal digits of its hash key, 16 to
+    the power of them in all. A batch reads only the partitions its keys fall into, so what it
+    costs follows the batch, as far as its keys are fewer than the partitions, and not the table.
+    """
 
     spark: SparkSession
     path: str
     loads: Sequence[HubLoad | LinkLoad | SatelliteLoad]
+    key_digits: int = 1
     _started: set[str] = field(default_factory=set)
 
-    def read(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{table}")
+    def _schema_path(self, table: str) -> str:
+        return f"{self.path}/schema_of_{table}"
 
-    def _stored(self, table: str, like: DataFrame) -> DataFrame:
+    def _partition(self, key: str):
+        return F.lower(F.substring(F.col(key), 1, self.key_digits))
+
+    def read(self, table: str) -> DataFrame:
+        """A stored table without its partition column, or the log."""
+        if table == LOG:
+            return self.spark.read.parquet(f"{self.path}/{LOG}")
+        columns = self.spark.read.parquet(self._schema_path(table)).schema
+        return self.spark.read.schema(columns.add(BUCKET, "string")).parquet(f"{self.path}/{table}").drop(BUCKET)
+
+    def stored(self, table: str, like: DataFrame, partitions: Sequence[str]) -> DataFrame:
+        """The rows of a stored table in some of its partitions; a first use creates the folders."""
         if table not in self._started:
-            # an empty first write gives the folder its schema; an existing folder is left alone
-            like.limit(0).write.mode("ignore").parquet(f"{self.path}/{table}")
+            # empty first writes give the folder and its schema; what exists is left alone
+            like.limit(0).write.mode("ignore").parquet(self._schema_path(table))
+            like.limit(0).withColumn(BUCKET, F.lit("")).write.mode("ignore").partitionBy(BUCKET).parquet(f"{self.path}/{table}")
             self._started.add(table)
-        return self.spark.read.schema(like.schema).parquet(f"{self.path}/{table}")
+        whole = self.spark.read.schema(like.schema.add(BUCKET, "string")).parquet(f"{self.path}/{table}")
+        return whole.filter(F.col(BUCKET).isin(list(partitions))).drop(BUCKET)
+
+    def touched(self, staged: DataFrame, keys: Sequence[str]) -> dict[str, list[str]]:
+        """Of each hash key, the partitions that the batch has rows for; 16 ** key_digits at most."""
+        found = staged.agg(*[F.collect_set(self._partition(k)).alias(f"k{i}") for i, k in enumerate(keys)]).head()
+        return {k: sorted(found[i]) for i, k in enumerate(keys)}
 
     def load(self, staged: DataFrame, batch_id: int) -> None:
         """Load one staged batch into every table and log the rows added.
@@ -76,10 +101,14 @@ class VaultFolder:
         what its first run did not get to.
         """
         counted = []
+        touched = self.touched(staged, list(dict.fromkeys(step.key for step in self.loads)))
         for step in self.loads:
-            rows = step.rows(staged, self._stored(step.table, step.rows(staged, None)))
+            rows = step.rows(staged, self.stored(step.table, step.rows(staged, None), touched[step.key]))
             seen = Observation()
-            rows.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").parquet(f"{self.path}/{step.table}")
+            # few files per partition, and a partition with many rows is still split; counted behind
+            # the shuffle, since an empty one takes what lies before it out of the plan
+            parted = rows.withColumn(BUCKET, self._partition(step.key)).hint("rebalance", F.col(BUCKET))
+            parted.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(BUCKET).parquet(f"{self.path}/{step.table}")
             counted.append((batch_id, step.table, int(seen.get["n"])))
         self.spark.createDataFrame(counted, "batch_id bigint, table_name string, rows bigint").coalesce(1).write.mode(
             "append").parquet(f"{self.path}/{LOG}")

@@ -167,3 +167,26 @@ def test_stream_equals_batch_and_replay_is_harmless(spark, rows, tmp_path):
     assert (folder.read("hub").count()) == before[1]
     again = vault.load_satellite(folder.read("sat"), "HK", "HD", ["name"])
     assert rows(again, "HK", "LOAD_DATE") == rows(batch_sat, "HK", "LOAD_DATE")
+
+
+def test_a_batch_reads_only_the_partitions_of_its_keys(spark, rows, tmp_path):
+    def stage(ids, when):
+        df = spark.createDataFrame([(i, f"n{i}") for i in ids], "id int, name string")
+        return vault.stage(df, {"HK": ["id"]}, when, "CDC", {"HD": ["name"]})
+
+    folder = vs.VaultFolder(spark, str(tmp_path / "v"), [vs.HubLoad("hub", "HK", ("id",)), vs.SatelliteLoad("sat", "HK", "HD", ("name",))], key_digits=2)
+    folder.load(stage(range(300), "2024-01-01"), 0)
+    batch = stage([3, 7, 1000], "2024-01-02")
+    touched = folder.touched(batch, ["HK"])["HK"]
+    assert touched == sorted(r[0][:2] for r in batch.select("HK").collect())
+    stored = folder.stored("sat", folder.loads[1].rows(batch, None), touched)
+    plan = stored._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "key_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    read = {f.split("key_bucket=")[1][:2] for r in stored.select(F.input_file_name()).distinct().collect() for f in r}
+    assert read and read <= set(touched)
+    assert stored.columns == ["HK", "LOAD_DATE", "RECORD_SOURCE", "HD", "name"]
+    folder.load(batch, 1)
+    assert rows(folder.read("hub"), "id") == rows(spark.createDataFrame([(i,) for i in [*range(300), 1000]], "id int"))
+    assert folder.read("sat").count() == 301
+    folder.load(stage([], "2024-01-03"), 2)
+    assert folder.read("hub").count() == 301
