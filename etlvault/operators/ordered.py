@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from etlvault.functions.columns import col, cols
 from etlvault.session import cut_lineage
 
-BUCKETS = 1024  # runs of equal size that all rows are cut into
+EQUAL_RUNS = 0  # as many runs of equal size as the session has shuffle partitions
 _BUCKET, _EDGE, _CARRY = "__order_bucket", "__time_edge", "__time_carry"
 _PART, _POS, _BASE = "__range_part", "__range_pos", "__range_base"
 
 
-def order_cuts(df: DataFrame, order: str, buckets: int = BUCKETS) -> list[str]:
+def order_cuts(df: DataFrame, order: str, buckets: int = EQUAL_RUNS) -> list[str]:
     """Values of ``order``, as text, that part all rows of ``df`` into about equal runs.
 
     One aggregate over that column alone; its summaries are of bounded size and at most
     ``buckets - 1`` values come back. Repeated values give one cut.
     """
+    buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if buckets < 2:
+        return []
     shares = [i / buckets for i in range(1, buckets)]
     found = F.array_sort(F.array_distinct(F.percentile_approx(col(order), shares, 10 * buckets)))
     return df.agg(F.transform(found, lambda v: v.cast("string")).alias("c")).head()["c"] or []
@@ -37,13 +40,13 @@ def order_bucket(value: Column, cuts: Sequence[str], kind: str) -> Column:
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, following: bool = False,
-                   bucket: str | int | None = BUCKETS, sample: DataFrame | None = None) -> DataFrame:
+                   bucket: str | int | None = EQUAL_RUNS, sample: DataFrame | None = None) -> DataFrame:
     """Add ``name``: the ``value`` of the previous (or following) row of the same key.
 
     A hot key would put all its rows into one window task, so the window runs per key and
-    bucket of ``order``. A number of buckets cuts all rows into runs of equal size, so that
-    a key holds no more than one run's rows in a bucket, however dense it is in time; the
-    cuts are taken from ``sample``, a cheaper frame with the same column, where given.
+    bucket of ``order``. A number of buckets, by default that of the shuffle partitions, cuts
+    all rows into runs of equal size, so that a key holds no more than one run's rows, a fair
+    share, in a bucket, however dense it is in time; the cuts are taken from ``sample``, a cheaper frame with the same column, where given.
     The name of a time unit takes calendar buckets instead. The last (first) row of each
     bucket is carried to the next (previous) bucket of the key, which leaves one row per key
     and bucket to order. ``order`` must be unique per key and ``value`` not NULL.

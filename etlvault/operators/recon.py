@@ -195,49 +195,95 @@ def _shared_type(left: T.DataType, right: T.DataType) -> T.DataType:
     return T.StringType()
 
 
-def _paired_rows(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str],
-                 as_strings: bool) -> DataFrame:
-    """One row per key that is unique on both sides, holding both versions of the columns."""
-    def side(df: DataFrame, other: DataFrame, s: int) -> DataFrame:
-        values = []
-        for c in columns:
-            mine, theirs = resolve(df, c), resolve(other, c)
-            kind = T.StringType() if as_strings else _shared_type(df.schema[mine].dataType, other.schema[theirs].dataType)
-            values.append(col(mine).cast(kind).alias(c))
-        return df.select(col(resolve(df, key)).cast("string").alias("key"), F.lit(s).alias(_SIDE),
-                         F.struct(*values).alias("__row")).filter(F.col("key").isNotNull())
+def _typed(df: DataFrame, other: DataFrame, columns: Sequence[str], as_strings: bool) -> list[Column]:
+    """The columns in the type both sides are compared in, under their given names."""
+    values = []
+    for c in columns:
+        mine, theirs = resolve(df, c), resolve(other, c)
+        kind = T.StringType() if as_strings else _shared_type(df.schema[mine].dataType, other.schema[theirs].dataType)
+        values.append(col(mine).cast(kind).alias(c))
+    return values
 
-    both = side(source, target, 1).unionByName(side(target, source, 0))
+
+def _digest(values: Sequence[Column], kinds: Sequence[T.DataType], salt: int = 0) -> Column:
+    """64-bit digest of some cells: equal cells give equal digests, NULL is a value of its own."""
+    plain = [v + F.lit(0.0) if isinstance(k, (T.DoubleType, T.FloatType)) else v for v, k in zip(values, kinds, strict=True)]  # -0.0 equals 0.0
+    missing = F.concat(*[F.when(v.isNull(), "1").otherwise("0") for v in values]) if values else F.lit("")
+    return F.xxhash64(F.lit(salt), missing, *plain)
+
+
+def _sides(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str], as_strings: bool) -> list[DataFrame]:
+    """(key, typed columns) of both sides, rows without a key left out."""
+    out = []
+    for df, other in ((source, target), (target, source)):
+        named = df.select(col(resolve(df, key)).cast("string").alias("__key"), *_typed(df, other, columns, as_strings))
+        out.append(named.filter(F.col("__key").isNotNull()))
+    return out
+
+
+def _row_digests(side: DataFrame, columns: Sequence[str], s: int) -> DataFrame:
+    """(key, side, two digests of the row, cells apart): what stands for a row until it is known to differ."""
+    kinds = [side.schema[c].dataType for c in columns]
+    cells = [col(c) for c in columns]
+    return side.select("__key", F.lit(s).alias(_SIDE), _digest(cells, kinds, 1).alias("__h1"), _digest(cells, kinds, 2).alias("__h2"))
+
+
+def _differing_buckets(digests: DataFrame, buckets: int) -> DataFrame:
+    """Buckets of keys whose rows are not the same on both sides, by counts and sums of digests.
+
+    Sums do not depend on order; digests are added as halves, so that no sum can overflow.
+    """
+    low = F.lit((1 << 32) - 1)
+    sign = F.when(F.col(_SIDE) == 1, F.lit(1)).otherwise(F.lit(-1)).cast("bigint")
+    keyed = [F.xxhash64("__key", h) for h in ("__h1", "__h2")]
+    halves = [half for h in keyed for half in (h.bitwiseAND(low), F.shiftrightunsigned(h, 32))]
+    sums = digests.groupBy(F.pmod(F.xxhash64("__key"), F.lit(buckets)).alias("__bucket")).agg(
+        F.sum(sign).alias("n"), *[F.sum(sign * h).alias(f"s{i}") for i, h in enumerate(halves)])
+    return sums.filter(" OR ".join(f"{c} <> 0" for c in ("n", "s0", "s1", "s2", "s3"))).select("__bucket")
+
+
+def differing_keys(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str], as_strings: bool = False,
+                   buckets: int | None = None) -> DataFrame:
+    """Keys found once on each side whose rows differ, by digests alone.
+
+    The shuffle carries a key and 16 bytes a row. With ``buckets`` one more scan first sums
+    digests per bucket of keys, a table of at most that many rows, and only keys of buckets
+    that differ are shuffled: for large tables that are nearly equal.
+    """
+    sides = _sides(source, target, key, columns, as_strings)
+    both = _union([_row_digests(side, columns, s) for side, s in zip(sides, (1, 0), strict=True)])
+    if buckets:
+        spot = F.pmod(F.xxhash64("__key"), F.lit(buckets)).alias("__bucket")
+        # no more rows than buckets
+        both = both.withColumn("__bucket", spot).join(F.broadcast(_differing_buckets(both, buckets)), "__bucket", "left_semi").drop("__bucket")
     is_source = F.col(_SIDE) == 1
-    return (
-        both.groupBy("key")
-        .agg(F.count_if(is_source).alias("__ns"), F.count_if(~is_source).alias("__nt"),
-             F.max(F.when(is_source, F.col("__row"))).alias("s"),
-             F.max(F.when(~is_source, F.col("__row"))).alias("t"))
-        .filter("__ns = 1 AND __nt = 1").select("key", "s", "t")
-    )
+    found = both.groupBy("__key").agg(F.count_if(is_source).alias("ns"), F.count_if(~is_source).alias("nt"), *[
+        F.max(F.when(is_source if s == "s" else ~is_source, F.col(f"__{h}"))).alias(f"{h}{s}") for h in ("h1", "h2") for s in "st"])
+    return found.filter("ns = 1 AND nt = 1 AND (h1s <> h1t OR h2s <> h2t)").select("__key")
 
 
 def value_mismatches(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str] | None = None,
-                     as_strings: bool = False) -> DataFrame:
+                     as_strings: bool = False, buckets: int | None = None) -> DataFrame:
     """Every differing cell of the keys found once on each side.
 
-    Typed comparison after widening by default, string forms with ``as_strings``.
+    Typed comparison after widening by default, string forms with ``as_strings``. Rows are
+    fetched for the keys whose digests differ, and only there cells are compared.
     Keys held by several rows have no single counterpart; ``duplicate_keys`` lists them.
     """
     columns = list(columns or common_columns(source, target, [key]))
+    keys = differing_keys(source, target, key, columns, as_strings, buckets)
+    both = _union([side.select("__key", F.lit(n).alias(_SIDE), F.struct(*cols(columns)).alias("__row"))
+                   for side, n in zip(_sides(source, target, key, columns, as_strings), (1, 0), strict=True)])
+    is_source = F.col(_SIDE) == 1
+    pairs = both.join(keys, "__key", "left_semi").groupBy(F.col("__key").alias("key")).agg(
+        F.max(F.when(is_source, F.col("__row"))).alias("s"), F.max(F.when(~is_source, F.col("__row"))).alias("t"))
     cells = []
     for c in columns:
-        s, t = F.col("s").getField(c), F.col("t").getField(c)
-        kind = F.when(s.isNull() != t.isNull(), F.lit("NULL_DIFFERENCE")).when(s != t, F.lit("VALUE_DIFFERENCE"))
-        cells.append(F.struct(F.lit(c).alias("column"), s.cast("string").alias("source_value"),
-                              t.cast("string").alias("target_value"), kind.alias("mismatch_type")))
-    return (
-        _paired_rows(source, target, key, columns, as_strings)
-        .filter(~F.col("s").eqNullSafe(F.col("t")))
-        .select("key", F.inline(F.array(*cells)))
-        .filter(F.col("mismatch_type").isNotNull())
-    )
+        a, b = F.col("s").getField(c), F.col("t").getField(c)
+        kind = F.when(a.isNull() != b.isNull(), F.lit("NULL_DIFFERENCE")).when(a != b, F.lit("VALUE_DIFFERENCE"))
+        cells.append(F.struct(F.lit(c).alias("column"), a.cast("string").alias("source_value"),
+                              b.cast("string").alias("target_value"), kind.alias("mismatch_type")))
+    return pairs.select("key", F.inline(F.array(*cells))).filter(F.col("mismatch_type").isNotNull())
 
 
 def mismatch_types(mismatches: DataFrame) -> DataFrame:
@@ -276,37 +322,48 @@ def hash_mismatches(source: DataFrame, target: DataFrame, key: str, **options) -
     return row_hashes(source, target, key, **options).filter("source_hash <> target_hash")
 
 
-def hash_check(source: DataFrame, target: DataFrame, key: str, **options) -> DataFrame:
-    """Rows compared and rows differing by digest."""
+def _listed(rows: DataFrame, order: Sequence[str], n: int) -> Column:
+    """The first n rows in a total order as one array; n is a report size, so the list is bounded."""
+    first = rows.orderBy(*order).limit(n)
+    return first.agg(F.sort_array(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in order])))).scalar()
+
+
+def hash_check(source: DataFrame, target: DataFrame, key: str, sample: int = SAMPLE_KEYS, **options) -> DataFrame:
+    """Rows compared and rows differing by digest, with the first differing keys."""
     if resolve(source, key) is None or resolve(target, key) is None:
-        return _skipped(source, "HASH_COMPARISON", key, {"rows_compared": T.LongType(), "hash_mismatches": T.LongType()})
-    found = row_hashes(source, target, key, **options).agg(
-        F.count("*").alias("rows_compared"),
-        F.count_if(F.col("source_hash") != F.col("target_hash")).alias("hash_mismatches"))
+        return _skipped(source, "HASH_COMPARISON", key, {"rows_compared": T.LongType(), "hash_mismatches": T.LongType(),
+                                                         "sample_diff_keys": T.ArrayType(T.StringType())})
+    hashes = row_hashes(source, target, key, **options)
+    found = hashes.agg(F.count("*").alias("rows_compared"), F.count_if(F.col("source_hash") != F.col("target_hash")).alias("hash_mismatches"))
+    keys = _sample(hashes.filter("source_hash <> target_hash").select("key"), sample, "k").scalar()
     clean = F.col("hash_mismatches") == 0
     return found.select(
-        F.lit("HASH_COMPARISON").alias("check"), "rows_compared", "hash_mismatches",
+        F.lit("HASH_COMPARISON").alias("check"), "rows_compared", "hash_mismatches", keys.alias("sample_diff_keys"),
         F.when(clean, "PASS").otherwise("FAIL").alias("status"),
         F.when(clean, F.lit("All row hashes matched.")).otherwise(F.format_string(
             "%d rows have differing hashes. Run the value check to find the columns.", "hash_mismatches"))
         .alias("recommendation"))
 
 
+_MISMATCH = "array<struct<key:string,column:string,source_value:string,target_value:string,mismatch_type:string>>"
+
+
 def value_check(source: DataFrame, target: DataFrame, key: str, columns: Sequence[str] | None = None,
-                as_strings: bool = False) -> DataFrame:
-    """Rows compared and cells differing."""
+                as_strings: bool = False, sample: int = SAMPLE_MISMATCHES) -> DataFrame:
+    """Rows compared and cells differing, with the first mismatches by key and column."""
     if resolve(source, key) is None or resolve(target, key) is None:
-        return _skipped(source, "VALUE_MISMATCH", key, {"rows_compared": T.LongType(), "mismatches_found": T.LongType()})
+        return _skipped(source, "VALUE_MISMATCH", key, {"rows_compared": T.LongType(), "mismatches_found": T.LongType(),
+                                                        "sample_mismatches": T._parse_datatype_string(_MISMATCH)})
     columns = list(columns or common_columns(source, target, [key]))
-    differing: Column = F.lit(0)
-    for c in columns:
-        same = F.col("s").getField(c).eqNullSafe(F.col("t").getField(c))
-        differing = differing + F.when(same, 0).otherwise(1)
-    found = _paired_rows(source, target, key, columns, as_strings).agg(
-        F.count("*").alias("rows_compared"), F.coalesce(F.sum(differing), F.lit(0)).alias("mismatches_found"))
+    is_source = F.col(_SIDE) == 1
+    keys = _union([side.select("__key", F.lit(s).alias(_SIDE)) for side, s in zip(_sides(source, target, key, [], as_strings), (1, 0), strict=True)])
+    compared = keys.groupBy("__key").agg(F.count_if(is_source).alias("ns"), F.count_if(~is_source).alias("nt")).agg(
+        F.count_if((F.col("ns") == 1) & (F.col("nt") == 1)).alias("rows_compared"))
+    cells = value_mismatches(source, target, key, columns, as_strings)
+    counted = compared.withColumn("mismatches_found", cells.agg(F.count("*")).scalar())
     clean = F.col("mismatches_found") == 0
-    return found.select(
-        F.lit("VALUE_MISMATCH").alias("check"), "rows_compared", "mismatches_found",
+    return counted.select(
+        F.lit("VALUE_MISMATCH").alias("check"), "rows_compared", "mismatches_found", _listed(cells, ["key", "column"], sample).alias("sample_mismatches"),
         F.when(clean, "PASS").otherwise("FAIL").alias("status"),
         F.when(clean, F.lit("All values matched for compared rows.")).otherwise(F.format_string(
             "%d value mismatches found. Review the transformation of the affected columns.", "mismatches_found"))
@@ -321,23 +378,24 @@ def reconcile(source: DataFrame, target: DataFrame, key: str, numeric: Sequence[
               tolerance_pct: float = DEFAULT_TOLERANCE_PCT) -> DataFrame:
     """All five checks as one long result table.
 
-    Each side is scanned once and shuffled once: one aggregate per key holds the row
-    counts, both row versions, both digests and the partial sums, and one aggregate over
-    the keys turns them into every figure of the report.
+    Each side is scanned once and shuffled once: one hash aggregate per key holds the row
+    counts, a 64-bit digest of every cell and the row digest of both sides and the partial
+    sums, all of fixed width, and one aggregate over the keys turns them into every figure
+    of the report. Of a repeated key's row digests the one with the greatest number counts.
     """
     keyed = resolve(source, key) is not None and resolve(target, key) is not None
     columns = list(columns or common_columns(source, target, [key]))
     hashed = sorted(common_columns(source, target, [key]))
 
     def side(df: DataFrame, other: DataFrame, s: int) -> DataFrame:
-        def shared(c: str) -> Column:
-            mine, theirs = resolve(df, c), resolve(other, c)
-            return col(mine).cast(_shared_type(df.schema[mine].dataType, other.schema[theirs].dataType)).alias(c)
+        def cell(i: int, c: str) -> Column:
+            kind = _shared_type(df.schema[resolve(df, c)].dataType, other.schema[resolve(other, c)].dataType)
+            return _digest([col(resolve(df, c)).cast(kind)], [kind]).alias(f"__v{i}")
 
         numbers = [(col(resolve(df, c)) if resolve(df, c) else F.lit(None).cast("double")).alias(f"__n{i}") for i, c in enumerate(numeric)]
         name = (col(resolve(df, key)).cast("string") if keyed else F.lit(None).cast("string")).alias("key")
-        return df.select(name, F.lit(s).alias(_SIDE), F.struct(*[shared(c) for c in columns]).alias("__row"),
-                         row_digest([resolve(df, c) for c in hashed], scales).alias("__h"), *numbers)
+        return df.select(name, F.lit(s).alias(_SIDE), *[cell(i, c) for i, c in enumerate(columns)],
+                         F.xxhash64(row_digest([resolve(df, c) for c in hashed], scales)).alias("__h"), *numbers)
 
     is_source, slots = F.col(_SIDE) == 1, range(len(numeric))
     both = side(source, target, 1).unionByName(side(target, source, 0))
@@ -347,14 +405,14 @@ def reconcile(source: DataFrame, target: DataFrame, key: str, numeric: Sequence[
 
     per_key = both.groupBy("key").agg(
         F.count_if(is_source).alias("ns"), F.count_if(~is_source).alias("nt"),
-        F.max(of("__row", True)).alias("rs"), F.max(of("__row", False)).alias("rt"),
+        *[F.max(of(f"__v{i}", s)).alias(f"v{i}{'s' if s else 't'}") for i in range(len(columns)) for s in (True, False)],
         F.max(of("__h", True)).alias("hs"), F.max(of("__h", False)).alias("ht"),
         *[f(of(f"__n{i}", s)).alias(f"{n}{i}{'s' if s else 't'}") for i in slots for s in (True, False) for n, f in (("t", F.sum), ("c", F.count))])
     named = F.col("key").isNotNull()
     pair = named & (F.col("ns") == 1) & (F.col("nt") == 1)
     differing: Column = F.lit(0)
-    for c in columns:
-        differing = differing + F.when(F.col("rs").getField(c).eqNullSafe(F.col("rt").getField(c)), 0).otherwise(1)
+    for i in range(len(columns)):
+        differing = differing + (F.col(f"v{i}s") != F.col(f"v{i}t")).cast("int")
     zero = F.lit(0)
     totals = per_key.agg(
         F.coalesce(F.sum("ns"), zero).alias("ns"), F.coalesce(F.sum("nt"), zero).alias("nt"),

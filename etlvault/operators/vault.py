@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from etlvault.functions.columns import col, cols
 from etlvault.functions.hashing import hash_diff, hash_key
-from etlvault.operators.ordered import BUCKETS, first_by, with_neighbour
+from etlvault.operators.ordered import EQUAL_RUNS, first_by, with_neighbour
 
 LOAD_DATE, RECORD_SOURCE, END_DATE = "LOAD_DATE", "RECORD_SOURCE", "LOAD_END_DATE"
 
@@ -107,7 +107,7 @@ def load_hub_batch(source: DataFrame, hub_key: str, business_keys: Sequence[str]
 
 
 def load_satellite(staged: DataFrame, hub_key: str, diff: str, payload: Sequence[str],
-                   stored: DataFrame | None = None, bucket: str | int | None = BUCKETS) -> DataFrame:
+                   stored: DataFrame | None = None, bucket: str | int | None = EQUAL_RUNS, dates: DataFrame | None = None) -> DataFrame:
     """New satellite rows: those whose hash difference changes against the row before them.
 
     The row before may be in the batch or in the stored satellite, and older load dates
@@ -118,7 +118,8 @@ def load_satellite(staged: DataFrame, hub_key: str, diff: str, payload: Sequence
     identity = [hub_key, LOAD_DATE]
     names = [*identity, RECORD_SOURCE, diff, *payload]
     rows = staged.filter(col(hub_key).isNotNull()).select(*cols(names), F.lit(1).alias("__new"))
-    dates = staged.select(LOAD_DATE) if stored is None else staged.select(LOAD_DATE).unionByName(stored.select(LOAD_DATE))
+    if dates is None:
+        dates = staged.select(LOAD_DATE) if stored is None else staged.select(LOAD_DATE).unionByName(stored.select(LOAD_DATE))
     if stored is not None:
         # only the keys of the batch matter, and of them only key, date and hash difference
         touched = rows.select(col(hub_key)).distinct()
@@ -132,7 +133,7 @@ def load_satellite(staged: DataFrame, hub_key: str, diff: str, payload: Sequence
     return rows.filter((F.col("__new") == 1) & changed).select(*cols(names))
 
 
-def end_dated(satellite: DataFrame, hub_key: str, bucket: str | int | None = BUCKETS, dates: DataFrame | None = None) -> DataFrame:
+def end_dated(satellite: DataFrame, hub_key: str, bucket: str | int | None = EQUAL_RUNS, dates: DataFrame | None = None) -> DataFrame:
     """Add LOAD_END_DATE: the load date of the next version, or the end of all times.
 
     ``dates`` may name a frame whose LOAD_DATE is cheaper to read than a derived satellite's.

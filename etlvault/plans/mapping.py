@@ -61,12 +61,14 @@ def _yes(test: Column) -> Column:
 
 
 def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, target_database: str, target_schema: str,
-               list_all_sources: bool = False) -> DataFrame:
+               list_all_sources: bool = False, numbered: bool = True) -> DataFrame:
     """One row per distinct column mapping, then the source columns no mapping reads.
 
     Source and target attributes come from the catalogs, first table wins; a mapping
     without expression takes the first transformation of its source column.
     ``list_all_sources`` lists every source column after the mappings, mapped or not.
+    ``numbered=False`` leaves ``mapping_id`` NULL for uses that do not show it: numbering sorts
+    all rows and runs jobs at once, everything else here is one lazy plan.
     """
     key = ["source_table", "source_column", "target_table", "target_column"]
     order = ["tool", "source_file", "job", "ordinal", "expression"]
@@ -102,12 +104,14 @@ def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, t
         blank.alias("target_column"), blank.alias("expression"), F.col("schema_name").alias("source_schema"),
         F.col("data_type").alias("source_data_type"), F.col("nullable").alias("s_nullable"), F.upper("key_type").alias("s_key"))
     # numbered while the rows are narrow: the sort behind it reads its input twice
-    numbered = with_running_number(read.unionByName(unread), ["__section", *order[:3], "__ordinal", *key], "__n").withColumn(
-        "mapping_id", F.format_string("MAP_%04d", "__n"))
+    rows = read.unionByName(unread)
+    if numbered:
+        rows = with_running_number(rows, ["__section", *order[:3], "__ordinal", *key], "__n")
+    rows = rows.withColumn("mapping_id", F.format_string("MAP_%04d", "__n") if numbered else F.lit(None).cast("string"))
 
     # every lookup side is unique on its key, so the joins keep the mapping rows one to one
     found = (
-        numbered.filter("__section = 1").drop(*attributes)
+        rows.filter("__section = 1").drop(*attributes)
         .join(s, ["source_table", "source_column"], "left")
         .join(schemas.select(F.col("table_name").alias("source_table"), F.col("schema_name").alias("source_schema")), ["source_table"], "left")
         .join(t, ["target_table", "target_column"], "left")
@@ -117,11 +121,11 @@ def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, t
         .withColumns({"target_database": F.lit(target_database), "target_schema": F.lit(target_schema), "notes": blank,
                       "transformation_type": expression_class(F.col("expression"))})
     )
-    open_ones = numbered.filter("__section = 2").withColumns({
+    open_ones = rows.filter("__section = 2").withColumns({
         "target_database": blank, "target_schema": blank, "target_data_type": blank, "transformation_type": F.lit("NONE"),
         "notes": F.lit("UNMAPPED — review required")})
 
-    def finished(rows: DataFrame) -> DataFrame:
+    def finished(part: DataFrame) -> DataFrame:
         made = {
             "nullable": F.when(F.col("s_nullable").isNull(), blank).otherwise(_yes(F.col("s_nullable"))),
             "is_pk": _yes(F.coalesce(F.col("s_key").contains("PRIMARY"), F.lit(False))),
@@ -129,7 +133,7 @@ def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, t
             "pii_flag": pii_flag(F.col("source_column")),
             **{c: F.coalesce(c, blank) for c in ("source_schema", "source_data_type", "target_data_type")},
         }
-        return rows.withColumns(made).select(*STTM_FIELDS)
+        return part.withColumns(made).select(*STTM_FIELDS)
 
     return finished(found).unionByName(finished(open_ones))
 

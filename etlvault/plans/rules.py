@@ -36,9 +36,10 @@ def _contains_any(column: Column, words: Sequence[str]) -> Column:
 
 
 def generate_rules(catalog: DataFrame, hubs: DataFrame | None = None, links: DataFrame | None = None,
-                   sttm: DataFrame | None = None, as_of: str = "2024-01-01") -> DataFrame:
+                   sttm: DataFrame | None = None, as_of: str = "2024-01-01", numbered: bool = True) -> DataFrame:
     """Rules of all six kinds, numbered DQ_<kind>_<n> in section, table and column order.
 
+    ``numbered=False`` leaves ``rule_id`` NULL, which spares the sort of all rules and its jobs.
     ``as_of`` stands for today, so that a rerun gives the same rules.
     """
     t, c, q = F.col("table_name"), F.col("column_name"), F.lit("'")
@@ -80,10 +81,11 @@ def generate_rules(catalog: DataFrame, hubs: DataFrame | None = None, links: Dat
                            column=F.col("source_column"), ordinal=0, check_type="NOT_NULL", threshold=0,
                            rule=F.concat(F.lit("PII column "), q, F.col("source_column"), q, F.lit(" must not be NULL"))))
     rules = reduce(DataFrame.unionByName, parts)
-    order = ["section", "table", "ordinal", "column", "check_type"]
-    numbered = with_running_number(rules, order, "__n")
-    rule_id = F.format_string("DQ_%s_%04d", "prefix", "__n")
-    return numbered.select(rule_id.alias("rule_id"), *cols([f for f in RULE_FIELDS if f not in ("section", "prefix", "ordinal")]))
+    rule_id = F.lit(None).cast("string")
+    if numbered:
+        rules = with_running_number(rules, ["section", "table", "ordinal", "column", "check_type"], "__n")
+        rule_id = F.format_string("DQ_%s_%04d", "prefix", "__n")
+    return rules.select(rule_id.alias("rule_id"), *cols([f for f in RULE_FIELDS if f not in ("section", "prefix", "ordinal")]))
 
 
 def infer_column_rules(columns: DataFrame) -> DataFrame:

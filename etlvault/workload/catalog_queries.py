@@ -126,19 +126,19 @@ def sttm_build(spark, sf_dir):
 
 
 def sttm_summary(spark, sf_dir):
-    return mapping.summarise(_sttm(spark, sf_dir))
+    return mapping.summarise(_sttm(spark, sf_dir, numbered=False))
 
 
 def sttm_by_tool(spark, sf_dir):
-    return mapping.summarise_by(_sttm(spark, sf_dir, list_all_sources=True))
+    return mapping.summarise_by(_sttm(spark, sf_dir, list_all_sources=True, numbered=False))
 
 
 def sttm_unmapped(spark, sf_dir):
-    return mapping.unmapped(_sttm(spark, sf_dir)).select("source_table", "source_column", "is_pk", "is_fk", "pii_flag")
+    return mapping.unmapped(_sttm(spark, sf_dir, numbered=False)).select("source_table", "source_column", "is_pk", "is_fk", "pii_flag")
 
 
 def sttm_personal(spark, sf_dir):
-    return mapping.personal(mapping.mapped(_sttm(spark, sf_dir))).groupBy("source_table").agg(F.count("*").alias("pii_mappings"))
+    return mapping.personal(mapping.mapped(_sttm(spark, sf_dir, numbered=False))).groupBy("source_table").agg(F.count("*").alias("pii_mappings"))
 
 
 CUSTOMER_STTM = [
@@ -195,7 +195,7 @@ def model_relationships(spark, sf_dir):
 def dq_rules(spark, sf_dir):
     c = derived.catalog(spark, sf_dir)
     hubs, links = model.build_hubs(model.business_keys(c)), model.build_links(c)
-    made = rules.generate_rules(c, hubs, links, _sttm(spark, sf_dir))
+    made = rules.generate_rules(c, hubs, links, _sttm(spark, sf_dir, numbered=False))
     return made.select("rule_id", "dimension", "table", "column", "check_type", "rule")
 
 

@@ -27,6 +27,12 @@ def column_summary(spark, sf_dir):
     return pii.column_summary(pii.detect(documents, "doc_id"), documents, "documents", RUN_TS)
 
 
+def flagged_columns(spark, sf_dir):
+    """The report of columns with a hit at or above the high confidence, best first."""
+    found = pii.flagged_columns(column_summary(spark, sf_dir))
+    return found.select("column_name", "detected_entity_types", "avg_confidence", "max_confidence", "n_flagged_rows")
+
+
 def high_confidence(spark, sf_dir):
     return pii.detect(wide(spark, sf_dir, "documents"), "doc_id").filter(
         F.col("confidence") >= pii.HIGH_CONFIDENCE).groupBy("entity_type").agg(F.count("*").alias("hits"))
@@ -60,7 +66,7 @@ def roundtrip(spark, sf_dir):
 
 
 QUERIES = {
-    "pii_cells": cells, "pii_turn_cells": turn_cells, "pii_column_summary": column_summary,
+    "pii_cells": cells, "pii_turn_cells": turn_cells, "pii_column_summary": column_summary, "pii_flagged_columns": flagged_columns,
     "pii_high_confidence": high_confidence, "pii_masked": masked, "pii_key_registry": registry, "pii_roundtrip": roundtrip,
 }
 
@@ -105,15 +111,7 @@ _LIMIT = "confidence >= case entity_type when 'DATE_TIME' then 0.6 else 0.5 end"
 _LINES = ("select cast(doc_id as varchar) || ':' || cast(i - 1 as varchar) as row_id, 'value' as column_name, v from ("
           "select doc_id, unnest(string_split(text, chr(10))) as v, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)")
 
-ORACLE = {
-    "pii_cells": f"""with {_hits_sql(_DOC)}
-        select column_name, row_id, entity_type, cast(confidence as double) as confidence, cast(s as int) as start_char, cast(e as int) as end_char
-        from hits where {_LIMIT}""",
-    "pii_turn_cells": f"""
-        with {_hits_sql("select cast(conv_id as varchar) || ':' || cast(turn as varchar) as row_id, unnest(['text', 'role']) as column_name, unnest([text, role]) as v from conversations")}
-        select column_name, row_id, entity_type, cast(confidence as double) as confidence, cast(s as int) as start_char, cast(e as int) as end_char
-        from hits where confidence >= 0.4""",
-    "pii_column_summary": f"""
+_SUMMARY = f"""
         with {_hits_sql(_DOC)},
         f as (select column_name, string_agg(distinct entity_type, ', ' order by entity_type) as types, count(distinct entity_type) as k,
                 avg(confidence) as a, max(confidence) as hi, min(confidence) as lo, count(distinct row_id) as n from hits where {_LIMIT} group by 1),
@@ -123,7 +121,19 @@ ORACLE = {
                cast(coalesce(k, 0) as int) as n_entity_types, cast(round(a, 6) as double) as avg_confidence, cast(hi as double) as max_confidence,
                cast(lo as double) as min_confidence, coalesce(n, 0) as n_flagged_rows,
                cast(round(coalesce(n, 0) * 100.0 / m, 4) as double) as pct_flagged_rows, 'mask + encrypt' as anonymization_method
-        from b left join f using (column_name)""",
+        from b left join f using (column_name)"""
+
+ORACLE = {
+    "pii_cells": f"""with {_hits_sql(_DOC)}
+        select column_name, row_id, entity_type, cast(confidence as double) as confidence, cast(s as int) as start_char, cast(e as int) as end_char
+        from hits where {_LIMIT}""",
+    "pii_turn_cells": f"""
+        with {_hits_sql("select cast(conv_id as varchar) || ':' || cast(turn as varchar) as row_id, unnest(['text', 'role']) as column_name, unnest([text, role]) as v from conversations")}
+        select column_name, row_id, entity_type, cast(confidence as double) as confidence, cast(s as int) as start_char, cast(e as int) as end_char
+        from hits where confidence >= 0.4""",
+    "pii_column_summary": _SUMMARY,
+    "pii_flagged_columns": f"""select column_name, detected_entity_types, avg_confidence, max_confidence, n_flagged_rows
+        from ({_SUMMARY}) where is_pii and max_confidence >= 0.85""",
     "pii_high_confidence": f"""with {_hits_sql(_DOC)}
         select entity_type, count(*) as hits from hits where {_LIMIT} and confidence >= 0.85 group by 1""",
     "pii_masked": f"""

@@ -89,6 +89,18 @@ def row_hash(spark, sf_dir):
     return recon.hash_mismatches(source_orders(spark, sf_dir), target_orders(spark, sf_dir), "o_orderkey", scales=SCALES)
 
 
+def value_check(spark, sf_dir):
+    found = recon.value_check(_money(source_orders(spark, sf_dir)), _money(target_orders(spark, sf_dir)), "o_orderkey")
+    listed = F.transform("sample_mismatches", lambda m: F.concat_ws("|", m["key"], m["column"], F.coalesce(m["source_value"], F.lit("-")),
+                                                                    F.coalesce(m["target_value"], F.lit("-")), m["mismatch_type"]))
+    return found.withColumn("sample_mismatches", F.array_join(listed, ";"))
+
+
+def hash_check(spark, sf_dir):
+    found = recon.hash_check(source_orders(spark, sf_dir), target_orders(spark, sf_dir), "o_orderkey", scales=SCALES)
+    return found.withColumn("sample_diff_keys", F.array_join("sample_diff_keys", ","))
+
+
 def delta_counts(spark, sf_dir):
     since, until = "1998-01-01", "1999-01-01"
     return recon.row_counts(recon.delta(source_orders(spark, sf_dir), "o_orderdate", since, until),
@@ -115,7 +127,8 @@ QUERIES = {
     "recon_aggregates": aggregates, "recon_missing_keys": missing_keys, "recon_extra_keys": extra_keys,
     "recon_key_check": key_check, "recon_duplicate_keys": duplicate_keys,
     "recon_duplicate_listing": duplicate_listing, "recon_value_mismatch": value_mismatch,
-    "recon_mismatch_types": mismatch_types, "recon_row_hash": row_hash, "recon_delta": delta_counts,
+    "recon_mismatch_types": mismatch_types, "recon_row_hash": row_hash,
+    "recon_value_check": value_check, "recon_hash_check": hash_check, "recon_delta": delta_counts,
     "recon_report": report, "recon_summary": summary,
 }
 
@@ -241,6 +254,24 @@ ORACLE = {
     "recon_value_mismatch": f"with {_CELLS} select * from diff",
     "recon_mismatch_types": f'with {_CELLS} select "column", mismatch_type, count(*) as cells from diff group by all',
     "recon_row_hash": f"with {_HASHED} select * from hashed where source_hash <> target_hash",
+    "recon_value_check": f"""with {_CELLS},
+        n as (select count(*) as k from diff),
+        first as (select key || '|' || "column" || '|' || coalesce(source_value, '-') || '|' || coalesce(target_value, '-') || '|' || mismatch_type as line,
+                    key, "column" as c from diff order by key, "column" limit 20)
+        select 'VALUE_MISMATCH' as "check", (select count(*) from orders join tgt using (o_orderkey)) as rows_compared, k as mismatches_found,
+               (select coalesce(string_agg(line, ';' order by key, c), '') from first) as sample_mismatches, case when k = 0 then 'PASS' else 'FAIL' end as status,
+               case when k = 0 then 'All values matched for compared rows.'
+                    else cast(k as varchar) || ' value mismatches found. Review the transformation of the affected columns.' end as recommendation
+        from n""",
+    "recon_hash_check": f"""with {_HASHED},
+        n as (select count(*) as c, count(*) filter (where source_hash <> target_hash) as k from hashed)
+        select 'HASH_COMPARISON' as "check", c as rows_compared, k as hash_mismatches,
+               (select coalesce(string_agg(key, ',' order by key), '') from (
+                  select key from hashed where source_hash <> target_hash order by key limit 10)) as sample_diff_keys,
+               case when k = 0 then 'PASS' else 'FAIL' end as status,
+               case when k = 0 then 'All row hashes matched.'
+                    else cast(k as varchar) || ' rows have differing hashes. Run the value check to find the columns.' end as recommendation
+        from n""",
     "recon_delta": f"""with {TARGET_SQL},
         s98 as (select 1 from orders where o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1999-01-01'),
         t98 as (select 1 from tgt where o_orderdate >= timestamp '1998-01-01' and o_orderdate < timestamp '1999-01-01')

@@ -89,8 +89,9 @@ def sat_incremental(spark, sf_dir):
         F.when(F.col("o_orderdate") >= F.lit("2000-01-01").cast("timestamp_ntz"), "F")
         .otherwise(F.col("o_orderstatus")))
     second = staged_orders(spark, sf_dir, DAY_2, orders)
+    dates = second.select("LOAD_DATE").unionByName(staged_orders(spark, sf_dir).select("LOAD_DATE"))
     return _text(vault.load_satellite(second, "ORDER_HK", "ORDER_HASHDIFF", ORDER_PAYLOAD,
-                                      stored=_sat_order(spark, sf_dir)), "LOAD_DATE", "o_orderdate")
+                                      stored=_sat_order(spark, sf_dir), dates=dates), "LOAD_DATE", "o_orderdate")
 
 
 def _sat_event(spark, sf_dir):

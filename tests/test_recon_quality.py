@@ -134,3 +134,37 @@ def test_reference_rule_and_learned_values(spark):
     assert (r.rows_checked, r.actual_failures, r.status) == (7, 3, "FAIL")
     assert one(quality.evaluate(child, [rule], parents={"p": spark.range(20_000).toDF("id")})).status == "PASS"
     assert quality.dimensions(spark).count() == 6
+
+
+def test_cells_are_fetched_for_differing_keys_only(spark, rows):
+    """Digests against a plain comparison: NULLs that change places, signed zeros, NaN, copies of a key, keys on one side."""
+    nan = float("nan")
+    left = [(1, "a", None, 0.0), (2, None, "a", 1.0), (3, "x", "y", nan), (4, "x", "y", 2.0), (5, "d", "d", 3.0), (5, "d", "d", 3.0),
+            (6, "q", "r", None), (None, "n", "n", 0.0), (8, "only", "left", 1.0)]
+    right = [(1, None, "a", -0.0), (2, None, "a", 1.0), (3, "x", "y", nan), (4, "x", "z", 2.5), (5, "e", "d", 3.0), (6, "q", "r", 0.0), (None, "m", "n", 0.0), (9, "", "", 0.0)]
+    schema = "id int, p string, q string, v double"
+    source, target = spark.createDataFrame(left, schema), spark.createDataFrame(right, schema)
+    want = [("1", "p", "a", None, "NULL_DIFFERENCE"), ("1", "q", None, "a", "NULL_DIFFERENCE"), ("4", "q", "y", "z", "VALUE_DIFFERENCE"),
+            ("4", "v", "2.0", "2.5", "VALUE_DIFFERENCE"), ("6", "v", None, "0.0", "NULL_DIFFERENCE")]
+    for buckets in (None, 1, 3, 1 << 16):
+        assert rows(recon.value_mismatches(source, target, "id", buckets=buckets)) == sorted(want, key=str)
+    check = recon.value_check(source, target, "id", sample=2).collect()[0]
+    assert (check.rows_compared, check.mismatches_found, [tuple(m) for m in check.sample_mismatches]) == (5, 5, want[:2])
+    report = {r["check"]: r for r in recon.reconcile(source, target, "id", [], "t").collect()}
+    assert (report["VALUE_MISMATCH"].source_value, report["VALUE_MISMATCH"].abs_diff) == (5.0, 5.0)
+
+
+def test_equal_buckets_are_not_shuffled(spark):
+    source = spark.range(20_000).select("id", (F.col("id") * 7).alias("v"))
+    target = source.withColumn("v", F.when(F.col("id") == 777, F.lit(0)).otherwise(F.col("v")))
+    digests = recon._union([recon._row_digests(d, ["v"], s) for d, s in zip(recon._sides(source, target, "id", ["v"], False), (1, 0))])
+    assert recon._differing_buckets(digests, 1024).count() == 1
+    assert [r["__key"] for r in recon.differing_keys(source, target, "id", ["v"], buckets=1024).collect()] == ["777"]
+    assert recon.differing_keys(source, source, "id", ["v"], buckets=1024).isEmpty()
+
+
+def test_hash_check_lists_the_first_keys(spark):
+    source = spark.range(50).select("id", F.lit("a").alias("v"))
+    target = source.withColumn("v", F.when(F.col("id") >= 30, "b").otherwise("a"))
+    check = recon.hash_check(source, target, "id", sample=3).collect()[0]
+    assert (check.rows_compared, check.hash_mismatches, check.sample_diff_keys, check.status) == (50, 20, ["30", "31", "32"], "FAIL")
