@@ -6,6 +6,9 @@ node with the largest sum of child densities is the content; the least density o
 from the body is the threshold for further parts, which are looked for in the same way below
 every node that reaches it. Parts that are no article by their element, role or class (menus,
 page headers, footers, adverts, forms, comments …) are left out before densities are taken.
+Words in a class or id are a hint only: an element that holds more than half of the page's
+text stays (one of reader comments only with a ``main`` or ``h1`` inside), and a name such as
+``has-sidebar`` or ``no-comments`` says nothing of the element.
 
 Where the content lies in an ``article`` or ``main`` element the whole element is taken, so its headline is
 kept; other parts that reach the threshold are added to it, an ``article`` as a whole. Elsewhere the headings
@@ -34,7 +37,7 @@ BLOCKS = frozenset("""address article aside blockquote body caption center dd de
  h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul""".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp plaintext".split())
-LEFT_OUT = frozenset("""nav footer aside form script style noscript template head button select option input textarea label fieldset svg math canvas
+LEFT_OUT = frozenset("""nav footer aside form script style noscript template head button select option input textarea label fieldset svg annotation canvas
  object audio video iframe dialog menu search datalist""".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
@@ -44,6 +47,10 @@ NAMES = frozenset("""ad ads adv advert adverts advertisement advertising sponsor
  popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar aside widget widgets footer comment comments reply replies respond disqus
  share sharing social related recommended recommendations newsletter subscribe subscription signup login toolbar pagination pager copyright
  disclaimer skiplink""".split())
+# Of these, words for what readers write.
+READERS = frozenset("comment comments reply replies respond disqus".split())
+# Words that turn a name into a statement about the layout around the element.
+LAYOUT = frozenset("has have no not with without hide hidden".split())
 PAGE_HEADER = frozenset(["header", "masthead", "topbar"])  # left out outside an article only
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*"|'[^']*')*+|[^>]*)>|<[!?/][^>]*>""", re.S)
@@ -52,23 +59,28 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def _no_article(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is left out by its name, role, class or id, or because it is hidden."""
+STAYS, BY_KIND, BY_WORD, BY_READERS = range(4)
+
+
+def _left_out(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is left out: by its name, role or because it is hidden, or by words in its class or id."""
     if name in LEFT_OUT or name == "header" and not in_article:
-        return True
+        return BY_KIND
     if not attributes.strip() or name in ("html", "body", "main", "article"):
-        return False
+        return STAYS
+    found = STAYS
     for m in _ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _INVISIBLE.search(value):
-            return True
+            return BY_KIND
         if key == "role" and value.lower() in ROLES:
-            return True
+            return BY_KIND
         if key in ("class", "id"):
-            words = {w.lower() for w in _PART.findall(value)}
-            if words & NAMES or words & PAGE_HEADER and not in_article:
-                return True
-    return False
+            for part in value.split():
+                words = {w.lower() for w in _PART.findall(part)}
+                if not words & LAYOUT and (words & NAMES or words & PAGE_HEADER and not in_article):
+                    found = BY_READERS if words & READERS else max(found, BY_WORD)
+    return found
 
 
 def _density(chars: int, link_chars: int, tags: int, link_tags: int, whole: float) -> float:
@@ -85,22 +97,43 @@ def _density(chars: int, link_chars: int, tags: int, link_tags: int, whole: floa
 
 
 class Page:
-    """Block nodes of a page in document order, and its text pieces between block boundaries."""
+    """Block nodes of a page in document order, and its text pieces between block boundaries.
 
-    def __init__(self, html: str):
+    ``spared`` has the numbers of elements that stay whatever the words in their names; with
+    None all such elements stay, and ``holders`` tells how much text each of them holds.
+    """
+
+    def __init__(self, html: str, spared: frozenset[int] | None = frozenset()):
+        self.spared, self.number = spared, 0             # number of elements that words mark
+        self.total = self.unread = self.tops = 0          # text that counts, text left out by words, main and h1 elements
+        self.holders: list[tuple[int, int, bool, int]] = []  # number, text, has a main or h1, reason
         self.names, self.parents = ["#root"], [-1]
         self.chars, self.link_chars, self.tags, self.link_tags = [0], [0], [0], [0]
         self.pieces: list[tuple[int, str] | None] = []  # None is a block boundary
-        self.open: list[tuple[str, int, bool]] = []      # name, node (-1 inline), left out
+        self.open: list[tuple[str, int, int, tuple | None]] = []  # name, node (-1 inline), left out, marked by words
         self.held: dict[str, int] = {}
-        self.skipped = self.links = self.articles = 0
+        self.skipped = self.worded = self.links = self.articles = 0
         self.node = 0
         self._parse(html)
 
-    def _push(self, name: str, node: int, left_out: bool) -> None:
-        self.open.append((name, node, left_out))
+    def _judge(self, name: str, attributes: str) -> tuple[int, tuple | None]:
+        """Whether an element is left out, and what is to be known at its end if words mark it."""
+        if self.skipped:
+            return STAYS, None
+        reason = _left_out(name, attributes, self.articles > 0)
+        if reason < BY_WORD:
+            return reason, None
+        self.number += 1
+        if self.spared is None:
+            return STAYS, (self.number, self.total, self.tops, reason)
+        return (STAYS if self.number in self.spared else reason), None
+
+    def _push(self, name: str, node: int, left_out: int, mark: tuple | None = None) -> None:
+        self.open.append((name, node, left_out, mark))
         self.held[name] = self.held.get(name, 0) + 1
-        self.skipped += left_out
+        self.skipped += left_out > STAYS
+        self.worded += left_out >= BY_WORD
+        self.tops += not self.skipped and name in ("main", "h1")
         self.links += name == "a"
         self.articles += name in ("article", "main")
         if node >= 0:
@@ -108,9 +141,12 @@ class Page:
             self.pieces.append(None)
 
     def _pop(self) -> str:
-        name, node, left_out = self.open.pop()
+        name, node, left_out, mark = self.open.pop()
         self.held[name] -= 1
-        self.skipped -= left_out
+        self.skipped -= left_out > STAYS
+        self.worded -= left_out >= BY_WORD
+        if mark:
+            self.holders.append((mark[0], self.total - mark[1], self.tops > mark[2], mark[3]))
         self.links -= name == "a"
         self.articles -= name in ("article", "main")
         if node >= 0:
@@ -127,7 +163,7 @@ class Page:
         """An item ends the open item of its own list."""
         group = ("dt", "dd") if name in ("dt", "dd") else ("td", "th") if name in ("td", "th") else (name,)
         if any(self.held.get(g) for g in group):
-            for other, _, _ in reversed(self.open):
+            for other, *_ in reversed(self.open):
                 if other in group:
                     self._close(other)
                     return
@@ -136,20 +172,26 @@ class Page:
 
     def _text(self, raw: str) -> None:
         if self.skipped or not raw:
+            self.unread += len(raw) if self.worded else 0
             return
         text = html_entities.unescape(raw) if "&" in raw else raw
         size = len(text) - text.count(" ") - text.count("\n")
         self.chars[self.node] += size
+        self.total += size
         if self.links:
             self.link_chars[self.node] += size
         self.pieces.append((self.node, text))
 
     def _parse(self, html: str) -> None:
-        at, lowered = 0, None
+        at, lowered, last = 0, None, html.rfind(">")
         while True:
-            m = _TOKEN.search(html, at)
+            # behind the last end of a tag only an open comment can begin; a search would read on from every "<"
+            m = _TOKEN.search(html, at) if at <= last else None
             if m is None:
-                self._text(html[at:])
+                comment = html.find("<!--", at)
+                self._text(html[at:] if comment < 0 else html[at:comment])
+                while self.open:
+                    self._pop()
                 return
             if m.start() > at:
                 self._text(html[at:m.start()])
@@ -173,7 +215,7 @@ class Page:
                     self._close("p")
                 if name in CLOSED_BY_SAME:
                     self._close_same(name)
-                left_out = not self.skipped and _no_article(name, m[3], self.articles > 0)
+                left_out, mark = self._judge(name, m[3])
                 if self.skipped or left_out:  # no node of its own: nothing inside counts
                     if name not in VOID:
                         self._push(name, -1, left_out)
@@ -184,7 +226,7 @@ class Page:
                 self.parents.append(self.node)
                 for column, value in ((self.chars, 0), (self.link_chars, 0), (self.tags, 1), (self.link_tags, 0)):
                     column.append(value)
-                self._push(name, node, False)
+                self._push(name, node, STAYS, mark)
                 if name in VOID:
                     self._pop()
                 continue
@@ -200,7 +242,7 @@ class Page:
                     self.tags[self.node] += 1
             elif name == "option":
                 self._close_same(name)
-            self._push(name, -1, not self.skipped and _no_article(name, m[3], self.articles > 0))
+            self._push(name, -1, *self._judge(name, m[3]))
 
     def densities(self) -> list[float]:
         """Composite text density of every node."""
@@ -268,7 +310,14 @@ def _find_end(html: str, name: str, at: int) -> int:
 
 
 def main_text(html: str | None) -> str:
-    return Page(html).text() if html else ""
+    if not html:
+        return ""
+    page = Page(html)
+    if page.unread > page.total:  # words may have left out the article: see how much each such element holds
+        counted = Page(html, None)
+        spared = frozenset(n for n, chars, has_top, reason in counted.holders if 2 * chars > counted.total and (has_top or reason == BY_WORD))
+        page = Page(html, spared) if spared else page
+    return page.text()
 
 
 def extract(pages: DataFrame, html_col: str = "html", text_col: str = "text") -> DataFrame:

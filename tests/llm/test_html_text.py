@@ -1,5 +1,6 @@
 import html
 import re
+import time
 
 import pytest
 
@@ -71,3 +72,32 @@ def test_sibling_articles():
     page = "<body><div>" + "".join(post.format(i) for i in range(4)) + "</div><div>" + "<p><a href=#>link</a></p>" * 9 + "</div></body>"
     got = main_text(page)
     assert [(f"Post {i}" in got, got.count(f"paragraph of part {i}")) for i in range(4)] == [(True, 9)] * 4 and "link" not in got
+
+
+WRAPPERS = ["layout has-sidebar", "content-with-sidebar", "no-comments", "page-with-menu", "post-related-content", "post social-studies", "widget"]
+
+
+@pytest.mark.parametrize("name", WRAPPERS)
+@pytest.mark.parametrize("depth", [1, 3])
+def test_names_do_not_empty_a_page(name, depth):
+    article = "<h2>Title</h2>" + "<p>A sentence of the article that is long enough to be counted as text.</p>" * 18
+    page = f"<body><nav><a href=/>Home</a></nav>{f'<div class={chr(34)}{name}{chr(34)}>' * depth}{article}{'</div>' * depth}<div class=sidebar><p>More</p></div></body>"
+    got = main_text(page)
+    assert got.count("A sentence of the article") == 18 and "Home" not in got and "More" not in got
+
+
+def test_long_reader_comments_stay_out():
+    page = "<body><article><h1>H</h1><p>A short article.</p></article><div class=comments>" + "<p>A reader goes on and on about it.</p>" * 40 + "</div></body>"
+    assert main_text(page) == "H\nA short article."
+
+
+def test_the_text_of_a_formula_stays():
+    assert main_text("<p>Let <math><mi>x</mi><annotation>x_tex</annotation></math> be 5</p>") == "Let x be 5"
+
+
+@pytest.mark.parametrize("part", ["<a href='", '<a "', "<a", "<!", "</", "<!--", "<", "<a href='>", '<a ">', "<div class='menu'>", "<script>"])
+def test_broken_pages_take_linear_time(part):
+    started = time.perf_counter()
+    main_text(part * (1_000_000 // len(part)))
+    main_text(part * (1_000_000 // len(part)) + ">")
+    assert time.perf_counter() - started < 20
