@@ -7,7 +7,7 @@ single and repeated children read alike. A malformed file yields no rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 from typing import NamedTuple
 
@@ -321,22 +321,25 @@ def harvest_replication(files: DataFrame) -> Catalogs:
 
 # ------------------------------------------------------------------------- scripts
 
-_NAME = r'[`"\[]?[\w.]++[`"\]]?'
 _QUOTES = r'[`"\[\]]'
 # Quoted text is kept, comments go. Possessive repeats, here and below, run as loops of any length.
 _COMMENT = r"""(?s)('[^']*+'|"[^"]*+")|--[^\n]*+|/\*.*?\*/"""
 # A script as quoted text, single marks, and the text between them, which starts anew at a statement's first word.
 _TOKEN = r"""'[^']*+'|"[^"]*+"|`[^`]*+`|[(),;'"`]|[^'"`(),;]++"""
 _FIRST_WORD = r"(?i)(?<![\w.])(?=(?:CREATE|INSERT)\s)"
-_CREATE = r"(?is)^CREATE\s+(?:OR\s+REPLACE\s+)?"
-_TABLE = rf"{_CREATE}(?:TEMP(?:ORARY)?\s+)?TABLE\s+(?:IF\s+NOT\s+EXISTS\s+)?({_NAME})\s*+\("
-_BASE_VIEW = rf"{_CREATE}BASE\s+VIEW\s+({_NAME})\s*+\("
-_VIEW = rf"{_CREATE}(?:INTERFACE\s+)?VIEW\s+({_NAME})\s+(?:\([^()]*+\)\s*+)?AS\s+(SELECT\s.+|WITH\s.+)$"
-_INSERT = rf"(?is)^INSERT\s+(?:INTO\s+)?({_NAME})(?:\s*+\(([^()]++)\))?\s+SELECT\s+(.+)$"
-_FROM = rf"(?is)^\s*FROM\s+({_NAME})"
+# The words a statement starts with: names, quoted or not, and parentheses; its head is read from so many.
+_PART = r"""(?:`[^`]*+`|"[^"]*+"|\[[^\]]*+\]|\w++)"""
+_WORD = rf"{_PART}(?:\s*+\.\s*+{_PART})*+|\S"
+_IS_NAME = r"""^[\w`"\[]"""
+_HEAD_WORDS = 24
+# Words that may stand around what a statement makes.
+_MODIFIERS = ("OR", "REPLACE", "GLOBAL", "LOCAL", "TEMP", "TEMPORARY", "EXTERNAL", "TRANSIENT", "VOLATILE", "UNLOGGED", "MATERIALIZED", "RECURSIVE",
+              "INTERFACE", "BASE", "FORCE", "SECURE")
+_BEFORE_NAME = ("IF", "NOT", "EXISTS", "INTO", "OVERWRITE", "TABLE")
+_QUERY = r"(?is)(?<![\w.])(?:SELECT|WITH)\s.*$"
 # The kinds of data sources a script can create.
 DATA_SOURCES = ("JDBC", "DF", "WS", "CUSTOM", "LDAP", "ODBC", "WEB", "BSON", "JSON", "XML", "ITP", "SAPERP")
-_SOURCE = rf"{_CREATE}(?:{'|'.join(DATA_SOURCES)})?\s*+DATA\s*+SOURCE\s+(\w++)"
+_TYPE = r"(?i:\w+(?:\s+(?:PRECISION|VARYING)\b)?(?:\s*\([^)]*\))?(?:\s+WITH(?:OUT)?(?:\s+LOCAL)?\s+TIME\s+ZONE)?)"
 _CONSTRAINT = r"(?i)^(PRIMARY|UNIQUE|KEY|INDEX|CONSTRAINT|CHECK)\b"
 
 
@@ -348,6 +351,53 @@ def _bare(name: Column) -> Column:
     return F.regexp_replace(_strip(name), _QUOTES, "")
 
 
+def _first_of(words: Column, wanted: Sequence[str]) -> Column:
+    """Place, from 1, of the first of some words; 0 without any."""
+    at = [F.array_position(words, w) for w in wanted]
+    return F.coalesce(F.array_min(F.filter(F.array(*at), lambda p: p > 0)), F.lit(0))
+
+
+def _heads(statements: DataFrame) -> DataFrame:
+    """The statements with ``made`` (TABLE, BASE VIEW, VIEW, SOURCE, INSERT or NULL), ``name`` and whether a list follows it.
+
+    A head is told by its words alone: what is made comes after modifiers, its name after
+    words such as IF NOT EXISTS.
+    """
+    words = F.slice(F.regexp_extract_all(F.left("text", F.lit(4000)), F.lit(_WORD), F.lit(0)), 1, _HEAD_WORDS)
+
+    def kind_at(u: Column) -> Column:
+        return F.when(F.get(u, F.lit(0)) == "INSERT", F.lit(1)).otherwise(_first_of(u, ("TABLE", "VIEW", "SOURCE", "DATASOURCE")).cast("int"))
+
+    def made(u: Column, k: Column) -> Column:
+        kind, between = F.get(u, k - 1), F.slice(u, 2, F.greatest(k - 2, F.lit(0)))
+        source = kind.isin("SOURCE", "DATASOURCE")
+        allowed = F.forall(between, lambda w: w.isin(*_MODIFIERS) | (source & w.isin("DATA", *DATA_SOURCES)))
+        return F.when(kind == "INSERT", "INSERT").when((F.get(u, F.lit(0)) == "CREATE") & (k > 1) & allowed, F.when(
+            source, F.when((kind == "DATASOURCE") | F.array_contains(between, "DATA"), "SOURCE")).when(
+            (kind == "VIEW") & F.array_contains(between, "BASE"), "BASE VIEW").otherwise(kind))
+
+    def head(w: Column) -> Column:
+        return _let(F.transform(w, F.upper), lambda u: _let(kind_at(u), lambda k: _let(
+            # the name is the first word behind what is made that is none of those before a name
+            k + 1 + F.coalesce(F.array_position(F.transform(F.slice(u, k + 1, _HEAD_WORDS), lambda x: x.isin(*_BEFORE_NAME)), F.lit(False)).cast("int"), F.lit(0)) - 1,
+            lambda n: F.struct(made(u, k).alias("made"), F.get(w, n - 1).alias("name"), (F.get(u, n) == "(").alias("listed")))))
+
+    rows = statements.withColumn("__h", _let(words, head)).select("*", "__h.*").drop("__h")
+    named = F.col("made").isNotNull() & F.regexp_like("name", F.lit(_IS_NAME))
+    return rows.filter(named).withColumns({"name": F.regexp_replace(_bare(F.col("name")), r"\s*\.\s*", "."), "listed": F.coalesce("listed", F.lit(False))})
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _query(text: Column, listed: Column) -> Column:
+    """The query of a statement: from its first SELECT or WITH, looked for behind the list that follows its name."""
+    behind = F.when(listed, F.regexp_replace(text, r"(?s)^[^(]*+\([^()]*+\)", " ")).otherwise(text)
+    return F.regexp_extract(behind, _QUERY, 0)
+
+
 def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))
 
@@ -405,15 +455,20 @@ def _list_items(statements: DataFrame) -> DataFrame:
 def _select_list(queries: DataFrame) -> DataFrame:
     """(path, p, q, item, source_table): what the select list of (path, p, text) names; queries without FROM give none."""
     keys, t, depth = ["path", "p"], F.col("t"), F.col("depth")
-    words = F.flatten(F.transform(_tokens(F.regexp_extract("text", r"(?is)^(?:SELECT\s+)?(.*)$", 1)), lambda x: F.split(x, r"(?i)(?<![\w.])(?=FROM\s)")))
+    words = F.flatten(F.transform(_tokens(F.col("text")), lambda x: F.split(x, r"(?i)(?<![\w.])(?=(?:FROM|SELECT)\s)")))
     rows = _nested(queries.select(*keys, F.posexplode(words).alias("i", "t")), keys)
     ahead = Window.partitionBy(*keys).orderBy("i")
     # the name after FROM stands in the next tokens, if it is quoted
     rows = rows.withColumn("rest", F.concat(t, *[F.coalesce(F.lead("t", k).over(ahead), F.lit("")) for k in (1, 2, 3)]))
     start = (depth == 0) & F.regexp_like("t", F.lit(r"(?i)^FROM\s"))
     whole = Window.partitionBy(*keys)
+    # common table expressions stand before the query's own SELECT
+    select = (depth == 0) & F.regexp_like("t", F.lit(r"(?i)^SELECT\s"))
+    rows = rows.withColumn("select", F.coalesce(F.min(F.when(select, F.col("i"))).over(whole), F.lit(-1))).filter("i >= `select`")
+    rows = rows.withColumn("t", F.when(F.col("i") == F.col("select"), F.regexp_replace("t", r"(?i)^SELECT\s+", "")).otherwise(t))
     rows = rows.withColumn("from", F.min(F.when(start, F.col("i"))).over(whole)).filter("i <= `from`")
-    rows = rows.withColumn("source_table", _bare(F.regexp_extract(F.max(F.when(F.col("i") == F.col("from"), F.col("rest"))).over(whole), _FROM, 1)))
+    read = F.get(F.regexp_extract_all(F.max(F.when(F.col("i") == F.col("from"), F.col("rest"))).over(whole), F.lit(_WORD), F.lit(0)), F.lit(1))
+    rows = rows.withColumn("source_table", F.when(F.regexp_like(read, F.lit(_IS_NAME)), _bare(read)).otherwise(""))
     rows = rows.filter("i < `from`").withColumn("q", _so_far((t == ",") & (depth == 0), keys)).filter(~((depth == 0) & (t == ",")))
     return _joined_text(rows, "path", "p", "q", "source_table").drop("at").filter("item <> ''")
 
@@ -421,43 +476,45 @@ def _select_list(queries: DataFrame) -> DataFrame:
 def harvest_ddl(files: DataFrame) -> Catalogs:
     """Scripts: table and base-view columns, views, and the positional mappings of INSERT … SELECT.
 
-    A script is cut into statements and lists by quotes, parentheses and commas; a few small
-    patterns then tell the statements apart. It is no grammar. Views of ``.vql`` files also map
+    A script is cut into statements and lists by quotes, parentheses and commas, and the words
+    of their heads tell the statements apart. It is no grammar. Views of ``.vql`` files also map
     their source columns; a ``.vw`` file without a table or view is taken whole as a view named
     after the file.
     """
     vql = extension(F.col("path")) == ".vql"
     schema = F.when(vql, F.lit("denodo")).otherwise(F.lit(""))
-    statements = _statements(files)
-    text = F.col("text")
+    statements = _heads(_statements(files))
+    text, made = F.col("text"), F.col("made")
 
-    table_name = _first(F.regexp_extract(text, _TABLE, 1), F.regexp_extract(text, _BASE_VIEW, 1))
-    tables = statements.select("path", "p", "text", _bare(table_name).alias("table_name")).filter("table_name <> ''")
+    tables = statements.filter(made.isin("TABLE", "BASE VIEW") & F.col("listed")).select("path", "p", "text", F.col("name").alias("table_name"))
     lines = _list_items(tables).withColumnRenamed("item", "d").filter((F.col("d") != "") & ~F.regexp_like("d", F.lit(_CONSTRAINT)))
     lines = lines.withColumn("ordinal", F.row_number().over(Window.partitionBy("path", "p").orderBy("q")) - 1).join(tables.drop("text"), ["path", "p"])
     d = F.col("d")
+    unquoted = F.regexp_replace(d, r"""'[^']*+'|"[^"]*+"|`[^`]*+`""", "x")  # comments and defaults say nothing of the column
     columns = _shape(lines, COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("table_name"),
                      schema_name=schema, role="source", ordinal=F.col("ordinal"),
                      column_name=_first(F.regexp_extract(d, r'^[`"\[]([^`"\]]++)', 1), F.regexp_extract(d, r'^(\w+)', 1)),
-                     data_type=F.regexp_extract(d, r'^(?:[`"\[][^`"\]]++[`"\]]|\w++)\s+(\w+(?:\s*\([^)]*\))?)', 1),
-                     nullable=~F.regexp_like(d, F.lit(r"(?i)NOT\s+NULL")),
-                     key_type=F.when(F.regexp_like(d, F.lit(r"(?i)PRIMARY\s+KEY")), F.lit("PRIMARY KEY"))
-                     .when(F.regexp_like(d, F.lit(r"(?i)REFERENCES\s")), F.lit("FOREIGN KEY")).otherwise(F.lit("")))
-
-    shown = statements.select("path", "p", _bare(F.regexp_extract(text, _VIEW, 1)).alias("name"),
-                              F.concat(F.regexp_extract(text, _VIEW, 2), F.when(F.col("closed"), ";").otherwise("")).alias("text")).filter("name <> ''")
+                     data_type=F.regexp_extract(d, r'^(?:[`"\[][^`"\]]++[`"\]]|\w++)\s+(' + _TYPE + ')', 1),
+                     nullable=~F.regexp_like(unquoted, F.lit(r"(?i)NOT\s+NULL")),
+                     key_type=F.when(F.regexp_like(unquoted, F.lit(r"(?i)PRIMARY\s+KEY")), F.lit("PRIMARY KEY"))
+                     .when(F.regexp_like(unquoted, F.lit(r"(?i)REFERENCES\s")), F.lit("FOREIGN KEY")).otherwise(F.lit("")))
+
+    names = F.when(F.col("listed"), F.split(F.regexp_extract(text, r"(?s)^[^(]*+\(([^()]*+)\)", 1), ","))
+    asked = _query(text, F.col("listed"))
+    shown = statements.filter((made == "VIEW") & (asked != "")).select(
+        "path", "p", "name", F.concat(asked, F.when(F.col("closed"), ";").otherwise("")).alias("text"), names.alias("names"))
     stem = F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")
     known = shown.select("path").unionByName(tables.select("path")).distinct()
     lone = (files.filter(extension(F.col("path")) == ".vw").join(known, "path", "left_anti")
-            .select("path", F.lit(0).alias("p"), stem.alias("name"), _strip(F.col("content")).alias("text")))
+            .select("path", F.lit(0).alias("p"), stem.alias("name"), _strip(F.col("content")).alias("text"), F.lit(None).cast("array<string>").alias("names")))
     found = shown.unionByName(lone)
     views = _shape(found, VIEW_FIELDS, tool="script", source_file=F.col("path"), name=F.col("name"), schema_name=schema, sql=text)
-    output = _select_list(found).join(found.drop("text"), ["path", "p"]).withColumn("target", F.regexp_extract("item", r'(\w+)[`"\]]?$', 1))
+    output = _select_list(found).join(found.drop("text"), ["path", "p"]).withColumn(
+        "target", F.coalesce(_bare(F.get("names", F.col("q").cast("int"))), F.regexp_extract("item", r'(\w+)[`"\]]?$', 1)))
     view_columns = _shape(output.filter("target <> ''"), COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("name"),
                           schema_name=schema, role="view", ordinal=F.col("q"), column_name=F.col("target"), nullable=True, expression=F.col("item"))
 
-    moves = statements.select("path", "p", _bare(F.regexp_extract(text, _INSERT, 1)).alias("target_table"),
-                              F.split(F.regexp_extract(text, _INSERT, 2), ",").alias("names"), F.regexp_extract(text, _INSERT, 3).alias("text")).filter("target_table <> ''")
+    moves = statements.filter(made == "INSERT").select("path", "p", F.col("name").alias("target_table"), names.alias("names"), asked.alias("text")).filter("text <> ''")
     moved = (_select_list(moves).join(moves.drop("text"), ["path", "p"])
              .withColumn("t", _bare(F.coalesce(F.get("names", F.col("q").cast("int")), F.lit("")))).withColumn("s", _bare(F.col("item"))).filter("t <> ''"))
     inserted = _shape(moved, MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=_place("p", "q"),
@@ -471,7 +528,7 @@ def harvest_ddl(files: DataFrame) -> Catalogs:
 
 def data_sources(files: DataFrame) -> DataFrame:
     """Names of the data sources scripts create."""
-    return _statements(files).select("path", F.regexp_extract("text", _SOURCE, 1).alias("data_source")).filter("data_source <> ''")
+    return _heads(_statements(files)).filter("made = 'SOURCE'").select("path", F.col("name").alias("data_source"))
 
 
 # --------------------------------------------------------------------- all together

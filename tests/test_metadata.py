@@ -310,3 +310,32 @@ def test_many_folders(spark):
     folder = '<FOLDER NAME="F"><MAPPING NAME="M"><TRANSFORMATION NAME="E" TYPE="x">' + "".join(f'<TRANSFORMFIELD NAME="P{i}" EXPRESSION="{i}"/>' for i in range(1200)) + "</TRANSFORMATION></MAPPING></FOLDER>"
     got = artifacts.harvest_mappings(spark.createDataFrame([("a.xml", "<POWERMART>" + folder * 50 + "</POWERMART>")], "path string, content string")).transforms
     assert tuple(got.agg(F.count("*"), F.countDistinct("ordinal")).collect()[0]) == (60_000, 60_000)
+
+
+def test_statement_heads_of_all_kinds(spark):
+    c = scripts(spark, a_sql="""
+        CREATE EXTERNAL TABLE IF NOT EXISTS ext_t (a INT, note VARCHAR(10) COMMENT 'is NOT NULL and PRIMARY KEY', d DOUBLE PRECISION NOT NULL,
+          ts TIMESTAMP WITH TIME ZONE, n NUMERIC(10, 2) PRIMARY KEY);
+        CREATE GLOBAL TEMPORARY TABLE tmp_t (k INT);
+        CREATE OR REPLACE MATERIALIZED VIEW mv AS SELECT x, y + 1 AS z FROM ext_t;
+        CREATE VIEW renamed (p, r) AS SELECT a, b FROM tmp_t;
+        CREATE VIEW deep AS WITH q AS (SELECT k FROM tmp_t) SELECT k, 2 AS two FROM q;
+        INSERT INTO tgt (u, v) WITH w AS (SELECT a, d FROM ext_t) SELECT a, d FROM w;
+        INSERT OVERWRITE TABLE "s"."over" (m) SELECT a FROM (SELECT a FROM ext_t) s;
+        CREATE TABLE copied AS SELECT a FROM ext_t;
+        CREATE INDEX ix ON ext_t (a); CREATE FUNCTION f (x INT) RETURNS TABLE (y INT);
+        UPDATE ext_t SET a = 1;""")
+    got = [(r.table_name, r.column_name, r.data_type, r.nullable, r.key_type) for r in c.columns.filter("role = 'source'").orderBy("position", "ordinal").collect()]
+    assert got == [("ext_t", "a", "INT", True, ""), ("ext_t", "note", "VARCHAR(10)", True, ""), ("ext_t", "d", "DOUBLE PRECISION", False, ""),
+                   ("ext_t", "ts", "TIMESTAMP WITH TIME ZONE", True, ""), ("ext_t", "n", "NUMERIC(10, 2)", True, "PRIMARY KEY"), ("tmp_t", "k", "INT", True, "")]
+    shown = sorted((r.table_name, r.ordinal, r.column_name, r.expression) for r in c.columns.filter("role = 'view'").collect())
+    assert shown == [("deep", 0, "k", "k"), ("deep", 1, "two", "2 AS two"), ("mv", 0, "x", "x"), ("mv", 1, "z", "y + 1 AS z"), ("renamed", 0, "p", "a"), ("renamed", 1, "r", "b")]
+    moved = sorted((r.source_table, r.source_column, r.target_table, r.target_column) for r in c.mappings.collect())
+    assert moved == [("", "a", "s.over", "m"), ("w", "a", "tgt", "u"), ("w", "d", "tgt", "v")]
+    assert sorted(r.name for r in c.views.collect()) == ["deep", "mv", "renamed"]
+
+
+def test_data_sources_by_words(spark):
+    files = spark.createDataFrame([("a.vql", "CREATE OR REPLACE JDBC DATASOURCE one x;CREATE DATA SOURCE two y; CREATE WRAPPER JDBC w DATASOURCENAME=one; CREATE SOURCE three;")],
+                                  "path string, content string")
+    assert sorted(r.data_source for r in artifacts.data_sources(files).collect()) == ["one", "two"]
