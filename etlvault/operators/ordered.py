@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,14 +29,22 @@ def order_cuts(df: DataFrame, order: str, buckets: int = EQUAL_RUNS) -> list[str
     return df.agg(F.transform(found, lambda v: v.cast("string")).alias("c")).head()["c"] or []
 
 
+def leading(size: int, holds: Callable[[Column], Column]) -> Column:
+    """How many of at most ``size`` places, from 0, pass a test that holds up to some place and not after it, by halving.
+
+    The test must not hold for places past the end.
+    """
+    steps = [1 << k for k in reversed(range(size.bit_length()))]
+    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
+                       lambda place, step: F.when(holds(place + step - 1), place + step).otherwise(place))
+
+
 def order_bucket(value: Column, cuts: Sequence[str], kind: str) -> Column:
     """Number of cuts at or below ``value``, by halving."""
     if not cuts:
         return F.lit(0)
     at = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
-    steps = [1 << k for k in reversed(range(len(cuts).bit_length()))]
-    return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0),
-                       lambda place, step: F.when(F.get(at, place + step - 1) <= value, place + step).otherwise(place))
+    return leading(len(cuts), lambda place: F.get(at, place) <= value)
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, following: bool = False,

@@ -3,19 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from etlvault.functions.columns import col, cols, numeric_columns, ratio_pct
-from etlvault.operators.ordered import with_running_sum
 
 QUARTILES = (0.25, 0.5, 0.75)
 RELATIVE_ZERO = 1e-12
+OCTAVE_STEPS = 1 << 12       # ranges of values by which a natural logarithm grows by one
+RANGE_STEPS = 1 << 20        # parts of equal width of one such range
+_ABOVE_ZERO, _INFINITE, _NOT_A_NUMBER = 1 << 22, 1 << 24, 1 << 25
 
 
 def column_type(kind: T.DataType) -> str:
@@ -34,6 +35,11 @@ def _run(df: DataFrame, dataset: str, run_ts: str) -> DataFrame:
     return df.select(F.lit(dataset).alias("dataset_name"), F.lit(run_ts).alias("run_timestamp"), "*")
 
 
+def _by_column(df: DataFrame, values: Sequence[Column]) -> DataFrame:
+    """(c, v): the values of each row as rows of their own, ``c`` being the place in ``values`` as text."""
+    return df.select(*[v.alias(str(i)) for i, v in enumerate(values)]).unpivot([], [str(i) for i in range(len(values))], "c", "v")
+
+
 def overview(df: DataFrame, dataset: str, run_ts: str) -> DataFrame:
     """Rows, columns, missing cells, duplicate rows and column kinds, from one aggregate.
 
@@ -70,9 +76,11 @@ def null_counts(df: DataFrame) -> DataFrame:
 def column_stats(df: DataFrame, dataset: str, run_ts: str, approximate: bool = False) -> DataFrame:
     """Type, missing, distinct and once-only values of every column.
 
-    Each column is counted by its own typed aggregate, so the scan reads that column
-    alone and a frequent value is one row per task before the shuffle. ``approximate``
-    trades the exact counts for one scan with distinct-count sketches, without ``n_unique``.
+    All columns are counted in one scan and one shuffle: a row is turned into one row per
+    column, of the column's number and 128 bits of hashes of the value, so that a frequent value is one
+    row per task before the shuffle and a wide text costs no more than a number. The hashes of
+    numbers, dates and truth values differ whenever the values do. ``approximate``
+    trades the exact counts for distinct-count sketches, without ``n_unique``.
     """
     def shape(frame: DataFrame) -> DataFrame:
         rows = F.col("n_rows")
@@ -87,58 +95,87 @@ def column_stats(df: DataFrame, dataset: str, run_ts: str, approximate: bool = F
                             F.approx_count_distinct(col(f.name)).alias("n_distinct")) for f in df.schema.fields]
         return shape(df.agg(F.count("*").alias("n_rows"), F.array(*entries).alias("e"))
                      .select("n_rows", F.inline("e")).withColumn("n_unique", F.lit(None).cast("bigint")))
-    parts = []
-    for f in df.schema.fields:
-        counted = df.groupBy(col(f.name).alias("v")).agg(F.count("*").alias("n"))
-        parts.append(counted.agg(
-            F.lit(f.name).alias("column_name"), F.lit(column_type(f.dataType)).alias("column_type"),
-            F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"),
-            F.coalesce(F.sum(F.when(F.col("v").isNull(), F.col("n"))), F.lit(0)).alias("n_missing"),
-            F.count_if(F.col("v").isNotNull() & (F.col("n") == 1)).alias("n_unique"),
-            F.count("v").alias("n_distinct")))
-    return shape(reduce(DataFrame.unionByName, parts))
+    fields = df.schema.fields
+    cells = [F.when(col(f.name).isNotNull(), F.struct(*[F.xxhash64(F.lit(salt), col(f.name)).alias(f"h{salt}") for salt in (1, 2)])) for f in fields]
+    values = _by_column(df, cells).groupBy("c", F.col("v.h1").alias("h1"), F.col("v.h2").alias("h2")).agg(F.count("*").alias("n"))
+    present = F.col("h1").isNotNull()
+    counted = values.groupBy("c").agg(
+        F.sum("n").alias("n_rows"), F.coalesce(F.sum(F.when(~present, F.col("n"))), F.lit(0)).alias("n_missing"),
+        F.count_if(present & (F.col("n") == 1)).alias("n_unique"), F.count("h1").alias("n_distinct"))
+    # an empty table counts nothing, yet each column has its row
+    known = F.array(*[F.struct(F.lit(str(i)).alias("c"), F.lit(f.name).alias("column_name"), F.lit(column_type(f.dataType)).alias("column_type"))
+                      for i, f in enumerate(fields)])
+    rows = df.sparkSession.range(1).select(F.inline(known)).join(counted, "c", "left")
+    return shape(rows.na.fill(0, ["n_rows", "n_missing", "n_unique", "n_distinct"]))
+
+
+def _value_range(v: Column) -> Column:
+    """Number of the narrow range a value falls in, rising with the value; there are under 13 million."""
+    def of(size: Column) -> Column:
+        return F.when(size == float("inf"), _INFINITE).otherwise(F.floor(F.log(size) * OCTAVE_STEPS) + _ABOVE_ZERO)
+
+    return (F.when(F.isnan(v), _NOT_A_NUMBER).when(v == 0, 0).when(v > 0, of(v)).otherwise(-of(-v))).cast("long")
+
+
+def _holding(counts: DataFrame, group: Sequence[str], order: str, ranks: Column, base: Column) -> DataFrame:
+    """The rows of ``counts`` that hold one of ``ranks``, with those ranks as ``held`` and the rows before them as ``before``."""
+    running = Window.partitionBy(*group).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = counts.withColumn("before", base + F.sum("n").over(running) - F.col("n"))
+    inside = F.filter(ranks, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("n")))
+    return placed.withColumn("held", inside).where(F.size("held") > 0)
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probabilities: Sequence[float]) -> DataFrame:
     """Exact linearly interpolated quantiles, one row per column with an array ``q``.
 
-    The built-in exact percentile gathers all distinct values in one buffer. Here the
-    value counts are range-partitioned, ranked by a distributed running sum, and only
-    the values at the wanted ranks are kept.
+    The built-in exact percentile gathers all distinct values in one buffer. Here ranks are
+    looked for in three scans: counts of narrow ranges of values say which ranges hold a wanted
+    rank, counts of equal parts of those ranges say which parts do, and only the values of
+    those parts are counted singly. Range numbers rise with the values, so no rank is missed;
+    a scan leaves at most a task's ranges to shuffle, and a part holds about a million doubles that differ.
+    NaN ranks last; a column without values has no row.
     """
-    long = df.select(F.inline(F.array(*[
-        F.struct(F.lit(c).alias("c"), col(c).cast("double").alias("v")) for c in columns])))
-    counts = long.filter(F.col("v").isNotNull()).groupBy("c", "v").agg(F.count("*").alias("n"))
-    ranked = with_running_sum(counts, ["c", "v"], F.col("n"), "end")
-    # one row per column: bounded by the schema
-    spans = ranked.groupBy("c").agg(F.sum("n").alias("total"), F.min(F.col("end") - F.col("n")).alias("base"))
-    placed = ranked.join(F.broadcast(spans), "c").select(
-        "c", "v", "total", (F.col("end") - F.col("n") - F.col("base")).alias("lo"), (F.col("end") - F.col("base")).alias("hi"))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("lo") <= rank) & (rank < F.col("hi")), F.col("v")))
-
-    picks, values = [], []
-    for i, p in enumerate(probabilities):
-        exact = F.lit(float(p)) * (F.col("total") - 1)
-        picks += [at(F.floor(exact)).alias(f"a{i}"), at(F.ceil(exact)).alias(f"b{i}"),
-                  F.max(exact - F.floor(exact)).alias(f"w{i}")]
-        values.append(F.col(f"a{i}") + (F.col(f"b{i}") - F.col(f"a{i}")) * F.col(f"w{i}"))
-    return placed.groupBy("c").agg(*picks).select(F.col("c").alias("column_name"), F.array(*values).alias("q"))
+    long = _by_column(df, [col(c).cast("double") for c in columns]).where(F.col("v").isNotNull()).withColumn("k", _value_range(F.col("v")))
+
+    def exact(p: float) -> Column:
+        return F.lit(float(p)) * (F.col("total") - 1)
+
+    wanted = F.array_distinct(F.array(*[r for p in probabilities for r in (F.floor(exact(p)), F.ceil(exact(p)))]))
+    ranges = (long.groupBy("c", "k").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+              .withColumn("total", F.sum("n").over(Window.partitionBy("c"))))
+    # at most two rows per column and probability, so both lists may be broadcast
+    first = _holding(ranges, ["c"], "k", wanted, F.lit(0)).select("c", "k", "lo", "hi", "total", "held", "before")
+    share = (F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo"))
+    part = F.when(F.col("lo") == F.col("hi"), F.lit(0)).otherwise(F.floor(share * RANGE_STEPS)).cast("long")
+    parts = (long.join(F.broadcast(first), ["c", "k"]).groupBy("c", "k", part.alias("part"), "lo", "hi", "total", "before", "held").agg(F.count("*").alias("n"))
+             .withColumnsRenamed({"before": "base", "held": "ranks"}))
+    second = _holding(parts, ["c", "k"], "part", F.col("ranks"), F.col("base")).select("c", "k", "part", "lo", "hi", "total", "before", "held")
+    values = (long.join(F.broadcast(second.withColumnRenamed("part", "at")), ["c", "k"]).where(part == F.col("at"))
+              .groupBy("c", "k", "at", "v", "total", "before", "held").agg(F.count("*").alias("n")).withColumnsRenamed({"before": "base", "held": "ranks"}))
+    picked = _holding(values, ["c", "k", "at"], "v", F.col("ranks"), F.col("base"))
+    found = picked.select("c", "total", "v", F.explode("held").alias("rank")).groupBy("c", "total").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v"))).alias("at"))
+
+    def value(p: float) -> Column:
+        low, high = F.col("at")[F.floor(exact(p))], F.col("at")[F.ceil(exact(p))]
+        return low + (high - low) * (exact(p) - F.floor(exact(p)))
+
+    names = F.array(*map(F.lit, columns))
+    return found.select(names[F.col("c").cast("int")].alias("column_name"), F.array(*map(value, probabilities)).alias("q"))
 
 
 def _moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    entries = []
-    for c in columns:
-        x = col(c).cast("double")
-        n = F.count(x).cast("double")
-        g1, g2 = F.skewness(x), F.kurtosis(x)
-        skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
-        kurt = F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
-        entries.append(F.struct(F.lit(c).alias("column_name"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"),
-                                F.min(x).alias("min"), F.max(x).alias("max"), kurt.alias("kurtosis"), skew.alias("skewness"),
-                                F.count(x).alias("n_values")))
-    return df.agg(F.array(*entries).alias("e")).select(F.inline("e"))
+    """Moments of every column; columns are rows, so that the code of a task is as long for one as for a thousand."""
+    x = F.col("v")
+    n = F.count(x).cast("double")
+    g1, g2 = F.skewness(x), F.kurtosis(x)
+    skew = F.when(n > 2, g1 * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when(n > 3, ((n + 1) * g2 + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    moments = _by_column(df, [col(c).cast("double") for c in columns]).groupBy("c").agg(
+        F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.max(x).alias("max"),
+        kurt.alias("kurtosis"), skew.alias("skewness"), F.count(x).alias("n_values"))
+    # an empty table has no moments, yet each column has its row
+    names = df.sparkSession.range(1).select(F.posexplode(F.array(*map(F.lit, columns))).alias("at", "column_name"))
+    return names.withColumn("c", F.col("at").cast("string")).join(moments, "c", "left").drop("c", "at").na.fill(0, ["n_values"])
 
 
 def descriptive(df: DataFrame, dataset: str, run_ts: str, columns: Sequence[str] | None = None,

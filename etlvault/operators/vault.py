@@ -7,6 +7,7 @@ so a job that lost executors, or a replayed micro-batch, can simply run again.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from etlvault.functions.columns import col, cols
 from etlvault.functions.hashing import hash_diff, hash_key
-from etlvault.operators.ordered import EQUAL_RUNS, first_by, with_neighbour
+from etlvault.operators.ordered import EQUAL_RUNS, first_by, leading, with_neighbour
 
 LOAD_DATE, RECORD_SOURCE, END_DATE = "LOAD_DATE", "RECORD_SOURCE", "LOAD_END_DATE"
 
@@ -148,26 +149,30 @@ def point_in_time(hub: DataFrame, satellites: Mapping[str, DataFrame], hub_key:
                   snapshots: Sequence[str]) -> DataFrame:
     """Per hub key and snapshot, the load date of the satellite version valid then.
 
-    ``satellites`` maps an output column to its satellite. One hash aggregate per
-    satellite holds the newest date at or before every snapshot, so the satellite is
-    read once and never multiplied by the snapshots. Without a version the ghost date stands.
+    ``satellites`` maps an output column to its satellite. A version first counts at the earliest
+    snapshot not before it, and of the versions of one key and snapshot the newest does, which is an
+    aggregate with map-side partials. What is left of a key, at most one date per snapshot, is
+    searched by halving, so the plan does not grow with the snapshots and the satellite is
+    read once and never multiplied by them. Without a version the ghost date stands.
     """
+    days = sorted({s: None for s in snapshots}, key=datetime.fromisoformat)
+    at = F.array(*map(F.lit, days)).cast("array<timestamp_ntz>")
     wide = hub.select(col(hub_key))
-    for i, (_, satellite) in enumerate(satellites.items()):
-        newest = [
-            F.max(F.when(col(LOAD_DATE) <= F.lit(s).cast("timestamp_ntz"), col(LOAD_DATE))).alias(f"__{i}_{j}")
-            for j, s in enumerate(snapshots)
-        ]
-        per_key = satellite.select(hub_key, col(LOAD_DATE).cast("timestamp_ntz").alias(LOAD_DATE))
-        wide = wide.join(per_key.groupBy(col(hub_key)).agg(*newest), [hub_key], "left")
+    for i, satellite in enumerate(satellites.values()):
+        date = col(LOAD_DATE).cast("timestamp_ntz")
+        versions = satellite.select(col(hub_key), date.alias("__date"), leading(len(days), lambda place: F.get(at, place) < F.col("__date")).alias("__day"))
+        newest = versions.filter(F.col("__day") < len(days)).groupBy(col(hub_key), "__day").agg(F.max("__date").alias("__date"))
+        per_key = newest.groupBy(col(hub_key)).agg(F.array_sort(F.collect_list(F.struct("__day", "__date"))).alias(f"__{i}"))
+        wide = wide.join(per_key, [hub_key], "left")
     ghost = F.lit(BEGIN_OF_TIME).cast("timestamp_ntz")
-    rows = F.array(*[
-        F.struct(
-            F.lit(s).cast("timestamp_ntz").alias("SNAPSHOT_DATE"),
-            *[F.coalesce(F.col(f"__{i}_{j}"), ghost).alias(n) for i, n in enumerate(satellites)],
-        )
-        for j, s in enumerate(snapshots)
-    ])
+
+    def valid(i: int, day: Column) -> Column:
+        versions = F.col(f"__{i}")
+        return F.coalesce(F.get(versions, leading(len(days), lambda place: F.get(versions, place)["__day"] <= day) - 1)["__date"], ghost)
+
+    places = F.array(*[F.lit(days.index(s)) for s in snapshots])
+    rows = F.transform(places, lambda day: F.struct(
+        F.get(at, day).alias("SNAPSHOT_DATE"), *[valid(i, day).alias(n) for i, n in enumerate(satellites)]))
     return wide.select(col(hub_key), F.inline(rows))
 
 

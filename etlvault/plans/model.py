@@ -143,21 +143,48 @@ def build_satellites(catalog: DataFrame, keys: DataFrame, hash_algorithm: str =
     return first_by(named, ["sat_name"], ["tool", "source_table"])
 
 
-def relationships(catalog: DataFrame) -> DataFrame:
-    """One-to-many pairs: a non-key ``…_ID`` column whose stem occurs in a table's name.
+def _stems_and_names(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(child, stem) of the non-key ``…_ID`` columns, and (parent, stem) of the table names that hold a stem.
 
     The substring test becomes an equi join: table names are cut into their distinct
-    substrings, which the stems of the ID columns then meet by hash.
+    substrings of the lengths that stems have, which the stems then meet by hash.
     """
     columns = _source_columns(catalog).select(sanitise(last_part(F.col("table_name"))).alias("child"), "column_name", "key_type")
-    stems = columns.filter(F.col("column_name").endswith("_ID") & ~F.upper("key_type").contains("PRIMARY")).select(
-        "child", F.upper(F.replace(F.col("column_name"), F.lit("_ID"), F.lit(""))).alias("stem")).distinct()
-    names = columns.select(F.col("child").alias("parent")).distinct()
+    stem = F.upper(F.replace(F.col("column_name"), F.lit("_ID"), F.lit("")))
+    stems = columns.filter(F.col("column_name").endswith("_ID") & ~F.upper("key_type").contains("PRIMARY") & (stem != "")).select(
+        "child", stem.alias("stem")).distinct()
+    # no longer a list than the longest column name
+    lengths = stems.agg(F.collect_set(F.length("stem"))).scalar()
     n = F.length("parent")
-    cuts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(
-        F.sequence(i, n), lambda j: F.substring(F.upper("parent"), i, j - i + 1))))
-    pieces = names.filter(n > 0).select("parent", F.explode(F.array_distinct(cuts)).alias("stem"))
-    return stems.filter("stem <> ''").join(pieces, "stem").select("parent", "child").distinct()
+    names = columns.select(F.col("child").alias("parent")).distinct().select("parent", F.explode(lengths).alias("size")).filter(F.col("size") <= n)
+    cuts = F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), lambda i: F.substring(F.upper("parent"), i, F.col("size")))
+    pieces = names.select("parent", F.explode(F.array_distinct(cuts)).alias("stem"))
+    return stems, pieces.join(stems.select("stem").distinct(), "stem", "left_semi")
+
+
+def relationships(catalog: DataFrame) -> DataFrame:
+    """One-to-many pairs: a non-key ``…_ID`` column whose stem occurs in a table's name.
+
+    A stem of many children and parents gives all their pairs; ``relationship_ends`` holds the same links in
+    rows that grow with the tables.
+    """
+    stems, pieces = _stems_and_names(catalog)
+    return stems.join(pieces, "stem").select("parent", "child").distinct()
+
+
+def relationship_ends(catalog: DataFrame) -> DataFrame:
+    """(stem, role, table_name, n_linked): the child and the parent tables of every stem that links some.
+
+    Each child of a stem relates to each of its parents; ``n_linked`` counts the tables at the other end. Only
+    counts per stem are joined, so a stem that all tables share costs one row per table and end.
+    """
+    stems, pieces = _stems_and_names(catalog)
+    ends = (stems.select("stem", F.lit("child").alias("role"), F.col("child").alias("table_name"))
+            .unionByName(pieces.select("stem", F.lit("parent").alias("role"), F.col("parent").alias("table_name"))))
+    is_child = F.col("role") == "child"
+    sizes = ends.groupBy("stem").agg(F.count_if(is_child).alias("__children"), F.count_if(~is_child).alias("__parents"))
+    return (ends.join(sizes.filter("__children > 0 and __parents > 0"), "stem")
+            .select("stem", "role", "table_name", F.when(is_child, F.col("__parents")).otherwise(F.col("__children")).alias("n_linked")))
 
 
 def key_marker(target_column: Column, key_type: Column) -> Column:

@@ -192,6 +192,10 @@ def model_relationships(spark, sf_dir):
     return model.relationships(derived.catalog(spark, sf_dir))
 
 
+def model_relationship_ends(spark, sf_dir):
+    return model.relationship_ends(derived.catalog(spark, sf_dir))
+
+
 def dq_rules(spark, sf_dir):
     c = derived.catalog(spark, sf_dir)
     hubs, links = model.build_hubs(model.business_keys(c)), model.build_links(c)
@@ -221,6 +225,7 @@ QUERIES = {
     "sttm_unmapped": sttm_unmapped, "sttm_personal": sttm_personal, "sttm_apply": sttm_apply, "model_business_keys": model_business_keys,
     "model_primary_keys": model_primary_keys, "model_hubs": model_hubs, "model_links": model_links,
     "model_key_pair_links": model_key_pair_links, "model_satellites": model_satellites, "model_relationships": model_relationships,
+    "model_relationship_ends": model_relationship_ends,
     "dq_rules": dq_rules, "dq_column_rules": dq_column_rules, "dq_rule_counts": dq_rule_counts,
 }
 
@@ -371,6 +376,11 @@ ORACLE = {
     "model_relationships": f"""with {_CAT}, n as (select distinct table_name from cat),
         f as (select distinct table_name, replace(column_name, '_ID', '') as stem from cat where column_name like '%\\_ID' escape '\\' and not contains(key_type, 'PRIMARY'))
         select distinct n.table_name as parent, f.table_name as child from f join n on contains(n.table_name, stem)""",
+    "model_relationship_ends": f"""with {_CAT}, n as (select distinct table_name from cat),
+        f as (select distinct table_name, replace(column_name, '_ID', '') as stem from cat where column_name like '%\\_ID' escape '\\' and not contains(key_type, 'PRIMARY')),
+        p as (select f.table_name as child, stem, n.table_name as parent from f join n on contains(n.table_name, stem))
+        select stem, 'child' as role, child as table_name, count(distinct parent) as n_linked from p group by stem, child
+        union all select stem, 'parent', parent, count(distinct child) from p group by stem, parent""",
     "dq_rules": f"""with {_RULES} select 'DQ_' || p || '_' || case when n < 10000 then lpad(cast(n as varchar), 4, '0') else cast(n as varchar) end as rule_id,
         dimension, t as "table", c as "column", k as check_type, rule from rn""",
     "dq_column_rules": f"""with {_COLUMN_RULES} select table_name, ordinal, target_column, array_to_string(l, ',') as dq_rules, cast(len(l) as int) as n_rules, is_critical from cr""",

@@ -23,7 +23,7 @@ def overview(spark, sf_dir):
 
 
 def columns(spark, sf_dir):
-    return profile.column_stats(table(spark, sf_dir, "lineitem"), "lineitem", RUN_TS)
+    return profile.column_stats(wide(spark, sf_dir, "lineitem"), "lineitem", RUN_TS)
 
 
 def null_counts(spark, sf_dir):

@@ -197,6 +197,9 @@ def test_model(catalog):
     assert [(a.name, a.pii) for a in sats["SAT_CUSTOMER_CUSTOMER"].attributes] == [("FIRST_NAME", True), ("EMAIL", True), ("CREATED_DATE", False)]
     assert sats["SAT_ORDER_ORDER"].hashdiff == "ORDER_ORDER_HASHDIFF"
     assert names(model.relationships(catalog), "parent", "child") == [("SRC_CUSTOMER", "SRC_ORDER"), ("SRC_PRODUCT", "SRC_ORDER")]
+    assert names(model.relationship_ends(catalog), "stem", "role", "table_name", "n_linked") == [
+        ("CUSTOMER", "child", "SRC_ORDER", 1), ("CUSTOMER", "parent", "SRC_CUSTOMER", 1),
+        ("PRODUCT", "child", "SRC_ORDER", 1), ("PRODUCT", "parent", "SRC_PRODUCT", 1)]
 
 
 def test_names_and_types(spark):

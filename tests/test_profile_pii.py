@@ -61,6 +61,42 @@ def test_quantiles_of_many_values_and_a_hot_one(spark):
     assert profile.exact_quantiles(df, ["x"], [.01, .25, .5, .999]).collect()[0].q == pytest.approx(want)
 
 
+def test_quantiles_by_rank_over_all_magnitudes(spark):
+    rng = np.random.default_rng(3)
+    x = np.concatenate([rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000), np.full(2000, -7.0), np.zeros(50), 1e6 + np.arange(2000) * 1e-9,
+                        [np.inf, -np.inf, 5e-324, -5e-324]])
+    pdf = pd.DataFrame({"x": x, "y": np.where(np.arange(len(x)) % 3 == 0, None, np.arange(len(x)) % 11)})
+    df = spark.createDataFrame(pdf.astype({"y": "float64"})).withColumn("y", F.nanvl("y", F.lit(None).cast("double"))).withColumn("z", F.lit(None).cast("double"))
+    shares = [0, .001, .1, .25, .5, .5001, .77, .999, 1]
+    got = {r.column_name: r.q for r in profile.exact_quantiles(df, ["x", "y", "z"], shares).collect()}
+    ordered = np.sort(x)
+    for p, v in zip(shares, got["x"]):
+        rank = p * (len(x) - 1)
+        low, high = ordered[int(np.floor(rank))], ordered[int(np.ceil(rank))]
+        want = low + (high - low) * (rank - np.floor(rank))
+        assert v == want or np.isnan(v) and np.isnan(want)
+    assert got["y"] == pytest.approx(pdf["y"].astype(float).quantile(shares).tolist()) and "z" not in got
+    nan = spark.createDataFrame([(1.0,), (float("nan"),), (2.0,)], "x double")
+    assert profile.exact_quantiles(nan, ["x"], [0.5]).collect()[0].q == [2.0]
+    assert profile.exact_quantiles(nan.limit(0), ["x"], [0.5]).collect() == []
+
+
+def test_column_counts_take_one_scan_and_one_shuffle(spark, tmp_path):
+    rows = [(i % 7, None if i % 5 == 0 else f"v{i % 50}", float(i), i % 2 == 0) for i in range(400)] + [(1, "once", -0.0, None)]
+    spark.createDataFrame(rows, "a int, b string, c double, d boolean").write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    stats = profile.column_stats(df, "d", RUN)
+    got = by(stats, "column_name")
+    pdf = pd.DataFrame(rows, columns=list("abcd"))
+    for c in "abcd":
+        n = pdf[c].dropna().value_counts()
+        assert (got[c].n_missing, got[c].n_unique, got[c].n_distinct) == (pdf[c].isna().sum(), (n == 1).sum(), len(n))
+    plan = profile.column_stats(df, "d", RUN)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("h1#") and plan.count("Generate inline") <= 2
+    empty = by(profile.column_stats(df.limit(0), "d", RUN), "column_name")
+    assert [(empty[c].n_missing, empty[c].n_distinct, empty[c].column_type) for c in "ab"] == [(0, 0, "Numeric"), (0, 0, "Categorical")]
+
+
 def test_histogram_and_top_values(staff):
     assert [(r.bin, r.n) for r in profile.histogram(staff, "tenure", 2).orderBy("bin").collect()] == [(1, 4), (2, 1)]
     assert profile.histogram(staff.withColumn("tenure", F.lit(2.0)), "tenure", 3).collect()[0].n == 5

@@ -1,6 +1,7 @@
 """Loaders: idempotence, late data, ghosts, point in time, key hashes, streaming equals batch."""
 
 import hashlib
+from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,6 +101,23 @@ def test_end_dates_and_point_in_time(spark, rows):
                    (2, "2024-01-01 12:00:00", "1970-01-01 00:00:00"), (2, "2024-02-05 00:00:00", "2024-01-02 00:00:00")]
 
 
+def test_point_in_time_of_a_year_of_days(spark):
+    days = [f"{datetime(2024, 1, 1) + timedelta(days=d)}" for d in range(365)]
+    versions = [("k", f"2024-{m:02d}-03 06:00:00") for m in range(1, 13)] + [("k", "2024-05-03 09:00:00"), ("late", "2030-01-01 00:00:00")]
+    satellite = spark.createDataFrame(versions, "HK string, d string").select("HK", F.col("d").cast("timestamp_ntz").alias("LOAD_DATE"))
+    hub = spark.createDataFrame([("k",), ("late",), ("none",)], "HK string")
+    asked = [*reversed(days), days[7]]  # in any order, one of them twice
+    pit = vault.point_in_time(hub, {"s": satellite}, "HK", asked)
+    got = sorted((r.HK, str(r.SNAPSHOT_DATE), str(r.s)) for r in pit.collect())
+
+    def valid(key, day):
+        return max((v for k, v in versions if k == key and v <= day), default="1970-01-01 00:00:00")
+
+    assert got == sorted((k, d, valid(k, d)) for k in ("k", "late", "none") for d in asked)
+    plan = pit._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("max(") == 1  # the plan holds one aggregate, however many the snapshots
+
+
 def test_ghost_is_added_once(spark):
     hub = vault.load_hub(frame(spark, BASE), "HK", ["id"])
     once = vault.with_ghost(hub, ["HK"])
