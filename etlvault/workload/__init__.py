@@ -5,7 +5,8 @@ from __future__ import annotations
 import importlib
 
 _MODULES = ("vault_queries", "recon_queries", "quality_queries", "profile_queries", "pii_queries",
-            "catalog_queries", "scan_queries", "lineage_queries", "feature_queries", "stream_queries")
+            "catalog_queries", "scan_queries", "lineage_queries", "feature_queries", "stream_queries",
+            "store_queries")
 
 
 def _merged(attribute: str) -> dict:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from etlvault.operators import quality
 from etlvault.plans import mapping, model, rules
 from etlvault.session import cut_lineage
 from etlvault.sources import artifacts
@@ -133,6 +134,12 @@ def sttm_by_tool(spark, sf_dir):
     return mapping.summarise_by(_sttm(spark, sf_dir, list_all_sources=True, numbered=False))
 
 
+def sttm_short_classes(spark, sf_dir):
+    """Mappings per short class of their expression."""
+    kind = mapping.short_expression_class(F.col("expression"), F.col("source_column"))
+    return mapping.mapped(_sttm(spark, sf_dir, numbered=False)).groupBy("tool", kind.alias("expression_class")).agg(F.count("*").alias("mappings"))
+
+
 def sttm_unmapped(spark, sf_dir):
     return mapping.unmapped(_sttm(spark, sf_dir, numbered=False)).select("source_table", "source_column", "is_pk", "is_fk", "pii_flag")
 
@@ -203,6 +210,12 @@ def dq_rules(spark, sf_dir):
     return made.select("rule_id", "dimension", "table", "column", "check_type", "rule")
 
 
+def dq_dimensions(spark, sf_dir):
+    """The catalogue of dimensions with the generated rules of each."""
+    counts = dq_rules(spark, sf_dir).groupBy("dimension").agg(F.count("*").alias("n"))
+    return quality.dimensions(spark).join(counts, "dimension", "left").select("dimension", "description", F.coalesce("n", F.lit(0)).alias("n_rules"))
+
+
 def _column_rules(spark, sf_dir):
     c = derived.columns(spark, sf_dir).select("table_name", "ordinal", F.col("column_name").alias("target_column"), "data_type",
                                               (F.col("key_type") == "PRIMARY KEY").alias("is_pk"), "nullable")
@@ -222,11 +235,12 @@ QUERIES = {
     "harvest_ddl": harvest_ddl, "harvest_views": harvest_views, "harvest_ddl_moves": harvest_ddl_moves, "harvest_jobs": harvest_jobs, "harvest_job_links": harvest_job_links,
     "harvest_mappings": harvest_mappings, "harvest_transforms": harvest_transforms, "harvest_replication": harvest_replication,
     "harvest_all": harvest_all, "sttm_build": sttm_build, "sttm_summary": sttm_summary, "sttm_by_tool": sttm_by_tool,
+    "sttm_short_classes": sttm_short_classes,
     "sttm_unmapped": sttm_unmapped, "sttm_personal": sttm_personal, "sttm_apply": sttm_apply, "model_business_keys": model_business_keys,
     "model_primary_keys": model_primary_keys, "model_hubs": model_hubs, "model_links": model_links,
     "model_key_pair_links": model_key_pair_links, "model_satellites": model_satellites, "model_relationships": model_relationships,
     "model_relationship_ends": model_relationship_ends,
-    "dq_rules": dq_rules, "dq_column_rules": dq_column_rules, "dq_rule_counts": dq_rule_counts,
+    "dq_rules": dq_rules, "dq_dimensions": dq_dimensions, "dq_column_rules": dq_column_rules, "dq_rule_counts": dq_rule_counts,
 }
 
 _CAT = derived.CATALOG_SQL
@@ -352,6 +366,9 @@ ORACLE = {
     "sttm_by_tool": f"""with {_STTM_ALL} select tool, count(*) as mappings, count(*) filter (where is_pk = 'Y') as pk_columns,
         count(*) filter (where transformation_type = 'DIRECT') as direct,
         count(*) filter (where transformation_type not in ('DIRECT', 'NONE')) as transformed from sttm group by 1""",
+    "sttm_short_classes": f"""with {_STTM} select tool, case when expression is null or expression in ('', 'DIRECT') or expression = source_column then 'DIRECT'
+        when contains(upper(expression), 'MD5') or contains(upper(expression), 'SHA') then 'HASH' else 'EXPRESSION' end as expression_class,
+        count(*) as mappings from sttm where target_table <> '{mapping.UNMAPPED}' group by 1, 2""",
     "sttm_unmapped": f"with {_STTM} select source_table, source_column, is_pk, is_fk, pii_flag from sttm where target_table = '{mapping.UNMAPPED}'",
     "sttm_personal": f"""with {_STTM} select source_table, count(*) as pii_mappings from sttm
         where target_table <> '{mapping.UNMAPPED}' and pii_flag = 'Y' group by 1""",
@@ -383,6 +400,8 @@ ORACLE = {
         union all select stem, 'parent', parent, count(distinct child) from p group by stem, parent""",
     "dq_rules": f"""with {_RULES} select 'DQ_' || p || '_' || case when n < 10000 then lpad(cast(n as varchar), 4, '0') else cast(n as varchar) end as rule_id,
         dimension, t as "table", c as "column", k as check_type, rule from rn""",
+    "dq_dimensions": f"""with {_RULES}, d(dimension, description) as (values {", ".join(f"('{k}', '{v}')" for k, v in quality.DIMENSIONS.items())})
+        select d.dimension, d.description, count(rn.dimension) as n_rules from d left join rn on rn.dimension = d.dimension group by 1, 2""",
     "dq_column_rules": f"""with {_COLUMN_RULES} select table_name, ordinal, target_column, array_to_string(l, ',') as dq_rules, cast(len(l) as int) as n_rules, is_critical from cr""",
     "dq_rule_counts": f"""with {_COLUMN_RULES} select count(*) as total_columns, count(*) filter (where len(l) > 0) as columns_with_rules,
         count(*) filter (where is_critical) as critical_columns, cast(sum(len(l)) as bigint) as total_rules from cr""",
