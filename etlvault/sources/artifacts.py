@@ -13,6 +13,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from etlvault.operators.ordered import first_by
 
@@ -360,7 +361,7 @@ def _first_of(words: Column, wanted: Sequence[str]) -> Column:
 def _heads(statements: DataFrame) -> DataFrame:
     """The statements with ``made`` (TABLE, BASE VIEW, VIEW, SOURCE, INSERT or NULL), ``name`` and whether a list follows it.
 
-    A head is told by its words alone: what is made comes after modifiers, its name after
+    Statements that make nothing stay only for the ``whole`` text beside them. A head is told by its words alone: what is made comes after modifiers, its name after
     words such as IF NOT EXISTS.
     """
     words = F.slice(F.regexp_extract_all(F.left("text", F.lit(4000)), F.lit(_WORD), F.lit(0)), 1, _HEAD_WORDS)
@@ -383,8 +384,10 @@ def _heads(statements: DataFrame) -> DataFrame:
             lambda n: F.struct(made(u, k).alias("made"), F.get(w, n - 1).alias("name"), (F.get(u, n) == "(").alias("listed")))))
 
     rows = statements.withColumn("__h", _let(words, head)).select("*", "__h.*").drop("__h")
-    named = F.col("made").isNotNull() & F.regexp_like("name", F.lit(_IS_NAME))
-    return rows.filter(named).withColumns({"name": F.regexp_replace(_bare(F.col("name")), r"\s*\.\s*", "."), "listed": F.coalesce("listed", F.lit(False))})
+    named = F.regexp_like("name", F.lit(_IS_NAME))
+    rows = rows.withColumns({"made": F.when(named, F.col("made")), "name": F.regexp_replace(_bare(F.col("name")), r"\s*\.\s*", "."),
+                             "listed": F.coalesce("listed", F.lit(False))})
+    return rows.filter(F.col("made").isNotNull() | F.col("whole").isNotNull())
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -407,70 +410,110 @@ def _words(text: Column) -> Column:
     return F.flatten(F.transform(_tokens(text), lambda t: F.when(F.regexp_like(t, F.lit("^['\"`]")), F.array(t)).otherwise(F.split(t, _FIRST_WORD))))
 
 
-def _nested(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Token rows (i, t) with ``depth``, the parentheses open before each token of its text."""
-    change = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
-    return rows.withColumn("depth", F.greatest(F.lit(0), F.coalesce(F.sum(change).over(_before(keys)), F.lit(0))))
+def _numbered(words: Column, name: str, first: Column) -> Column:
+    """Words as structs (i, t, ``name``); the first one alone carries the value ``first``, so that it is not copied to all."""
+    return F.transform(words, lambda t, i: F.struct(i.alias("i"), t.alias("t"), F.when(i == 0, first).alias(name)))
+
 
+def _ordered(keys: Sequence[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("i")
 
-def _before(keys: list[str]):
-    return Window.partitionBy(*keys).orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
 
+def _before(keys: Sequence[str]) -> WindowSpec:
+    return _ordered(keys).rowsBetween(Window.unboundedPreceding, -1)
 
-def _so_far(test: Column, keys: list[str]) -> Column:
+
+def _opened(keys: Sequence[str]) -> Column:
+    """Parentheses opened and not closed before a token of its text."""
+    change = F.when(F.col("t") == "(", 1).when(F.col("t") == ")", -1).otherwise(0)
+    return F.coalesce(F.sum(change).over(_before(keys)), F.lit(0))
+
+
+def _so_far(test: Column, keys: Sequence[str]) -> Column:
     """How often ``test`` held before a token of its text."""
     return F.coalesce(F.sum(test.cast("int")).over(_before(keys)), F.lit(0))
 
 
-def _joined_text(rows: DataFrame, *keys: str) -> DataFrame:
-    """One row per key with the tokens laid end to end as ``item`` and the first one's number as ``at``."""
-    return rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("i", "t"))).alias("all"), F.min("i").alias("at")).select(
-        *keys, "at", _strip(F.array_join(F.col("all.t"), "")).alias("item"))
+def _text(test: Column | None = None) -> Column:
+    """Aggregate: the tokens of a group, those with ``test`` alone, laid end to end."""
+    token = F.struct("i", "t")
+    return _strip(F.array_join(F.sort_array(F.collect_list(token if test is None else F.when(test, token)))["t"], ""))
 
 
 def _statements(files: DataFrame) -> DataFrame:
-    """(path, p, text, closed): the statements of every script, without comments.
+    """(path, p, text, closed, whole): the statements of every script, without comments.
 
     A statement ends at a semicolon outside quotes, or before CREATE or INSERT outside
-    parentheses. Tokens are rows, so that long scripts take time in proportion.
+    parentheses. Tokens are rows, so that long scripts take time in proportion. ``whole`` is
+    the text of a ``.vw`` file, beside its first statement.
+    """
+    content, t = F.col("content"), F.col("t")
+    whole = F.when(extension(F.col("path")) == ".vw", _strip(content))
+    words = _let(_words(F.regexp_replace(content, _COMMENT, "$1 ")), lambda w: F.when(F.size(w) == 0, F.array(F.lit(""))).otherwise(w))
+    rows = files.select("path", F.inline(_numbered(words, "whole", whole)))
+    rows = rows.withColumns({"opened": _opened(["path"]), "part": _so_far(t == ";", ["path"])})
+    # parentheses count from the last semicolon
+    depth = F.col("opened") - F.coalesce(F.last(F.when(t == ";", F.col("opened")), ignorenulls=True).over(_before(["path"])), F.lit(0))
+    first = (F.col("depth") <= 0) & F.regexp_like("t", F.lit(r"(?i)^(CREATE|INSERT)\s"))
+    rows = rows.withColumn("depth", depth).withColumn("turn", F.sum(first.cast("int")).over(_ordered(["path"])))
+    return rows.groupBy("path", "part", "turn").agg(
+        F.min("i").alias("p"), _text(t != ";").alias("text"), F.max(t == ";").alias("closed"), F.max("whole").alias("whole"))
+
+
+def _sources_of_parts(files: DataFrame) -> DataFrame:
+    """(path, p, kind, name, names, text): what the parts of tables, views and inserts are read from.
+
+    ``text`` is a statement with a list for tables, and a query else; ``names`` is the list that stands before the query.
     """
-    rows = files.select("path", F.posexplode(_words(F.regexp_replace("content", _COMMENT, "$1 "))).alias("i", "t"))
-    rows = _nested(rows.withColumn("part", _so_far(F.col("t") == ";", ["path"])), ["path", "part"])
-    first = (F.col("depth") == 0) & F.regexp_like("t", F.lit(r"(?i)^(CREATE|INSERT)\s"))
-    rows = rows.withColumn("turn", _so_far(first, ["path", "part"]) + first.cast("int"))
-    closed = rows.filter("t = ';'").select("path", "part", "turn", F.lit(True).alias("closed"))
-    made = _joined_text(rows.filter("t <> ';'"), "path", "part", "turn").join(closed, ["path", "part", "turn"], "left")
-    return made.filter("item <> ''").select("path", F.col("at").alias("p"), F.col("item").alias("text"), F.coalesce("closed", F.lit(False)).alias("closed"))
-
-
-def _list_items(statements: DataFrame) -> DataFrame:
-    """(path, p, q, item): parts of the first parenthesised list of (path, p, text), between its own commas."""
-    keys, t, depth = ["path", "p"], F.col("t"), F.col("depth")
-    rows = _nested(statements.select(*keys, F.posexplode(_tokens(F.col("text"))).alias("i", "t")), keys)
-    rows = rows.withColumn("done", _so_far((t == ")") & (depth == 1), keys)).filter((F.col("done") == 0) & (depth > 0))
-    rows = rows.withColumn("q", _so_far((t == ",") & (depth == 1), keys)).filter(~((depth == 1) & t.isin(",", ")")))
-    return _joined_text(rows, "path", "p", "q").drop("at")
-
-
-def _select_list(queries: DataFrame) -> DataFrame:
-    """(path, p, q, item, source_table): what the select list of (path, p, text) names; queries without FROM give none."""
-    keys, t, depth = ["path", "p"], F.col("t"), F.col("depth")
-    words = F.flatten(F.transform(_tokens(F.col("text")), lambda x: F.split(x, r"(?i)(?<![\w.])(?=(?:FROM|SELECT)\s)")))
-    rows = _nested(queries.select(*keys, F.posexplode(words).alias("i", "t")), keys)
-    ahead = Window.partitionBy(*keys).orderBy("i")
+    rows, text, made, listed = _heads(_statements(files)), F.col("text"), F.col("made"), F.col("listed")
+    table, view = made.isin("TABLE", "BASE VIEW") & listed, (made == "VIEW") & (F.col("asked") != "")
+    rows = rows.withColumn("asked", _query(text, listed))
+    rows = rows.withColumn("kind", F.when(table, "TABLE").when(view, "VIEW").when((made == "INSERT") & (F.col("asked") != ""), "INSERT"))
+    known = F.coalesce(F.max(F.col("kind").isin("TABLE", "VIEW")).over(Window.partitionBy("path")), F.lit(False))
+    asked = F.concat("asked", F.when((made == "VIEW") & F.col("closed"), ";").otherwise(""))
+    names = F.when(listed, F.split(F.regexp_extract(text, r"(?s)^[^(]*+\(([^()]*+)\)", 1), ","))
+    stem = F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")
+    found = F.struct(F.col("p"), F.col("kind"), F.col("name"), names.alias("names"), F.when(table, text).otherwise(asked).alias("text"))
+    lone = F.struct(F.lit(0).alias("p"), F.lit("VIEW").alias("kind"), stem.alias("name"), F.lit(None).cast("array<string>").alias("names"), F.col("whole").alias("text"))
+    rows = rows.withColumn("known", known).select("path", F.inline(F.array_compact(F.array(
+        F.when(F.col("kind").isNotNull(), found), F.when(F.col("whole").isNotNull() & ~F.col("known"), lone)))))
+    return rows
+
+
+def _parts(sources: DataFrame) -> DataFrame:
+    """(path, p, kind, name, q, item, target, source_table): the parts of lists and of select lists, between their own commas.
+
+    A table's parts are those of its first parenthesised list; a query's lie between its own SELECT and FROM,
+    behind common table expressions, and a query without FROM gives none. ``target`` is the name at the part's place in ``names``.
+    """
+    keys, t, i, depth = ["path", "p", "kind"], F.col("t"), F.col("i"), F.col("depth")
+    table, whole = F.col("kind") == "TABLE", Window.partitionBy("path", "p", "kind")
+    words = F.when(table, _tokens(F.col("text"))).otherwise(
+        F.flatten(F.transform(_tokens(F.col("text")), lambda x: F.split(x, r"(?i)(?<![\w.])(?=(?:FROM|SELECT)\s)"))))
+    rows = sources.select(*keys, "name", F.inline(_numbered(words, "names", F.col("names"))))
     # the name after FROM stands in the next tokens, if it is quoted
-    rows = rows.withColumn("rest", F.concat(t, *[F.coalesce(F.lead("t", k).over(ahead), F.lit("")) for k in (1, 2, 3)]))
-    start = (depth == 0) & F.regexp_like("t", F.lit(r"(?i)^FROM\s"))
-    whole = Window.partitionBy(*keys)
-    # common table expressions stand before the query's own SELECT
-    select = (depth == 0) & F.regexp_like("t", F.lit(r"(?i)^SELECT\s"))
-    rows = rows.withColumn("select", F.coalesce(F.min(F.when(select, F.col("i"))).over(whole), F.lit(-1))).filter("i >= `select`")
-    rows = rows.withColumn("t", F.when(F.col("i") == F.col("select"), F.regexp_replace("t", r"(?i)^SELECT\s+", "")).otherwise(t))
-    rows = rows.withColumn("from", F.min(F.when(start, F.col("i"))).over(whole)).filter("i <= `from`")
-    read = F.get(F.regexp_extract_all(F.max(F.when(F.col("i") == F.col("from"), F.col("rest"))).over(whole), F.lit(_WORD), F.lit(0)), F.lit(1))
-    rows = rows.withColumn("source_table", F.when(F.regexp_like(read, F.lit(_IS_NAME)), _bare(read)).otherwise(""))
-    rows = rows.filter("i < `from`").withColumn("q", _so_far((t == ",") & (depth == 0), keys)).filter(~((depth == 0) & (t == ",")))
-    return _joined_text(rows, "path", "p", "q", "source_table").drop("at").filter("item <> ''")
+    rest = F.concat(t, *[F.coalesce(F.lead("t", k).over(_ordered(keys)), F.lit("")) for k in (1, 2, 3)])
+    rows = rows.withColumns({"depth": F.greatest(F.lit(0), _opened(keys)), "rest": rest})
+
+    def word(pattern: str) -> Column:
+        return (depth == 0) & F.regexp_like("t", F.lit(pattern))
+
+    start = F.min(F.when(F.when(table, (t == "(") & (depth == 0)).otherwise(word(r"(?i)^SELECT\s")), i)).over(whole)
+    rows = rows.withColumn("start", F.coalesce(start, F.when(~table, F.lit(0))))
+    ends = F.when(table, (t == ")") & (depth == 1)).otherwise(word(r"(?i)^FROM\s") & (i >= F.col("start")))
+    comma = (t == ",") & (depth == F.when(table, 1).otherwise(0)) & (i >= F.col("start"))
+    rows = rows.withColumns({"end": F.min(F.when(ends, F.struct("i", "rest"))).over(whole), "q": _so_far(comma, keys)})
+    end = F.col("end.i")
+    inside = F.when(table, (i > F.col("start")) & (end.isNull() | (i < end))).otherwise((i >= F.col("start")) & (i < end))
+    own = F.when((i == F.col("start")) & ~table, F.regexp_replace("t", r"(?i)^SELECT\s+", "")).otherwise(t)
+    read = F.get(F.regexp_extract_all("end.rest", F.lit(_WORD), F.lit(0)), F.lit(1))
+    # the first token stays for the names it carries
+    rows = rows.filter(((i == 0) | (F.coalesce(inside, F.lit(False)) & ~comma)) & (table | end.isNotNull())).select(
+        *keys, "name", "q", "i", "names", F.when(inside, own).otherwise("").alias("t"),
+        F.when(i == F.col("start"), F.when(F.regexp_like(read, F.lit(_IS_NAME)), _bare(read)).otherwise("")).alias("source_table"))
+    items = rows.groupBy(*keys, "name", "q").agg(_text().alias("item"), F.max("names").alias("names"), F.max("source_table").alias("source_table"))
+    return items.select(*keys, "name", "q", "item", _bare(F.get(F.max("names").over(whole), F.col("q").cast("int"))).alias("target"),
+                        F.max("source_table").over(whole).alias("source_table")).filter("item <> ''")
 
 
 def harvest_ddl(files: DataFrame) -> Catalogs:
@@ -483,47 +526,34 @@ def harvest_ddl(files: DataFrame) -> Catalogs:
     """
     vql = extension(F.col("path")) == ".vql"
     schema = F.when(vql, F.lit("denodo")).otherwise(F.lit(""))
-    statements = _heads(_statements(files))
-    text, made = F.col("text"), F.col("made")
-
-    tables = statements.filter(made.isin("TABLE", "BASE VIEW") & F.col("listed")).select("path", "p", "text", F.col("name").alias("table_name"))
-    lines = _list_items(tables).withColumnRenamed("item", "d").filter((F.col("d") != "") & ~F.regexp_like("d", F.lit(_CONSTRAINT)))
-    lines = lines.withColumn("ordinal", F.row_number().over(Window.partitionBy("path", "p").orderBy("q")) - 1).join(tables.drop("text"), ["path", "p"])
-    d = F.col("d")
+    sources = _sources_of_parts(files)
+    parts = _parts(sources)
+    kind, d, q = F.col("kind"), F.col("item"), F.col("q")
+
+    # columns of tables and of views come from one pass over the parts
+    table = kind == "TABLE"
+    shown = F.coalesce("target", F.regexp_extract(d, r'(\w+)[`"\]]?$', 1))
+    cells = parts.filter(F.when(table, ~F.regexp_like(d, F.lit(_CONSTRAINT))).otherwise((kind == "VIEW") & (shown != "")))
+    place = F.row_number().over(Window.partitionBy("path", "p", "kind").orderBy("q")) - 1
     unquoted = F.regexp_replace(d, r"""'[^']*+'|"[^"]*+"|`[^`]*+`""", "x")  # comments and defaults say nothing of the column
-    columns = _shape(lines, COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("table_name"),
-                     schema_name=schema, role="source", ordinal=F.col("ordinal"),
-                     column_name=_first(F.regexp_extract(d, r'^[`"\[]([^`"\]]++)', 1), F.regexp_extract(d, r'^(\w+)', 1)),
-                     data_type=F.regexp_extract(d, r'^(?:[`"\[][^`"\]]++[`"\]]|\w++)\s+(' + _TYPE + ')', 1),
-                     nullable=~F.regexp_like(unquoted, F.lit(r"(?i)NOT\s+NULL")),
-                     key_type=F.when(F.regexp_like(unquoted, F.lit(r"(?i)PRIMARY\s+KEY")), F.lit("PRIMARY KEY"))
-                     .when(F.regexp_like(unquoted, F.lit(r"(?i)REFERENCES\s")), F.lit("FOREIGN KEY")).otherwise(F.lit("")))
-
-    names = F.when(F.col("listed"), F.split(F.regexp_extract(text, r"(?s)^[^(]*+\(([^()]*+)\)", 1), ","))
-    asked = _query(text, F.col("listed"))
-    shown = statements.filter((made == "VIEW") & (asked != "")).select(
-        "path", "p", "name", F.concat(asked, F.when(F.col("closed"), ";").otherwise("")).alias("text"), names.alias("names"))
-    stem = F.regexp_replace(file_name(F.col("path")), r"\.[^.]*$", "")
-    known = shown.select("path").unionByName(tables.select("path")).distinct()
-    lone = (files.filter(extension(F.col("path")) == ".vw").join(known, "path", "left_anti")
-            .select("path", F.lit(0).alias("p"), stem.alias("name"), _strip(F.col("content")).alias("text"), F.lit(None).cast("array<string>").alias("names")))
-    found = shown.unionByName(lone)
-    views = _shape(found, VIEW_FIELDS, tool="script", source_file=F.col("path"), name=F.col("name"), schema_name=schema, sql=text)
-    output = _select_list(found).join(found.drop("text"), ["path", "p"]).withColumn(
-        "target", F.coalesce(_bare(F.get("names", F.col("q").cast("int"))), F.regexp_extract("item", r'(\w+)[`"\]]?$', 1)))
-    view_columns = _shape(output.filter("target <> ''"), COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("name"),
-                          schema_name=schema, role="view", ordinal=F.col("q"), column_name=F.col("target"), nullable=True, expression=F.col("item"))
-
-    moves = statements.filter(made == "INSERT").select("path", "p", F.col("name").alias("target_table"), names.alias("names"), asked.alias("text")).filter("text <> ''")
-    moved = (_select_list(moves).join(moves.drop("text"), ["path", "p"])
-             .withColumn("t", _bare(F.coalesce(F.get("names", F.col("q").cast("int")), F.lit("")))).withColumn("s", _bare(F.col("item"))).filter("t <> ''"))
-    inserted = _shape(moved, MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=_place("p", "q"),
-                      source_table=F.col("source_table"), source_column=F.col("s"), target_table=F.col("target_table"),
-                      target_column=F.col("t"), expression=F.col("s"))
-    item = F.col("item")
-    viewed = _shape(output.filter(vql), MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=F.col("q"), source_table=F.col("source_table"),
-                    source_column=_bare(F.substring_index(item, ".", -1)), target_table=F.col("name"), target_column=F.col("target"), expression=item)
-    return Catalogs(columns.unionByName(view_columns), inserted.unionByName(viewed), _none(files.sparkSession, TRANSFORM_FIELDS), views)
+    own_name = _first(F.regexp_extract(d, r'^[`"\[]([^`"\]]++)', 1), F.regexp_extract(d, r'^(\w+)', 1))
+    key = F.when(F.regexp_like(unquoted, F.lit(r"(?i)PRIMARY\s+KEY")), "PRIMARY KEY").when(
+        F.regexp_like(unquoted, F.lit(r"(?i)REFERENCES\s")), "FOREIGN KEY").otherwise("")
+    columns = _shape(cells, COLUMN_FIELDS, tool="script", source_file=F.col("path"), position=F.col("p"), table_name=F.col("name"), schema_name=schema,
+                     role=F.when(table, "source").otherwise("view"), ordinal=F.when(table, place).otherwise(q),
+                     column_name=F.when(table, own_name).otherwise(shown),
+                     data_type=F.when(table, F.regexp_extract(d, r'^(?:[`"\[][^`"\]]++[`"\]]|\w++)\s+(' + _TYPE + ')', 1)).otherwise(""),
+                     nullable=~table | ~F.regexp_like(unquoted, F.lit(r"(?i)NOT\s+NULL")),
+                     key_type=F.when(table, key).otherwise(""), expression=F.when(table, "").otherwise(d))
+
+    insert = kind == "INSERT"
+    moved = parts.filter(F.when(insert, F.coalesce("target", F.lit("")) != "").otherwise((kind == "VIEW") & vql & (shown != "")))
+    source = F.when(insert, _bare(d)).otherwise(_bare(F.substring_index(d, ".", -1)))
+    mappings = _shape(moved, MAPPING_FIELDS, tool="script", source_file=F.col("path"), ordinal=F.when(insert, _place("p", "q")).otherwise(q),
+                      source_table=F.col("source_table"), source_column=source, target_table=F.col("name"),
+                      target_column=F.when(insert, F.col("target")).otherwise(shown), expression=F.when(insert, source).otherwise(d))
+    views = _shape(sources.filter(kind == "VIEW"), VIEW_FIELDS, tool="script", source_file=F.col("path"), name=F.col("name"), schema_name=schema, sql=F.col("text"))
+    return Catalogs(columns, mappings, _none(files.sparkSession, TRANSFORM_FIELDS), views)
 
 
 def data_sources(files: DataFrame) -> DataFrame:
