@@ -19,6 +19,7 @@ PII_WORDS_STTM = ["email", "ssn", "phone", "credit", "card", "dob", "birth", "ad
                   "national_id", "tax_id", "name", "ip_address"]
 PII_WORDS_VAULT = ["email", "ssn", "phone", "credit", "card", "dob", "birth", "address", "passport", "license",
                    "name", "ip_address", "tax"]
+PII_WORDS_SHEET = ["email", "phone", "ssn", "dob", "passport", "credit_card", "ip_address", "name", "address"]
 # Expression classes in the order they are tried.
 EXPRESSION_CLASSES = {
     "HASH": ["MD5", "SHA", "HASH"],
@@ -168,6 +169,29 @@ def summarise_by(sttm: DataFrame, by: Sequence[str] = ("tool",)) -> DataFrame:
         F.count_if(direct).alias("direct"), F.count_if(~direct & (F.col("transformation_type") != "NONE")).alias("transformed"))
 
 
+def sheet(mappings: DataFrame) -> DataFrame:
+    """The mappings as a listing: short expression classes, and the personal data of target columns marked PII."""
+    expression = F.coalesce(F.nullif("expression", F.lit("")), F.lit("DIRECT"))
+    personal_name = contains_any(F.lower("target_column"), PII_WORDS_SHEET)
+    return mappings.select("source_file", "source_table", "source_column", "target_table", "target_column", expression.alias("expression"),
+                           short_expression_class(F.col("expression"), F.col("source_column")).alias("transformation_type"),
+                           F.when(personal_name, "PII").otherwise("").alias("pii_flag"))
+
+
+def summarise_loads(columns: DataFrame) -> DataFrame:
+    """Mappings and their columns per tool and load strategy, per tool, per strategy and in all; NULL stands for all.
+
+    Takes mappings as one row per column: ``mapping_name``, ``tool``, ``load_strategy``, ``is_pk``,
+    ``transformation_type``. A mapping is one row before the totals are made; tools and strategies that are NULL count as ''.
+    """
+    direct = F.col("transformation_type") == "DIRECT"
+    known = {c: F.coalesce(c, F.lit("")) for c in ("tool", "load_strategy")}
+    per = columns.withColumns(known).groupBy("mapping_name", *known).agg(
+        F.count("*").alias("c"), F.count_if(F.col("is_pk") == "Y").alias("k"), F.count_if(direct).alias("d"))
+    return per.cube(*known).agg(F.count("*").alias("mappings"), F.sum("c").alias("columns"), F.sum("k").alias("pk_columns"),
+                                F.sum("d").alias("direct"), (F.sum("c") - F.sum("d")).alias("transformed"))
+
+
 def explode_mappings(mappings: DataFrame) -> DataFrame:
     """Nested mappings ``(mapping_name, …, columns array)`` as one row per column."""
     return mappings.select(*[c for c in mappings.columns if c != "columns"], F.posexplode("columns").alias("ordinal", "c")).select(

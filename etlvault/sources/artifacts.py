@@ -299,7 +299,8 @@ def harvest_replication(files: DataFrame) -> Catalogs:
                        nullable=is_nullable(F.col("c.nullable")), key_type=F.when(pk, F.lit("PRIMARY KEY")).otherwise(F.lit("")),
                        expression=F.coalesce("c.expression", F.lit("")))
 
-    markup = trimmed.filter(F.substring("doc", 1, 1) == "<")
+    # tags are told by their attributes alone, so broken markup and tags inside other text count too
+    markup = trimmed.filter(~F.substring("doc", 1, 1).isin("{", "["))
     tables = markup.select("path", F.posexplode(F.split("doc", r"(?i)(?=<[^<>]*\s(?:TableName|table_name)\s*=)")).alias("p", "t")).filter(
         F.regexp_like("t", F.lit(r'(?i)^<[^<>]*\s(?:TableName|table_name)\s*=')))
     parts = tables.select("path", "p", _attribute(F.col("t"), "TableName", "table_name").alias("table_name"),
@@ -314,8 +315,14 @@ def harvest_replication(files: DataFrame) -> Catalogs:
                       key_type=F.when(F.upper(_attribute(c, "IsPK")) == "Y", F.lit("PRIMARY KEY")).otherwise(F.lit("")),
                       expression=_attribute(c, "Expression"))
     steps = markup.select("path", F.posexplode(F.regexp_extract_all("doc", F.lit(r'<[^<>]*\sExpression\s*=[^<>]*>'), F.lit(0))).alias("p", "e"))
-    transforms = _shape(steps, TRANSFORM_FIELDS, tool=tool, source_file=F.col("path"), ordinal=F.col("p"), type="expression",
-                        name=_first(_attribute(F.col("e"), "TargetColumn"), F.lit("UNKNOWN")), expression=_attribute(F.col("e"), "Expression"))
+    stated = steps.select("path", "p", _first(_attribute(F.col("e"), "TargetColumn"), F.lit("UNKNOWN")).alias("name"), _attribute(F.col("e"), "Expression").alias("e"))
+    # text that is no document: an expression goes with the target column named before the next one
+    loose = trimmed.filter((F.substring("doc", 1, 1) != "<") & F.get_json_object("doc", "$").isNull())
+    pairs = loose.select("path", F.posexplode(F.split("doc", r'"expression"\s*:')).alias("p", "e")).filter("p > 0").select(
+        "path", "p", F.regexp_extract("e", r'"target_column"\s*:\s*"([^"]*)"', 1).alias("name"), F.regexp_extract("e", r'^\s*"([^"]*)"', 1).alias("e")).filter(
+        "name <> '' AND e <> ''")
+    transforms = _shape(stated.unionByName(pairs), TRANSFORM_FIELDS, tool=tool, source_file=F.col("path"), ordinal=F.col("p"), type="expression",
+                        name=F.col("name"), expression=F.col("e"))
     spark = files.sparkSession
     return Catalogs(from_json.unionByName(from_xml), _none(spark, MAPPING_FIELDS), transforms, _none(spark, VIEW_FIELDS))
 

@@ -140,6 +140,24 @@ def sttm_short_classes(spark, sf_dir):
     return mapping.mapped(_sttm(spark, sf_dir, numbered=False)).groupBy("tool", kind.alias("expression_class")).agg(F.count("*").alias("mappings"))
 
 
+def sttm_sheet(spark, sf_dir):
+    """Rows of the listing of all mappings, by what it shows of each."""
+    listed = mapping.sheet(derived.mappings(spark, sf_dir))
+    return listed.groupBy("source_table", "target_column", "expression", "transformation_type", "pii_flag").agg(F.count("*").alias("mappings"))
+
+
+def sttm_loads(spark, sf_dir):
+    """A mapping per source and target table; targets of even number are loaded in increments."""
+    even = F.right("target_table", F.lit(1)).isin("0", "2", "4", "6", "8")
+    key = derived.columns(spark, sf_dir).select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"), "key_type")
+    found = derived.mappings(spark, sf_dir).join(
+        key.groupBy("source_table", "source_column").agg(F.max(F.when(F.col("key_type") == "PRIMARY KEY", "Y").otherwise("N")).alias("is_pk")),
+        ["source_table", "source_column"], "left")
+    return mapping.summarise_loads(found.select(
+        F.concat_ws(" ", "source_table", "target_table").alias("mapping_name"), "tool", F.when(even, "INCREMENTAL").otherwise("FULL").alias("load_strategy"),
+        "is_pk", mapping.expression_class(F.col("expression")).alias("transformation_type")))
+
+
 def sttm_unmapped(spark, sf_dir):
     return mapping.unmapped(_sttm(spark, sf_dir, numbered=False)).select("source_table", "source_column", "is_pk", "is_fk", "pii_flag")
 
@@ -235,7 +253,7 @@ QUERIES = {
     "harvest_ddl": harvest_ddl, "harvest_views": harvest_views, "harvest_ddl_moves": harvest_ddl_moves, "harvest_jobs": harvest_jobs, "harvest_job_links": harvest_job_links,
     "harvest_mappings": harvest_mappings, "harvest_transforms": harvest_transforms, "harvest_replication": harvest_replication,
     "harvest_all": harvest_all, "sttm_build": sttm_build, "sttm_summary": sttm_summary, "sttm_by_tool": sttm_by_tool,
-    "sttm_short_classes": sttm_short_classes,
+    "sttm_short_classes": sttm_short_classes, "sttm_sheet": sttm_sheet, "sttm_loads": sttm_loads,
     "sttm_unmapped": sttm_unmapped, "sttm_personal": sttm_personal, "sttm_apply": sttm_apply, "model_business_keys": model_business_keys,
     "model_primary_keys": model_primary_keys, "model_hubs": model_hubs, "model_links": model_links,
     "model_key_pair_links": model_key_pair_links, "model_satellites": model_satellites, "model_relationships": model_relationships,
@@ -369,6 +387,17 @@ ORACLE = {
     "sttm_short_classes": f"""with {_STTM} select tool, case when expression is null or expression in ('', 'DIRECT') or expression = source_column then 'DIRECT'
         when contains(upper(expression), 'MD5') or contains(upper(expression), 'SHA') then 'HASH' else 'EXPRESSION' end as expression_class,
         count(*) as mappings from sttm where target_table <> '{mapping.UNMAPPED}' group by 1, 2""",
+    "sttm_sheet": f"""with {_CAT}, s as (select source_table, target_column, case when expression = '' then 'DIRECT' else expression end as expression,
+          case when expression in ('', 'DIRECT') or expression = source_column then 'DIRECT'
+               when contains(upper(expression), 'MD5') or contains(upper(expression), 'SHA') then 'HASH' else 'EXPRESSION' end as transformation_type,
+          case when {_words('lower(target_column)', mapping.PII_WORDS_SHEET)} then 'PII' else '' end as pii_flag from maps)
+        select *, count(*) as mappings from s group by all""",
+    "sttm_loads": f"""with {_CAT}, k as (select table_name, column_name, max(key_type = 'PRIMARY KEY') as pk from cat group by all),
+        c as (select source_table, target_table, tool, case when cast(right(target_table, 1) as int) % 2 = 0 then 'INCREMENTAL' else 'FULL' end as load_strategy,
+                pk, {_CLASS.replace('{e}', 'expression')} = 'DIRECT' as direct
+              from maps left join k on table_name = source_table and column_name = source_column)
+        select tool, load_strategy, count(distinct (source_table, target_table)) as mappings, count(*) as columns, count(*) filter (where pk) as pk_columns,
+               count(*) filter (where direct) as direct, count(*) filter (where not direct) as transformed from c group by cube (tool, load_strategy)""",
     "sttm_unmapped": f"with {_STTM} select source_table, source_column, is_pk, is_fk, pii_flag from sttm where target_table = '{mapping.UNMAPPED}'",
     "sttm_personal": f"""with {_STTM} select source_table, count(*) as pii_mappings from sttm
         where target_table <> '{mapping.UNMAPPED}' and pii_flag = 'Y' group by 1""",

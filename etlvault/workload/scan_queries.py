@@ -88,9 +88,7 @@ def scan_routes(spark, sf_dir):
 
 
 def scan_recommendations(spark, sf_dir):
-    files = corpus(spark, sf_dir)
-    rows = scan.recommendations(scan.scan(files), scan.frequent_objects(scan.objects(files)))
-    return scan.unique_recommendations(rows)
+    return scan.unique_recommendations(scan.recommendations(scan.scan(corpus(spark, sf_dir), frequent=3)))
 
 
 QUERIES = {

@@ -292,6 +292,45 @@ def test_wide_table(spark):
     assert tuple(r) == (20_000, 19_999, 20_000, "DECIMAL(18,2)")
 
 
+def test_wide_insert_and_view(spark):
+    n = 5_000
+    left, right = ", ".join(f"t{i}" for i in range(n)), ", ".join(f"f(s{i}, 'x,')" for i in range(n))
+    got = scripts(spark, a_sql=f"INSERT INTO t ({left}) SELECT {right} FROM src; CREATE VIEW v ({left}) AS SELECT {right} FROM src")
+    pairs = got.mappings.select("target_column", "expression", "source_table").unionByName(got.columns.select(F.col("column_name").alias("target_column"), "expression", F.lit("src").alias("source_table")))
+    right_place = F.concat(F.lit("f("), F.replace("target_column", F.lit("t"), F.lit("s")), F.lit(", 'x,' )"))  # a space follows quoted text
+    r = pairs.agg(F.count("*"), F.count_if((F.col("expression") == right_place) & (F.col("source_table") == "src"))).collect()[0]
+    assert tuple(r) == (2 * n, 2 * n)
+
+
+def test_view_files(spark):
+    got = scripts(spark, a_vw="INSERT INTO t (x) SELECT a FROM b", b_vw="-- c\nSELECT k FROM \"m n\"", c_vw="CREATE TABLE u (z INT); SELECT 1 FROM d", d_vw=None, e_vw=";;")
+    assert names(got.views.filter("name IN ('a', 'b', 'c')"), "name", "sql") == [("a", "INSERT INTO t (x) SELECT a FROM b"), ("b", "-- c\nSELECT k FROM \"m n\"")]
+    assert names(got.mappings, "target_table", "target_column", "source_table") == [("t", "x", "b")]
+    assert names(got.columns.filter("role = 'source'"), "table_name", "column_name") == [("u", "z")]
+
+
+def test_replication_text_that_is_no_document(spark):
+    text = 'rule log\n<Rule TableName="T" Schema="S"> & <Col ColumnName="A" DataType="INT" IsPK="Y">\n<Step TargetColumn="A" Expression="TRIM(A)"> end'
+    got = artifacts.harvest_replication(spark.createDataFrame([("a.atl", text), ("b.atl", "no rules here"), ("c.atl", None)], "path string, content string"))
+    assert names(got.columns, "table_name", "schema_name", "column_name", "key_type") == [("T", "S", "A", "PRIMARY KEY")]
+    assert names(got.transforms, "name", "expression") == [("A", "TRIM(A)")]
+    cut = '{"x": [{"expression": "UPPER(B)", "note": 1, "target_column": "B"}, {"expression": "lost"}, {"expression" : "c + 1", "target_column":"C"}'
+    got = artifacts.harvest_replication(spark.createDataFrame([("a.atl", cut), ("b.atl", cut + "]}")], "path string, content string")).transforms
+    assert names(got, "source_file", "name", "expression") == [("a.atl", "B", "UPPER(B)"), ("a.atl", "C", "c + 1")]
+
+
+def test_listing_and_loads(spark):
+    rows = [("f", "s", "a", "t", "CUSTOMER_EMAIL", ""), ("f", "s", "a", "t", "K", "a"), ("f", "s", "a", "t", "H", "md5(a)"), ("f", "s", "a", "t", None, None)]
+    maps = spark.createDataFrame(rows, "source_file string, source_table string, source_column string, target_table string, target_column string, expression string")
+    assert sorted((r.expression, r.transformation_type, r.pii_flag) for r in mapping.sheet(maps).collect()) == [
+        ("DIRECT", "DIRECT", ""), ("DIRECT", "DIRECT", "PII"), ("a", "DIRECT", ""), ("md5(a)", "HASH", "")]
+    cells = [("m", "A", "FULL", "Y", "DIRECT"), ("m", "A", "FULL", "N", "HASH"), ("n", "B", "FULL", "N", "DIRECT"), ("o", "B", None, None, None)]
+    got = mapping.summarise_loads(spark.createDataFrame(cells, "mapping_name string, tool string, load_strategy string, is_pk string, transformation_type string"))
+    found = {(r.tool, r.load_strategy): tuple(r)[2:] for r in got.collect()}
+    assert found[(None, None)] == (3, 4, 1, 2, 2) and found[("A", None)] == (1, 2, 1, 1, 1) and found[(None, "FULL")] == (2, 3, 1, 2, 1)
+    assert found[("B", "")] == (1, 1, 0, 0, 1) and len(found) == 8
+
+
 def test_rules_at_any_level(spark):
     rules = '[{"tableName": "t", "columns": [{"columnName": "a"}, {"columnName": "b"}]}, {"tableName": "u", "columns": [{"columnName": "c"}]}]'
     deep = '{"k": ' * 12 + '{"note": "x \\"tables\\": [", "tableRules": ' + rules + ', "z": [1]}' + "}" * 12

@@ -55,6 +55,20 @@ def test_objects_and_scores(files):
     assert scan.unique_recommendations(advice).count() == advice.select(F.left("recommendation", F.lit(60))).distinct().count()
 
 
+def test_recommendations_in_one_pass(spark, files):
+    more = files.unionByName(spark.createDataFrame([("f/none.sql", None), ("g/many.sql", "EXEC b\nEXEC a\nEXEC a\nEXEC b\nEXEC c\nEXEC d\nEXEC d\nEXEC e\nEXEC e")], files.schema))
+    scanned = scan.scan(more, frequent=3)
+    plain = scan.recommendations(scan.scan(more), scan.frequent_objects(scan.objects(more)))
+
+    def rows(df):
+        return sorted(tuple(r) for r in df.collect())
+    assert rows(scan.recommendations(scanned)) == rows(plain)
+    assert ("g/many.sql", "Start with the frequent stored_procedures: EXEC a, EXEC b, EXEC d") in rows(plain)
+    assert rows(scanned.select("path", "total_objects", "complexity_score")) == rows(scan.scan(more).select("path", "total_objects", "complexity_score"))
+    plan = scan.recommendations(scanned)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+
+
 def test_level_bounds(spark):
     counts = [{"object_type": "jcl", "objects": n} for n in (22, 23, 38, 39)]
     df = spark.createDataFrame([(i, [c], ["batch"], ["unknown"]) for i, c in enumerate(counts)],
