@@ -256,6 +256,27 @@ def test_scores(spark):
     assert scoring.set_score(theirs.views, theirs.views, ["name"], "d").collect()[0].jaccard == 1.0
 
 
+def test_dimensions_of_shared_aggregates(spark):
+    def side(columns, maps, views):
+        return scoring.Metadata(
+            spark.createDataFrame(columns, "table_name string, column_name string"),
+            spark.createDataFrame(maps, "source_table string, source_column string, target_table string, target_column string, expression string"),
+            spark.createDataFrame(views, "name string"))
+
+    full = side([("a", "x"), ("a ", "y"), ("b", "z"), ("", "n"), (None, None)],
+                [("a", "x", "t", "k", ""), (" A", "y", "t", "l", "f(y)"), ("", "q", "t", "m", None), ("b", "z", "u", "k", "z"), (None, "w", "u", "k", "")], [("v",), ("w",)])
+    part = side([("A", "X"), ("c", "z")], [("A", "X", "T", "K", "x"), ("a", "x", "u", "k", "")], [("V",)])
+    none = side([], [], [])
+    hops = ["source_table", "target_table"]
+    for ours, theirs in ((full, part), (part, full), (full, none), (none, full), (none, none)):
+        apart = [scoring.set_score(ours.columns.select("table_name"), theirs.columns.select("table_name"), ["table_name"], "Table Coverage"),
+                 scoring.column_coverage(ours.columns, theirs.columns), scoring.mapping_accuracy(ours.mappings, theirs.mappings),
+                 scoring.set_score(ours.views, theirs.views, ["name"], "View Detection"),
+                 scoring.set_score(ours.mappings.select(hops), theirs.mappings.select(hops), hops, "Lineage Depth")]
+        want = {r.dimension: r.f1 for df in apart for r in df.select("dimension", "f1").collect()}
+        assert {r.dimension: r.f1 for r in scoring.scores(ours, theirs).collect()} == want
+
+
 def test_metadata_round_trip(spark, catalog, tmp_path):
     history.write_metadata({"columns": catalog}, str(tmp_path))
     schema = ", ".join(f"{k} {v}" for k, v in artifacts.COLUMN_FIELDS.items())
