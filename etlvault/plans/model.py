@@ -14,6 +14,7 @@ KEY_SUFFIXES = "_ID|_CODE|_KEY|_NUM|_NO"
 KEY_SUFFIXES_EXTENDED = "_ID|_KEY|_NO|_CODE|_NUM|_NBR"
 TECHNICAL = ["RECORD_SOURCE", "RSRC", "LDTS"]
 LOAD_DATE_COLUMN = "LOAD_DATE"
+SHARE = 1000  # about how many children of a stem meet its parents in one group
 
 
 def entity_name(table: Column) -> Column:
@@ -143,8 +144,8 @@ def build_satellites(catalog: DataFrame, keys: DataFrame, hash_algorithm: str =
     return first_by(named, ["sat_name"], ["tool", "source_table"])
 
 
-def _stems_and_names(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(child, stem) of the non-key ``…_ID`` columns, and (parent, stem) of the table names that hold a stem.
+def _stems_and_pieces(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(child, stem) of the non-key ``…_ID`` columns, and (parent, stem) of the substrings of table names.
 
     The substring test becomes an equi join: table names are cut into their distinct
     substrings of the lengths that stems have, which the stems then meet by hash.
@@ -158,18 +159,29 @@ def _stems_and_names(catalog: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.length("parent")
     names = columns.select(F.col("child").alias("parent")).distinct().select("parent", F.explode(lengths).alias("size")).filter(F.col("size") <= n)
     cuts = F.transform(F.sequence(F.lit(1), n - F.col("size") + 1), lambda i: F.substring(F.upper("parent"), i, F.col("size")))
-    pieces = names.select("parent", F.explode(F.array_distinct(cuts)).alias("stem"))
-    return stems, pieces.join(stems.select("stem").distinct(), "stem", "left_semi")
+    return stems, names.select("parent", F.explode(F.array_distinct(cuts)).alias("stem"))
 
 
 def relationships(catalog: DataFrame) -> DataFrame:
     """One-to-many pairs: a non-key ``…_ID`` column whose stem occurs in a table's name.
 
     A stem of many children and parents gives all their pairs; ``relationship_ends`` holds the same links in
-    rows that grow with the tables.
+    rows that grow with the tables. The pairs themselves are only streamed: a pair of several stems is kept at the
+    first of them, so none is shuffled, and the children of a stem are dealt in shares that each meet its parents.
     """
-    stems, pieces = _stems_and_names(catalog)
-    return stems.join(pieces, "stem").select("parent", "child").distinct()
+    stems, pieces = _stems_and_pieces(catalog)
+    # a child has no more stems than columns
+    shares = stems.groupBy("child").agg(F.sort_array(F.collect_list("stem")).alias("all")).select(
+        "child", F.posexplode("all").alias("at", "stem"), "all").select("child", "stem", F.slice("all", 1, F.col("at")).alias("__before"))
+    sizes = stems.groupBy("stem").agg(F.ceil(F.count("*") / SHARE).cast("int").alias("__shares"))
+    children = shares.join(sizes, "stem").select("stem", F.pmod(F.xxhash64("child"), "__shares").cast("int").alias("__share"), "child", "__before")
+    parents = pieces.join(sizes, "stem").select("stem", F.explode(F.sequence(F.lit(0), F.col("__shares") - 1)).alias("__share"), "parent")
+    spark = catalog.sparkSession
+    # the sides are small and their pairs many, so the planner's sizes would leave the join to a few tasks
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    pairs = children.repartition(parts, "stem", "__share").join(parents.repartition(parts, "stem", "__share"), ["stem", "__share"])
+    earlier = F.exists("__before", lambda s: F.upper("parent").contains(s))
+    return pairs.filter((F.size("__before") == 0) | ~earlier).select("parent", "child")
 
 
 def relationship_ends(catalog: DataFrame) -> DataFrame:
@@ -178,7 +190,8 @@ def relationship_ends(catalog: DataFrame) -> DataFrame:
     Each child of a stem relates to each of its parents; ``n_linked`` counts the tables at the other end. Only
     counts per stem are joined, so a stem that all tables share costs one row per table and end.
     """
-    stems, pieces = _stems_and_names(catalog)
+    stems, pieces = _stems_and_pieces(catalog)
+    pieces = pieces.join(stems.select("stem").distinct(), "stem", "left_semi")
     ends = (stems.select("stem", F.lit("child").alias("role"), F.col("child").alias("table_name"))
             .unionByName(pieces.select("stem", F.lit("parent").alias("role"), F.col("parent").alias("table_name"))))
     is_child = F.col("role") == "child"

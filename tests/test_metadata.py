@@ -402,3 +402,17 @@ def test_data_sources_by_words(spark):
     files = spark.createDataFrame([("a.vql", "CREATE OR REPLACE JDBC DATASOURCE one x;CREATE DATA SOURCE two y; CREATE WRAPPER JDBC w DATASOURCENAME=one; CREATE SOURCE three;")],
                                   "path string, content string")
     assert sorted(r.data_source for r in artifacts.data_sources(files).collect()) == ["one", "two"]
+
+
+def test_relationships_of_shared_stems_are_not_shuffled(spark, rows, monkeypatch):
+    monkeypatch.setattr(model, "SHARE", 3, raising=False)  # several groups per stem
+    tables = [f"SRC_RING_T{i:03d}" for i in range(10)]
+    entries = [("x", "f", "", 0, t, "s", "source", j, c, "INTEGER", "", True, "NOT A KEY", "")
+               for t in tables for j, c in enumerate(["RING_ID", "SRC_RING_ID", "T003_ID"])]
+    catalog = spark.createDataFrame(entries, "tool string, source_file string, job string, position int, table_name string, schema_name string, "
+                                             "role string, ordinal int, column_name string, data_type string, length string, nullable boolean, "
+                                             "key_type string, expression string")
+    pairs = model.relationships(catalog)
+    assert rows(pairs, "parent", "child") == sorted(((p, c) for p in tables for c in tables), key=str)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join") < plan.index("Aggregate")  # pairs leave the join as they are
