@@ -10,6 +10,7 @@ from etlvault.session import cut_lineage
 from etlvault.workload.tables import table, wide
 
 NUMERIC, CATEGORICAL = ["value", "hour", "day_of_week", "k", "user_id"], ["event_type", "user_bucket"]
+TASK_ROWS = 200_000
 
 
 def email_domains(spark, sf_dir):
@@ -62,7 +63,8 @@ def evaluate(spark, sf_dir):
 
 
 def event_frame(spark, sf_dir) -> DataFrame:
-    e = wide(spark, sf_dir, "events")
+    # the fitted stages hold whole parts of the frame, whose size must not grow with the table
+    e = wide(spark, sf_dir, "events", task_rows=TASK_ROWS)
     raw = e.select("event_id", "user_id", "event_type", "value", features.hour("ts").alias("hour"), features.day_of_week("ts").alias("day_of_week"),
                    features.coerce_number(F.get_json_object("props", "$.k")).alias("k"), F.col("user_id").cast("string").alias("user_bucket"))
     return features.bucket_top_k(features.fill_median(raw, NUMERIC), "user_bucket")

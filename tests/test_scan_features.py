@@ -1,9 +1,11 @@
 """Signature scan, feature helpers, evaluation and anomaly jobs."""
 
+import math
 import re
 from types import SimpleNamespace
 
 import pytest
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import functions as F
 
 from etlvault.operators import anomaly, features, scan
@@ -155,3 +157,11 @@ def test_scratch_folder_follows_the_setting():
     assert scratch_path(session(None, "/given", "yarn"), "x").startswith("/given/x-")
     with pytest.raises(RuntimeError):
         scratch_path(session(None, None, "yarn"), "x")
+
+
+def test_parts_of_the_event_frame_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from etlvault.workload import feature_queries
+
+    monkeypatch.setattr(feature_queries, "TASK_ROWS", 50, raising=False)
+    sizes = feature_queries.event_frame(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in sizes) <= 100
