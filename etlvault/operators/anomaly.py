@@ -57,9 +57,9 @@ def tree_samples(df: DataFrame, row_id: str, trees: int = TREES, rows: int = SAM
     repeated only for the trees that drew it.
     """
     share = min(1.0, rows / max(df.count(), 1))
-    key = col(row_id).cast("string")
-    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: _uniform(F.lit(seed), key, t) < share)
-    return df.withColumn("tree", F.explode(drawn))
+    # the test after the generator is compiled, which a lambda over the trees' numbers is not
+    offered = df.withColumn("__key", col(row_id).cast("string")).withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
+    return offered.filter(_uniform(F.lit(seed), F.col("__key"), F.col("tree")) < share).drop("__key")
 
 
 def _grow(seed: int):
@@ -110,28 +110,31 @@ def isolation_score(spark: SparkSession, forest: DataFrame):
     trees = sorted(nodes["tree"].unique())
     depth_limit = int(np.log2(nodes["node"].max() + 1)) if len(nodes) else 0
     width = 2 ** (depth_limit + 1)
-    feature = np.full((len(trees), width), -1)
-    split, size = np.zeros((len(trees), width)), np.ones((len(trees), width))
+    # a leaf leads to itself, as no value reaches its split
+    feature, left = np.zeros((len(trees), width), dtype=np.intp), np.tile(np.arange(width), (len(trees), 1))
+    split, size, length = np.full((len(trees), width), np.inf), np.ones((len(trees), width)), np.zeros((len(trees), width))
     for i, t in enumerate(trees):
         part = nodes[nodes["tree"] == t]
-        feature[i, part["node"]], split[i, part["node"]], size[i, part["node"]] = part["feature"], part["split"], part["size"]
-    shared = spark.sparkContext.broadcast((feature, split, _expected_path(size)))
+        at, inner = part["node"].to_numpy(), part["feature"].to_numpy() >= 0
+        size[i, at] = part["size"]
+        feature[i, at[inner]], split[i, at[inner]] = part["feature"][inner], part["split"][inner]
+        left[i, at[inner]] = 2 * at[inner] + 1
+        length[i, at] = np.floor(np.log2(at + 1)) + _expected_path(size[i, at])
+    shared = spark.sparkContext.broadcast((feature, left, split, length))
     normal = max(float(_expected_path(size[:, 0]).sum()), 1e-9)
 
     @F.pandas_udf("double")
     def score(values: pd.Series) -> pd.Series:
-        feature, split, rest = shared.value
+        feature, left, split, length = shared.value
         x = np.stack(values.to_list())
-        every, total = np.arange(len(x)), np.zeros(len(x))
+        if np.isnan(x).any() or np.isposinf(x).any():  # these pass no split, or the one of a leaf
+            x = np.nan_to_num(x, nan=-np.inf, posinf=np.finfo(float).max)
+        flat, first, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
         for t in range(len(feature)):
-            node, depth = np.zeros(len(x), dtype=int), np.zeros(len(x))
+            node = np.zeros(len(x), dtype=np.intp)
             for _ in range(depth_limit):
-                f = feature[t, node]
-                inner = f >= 0
-                right = x[every, np.maximum(f, 0)] >= split[t, node]
-                node = np.where(inner, 2 * node + 1 + right, node)
-                depth += inner
-            total += depth + rest[t, node]
+                node = left[t].take(node) + (flat.take(first + feature[t].take(node)) >= split[t].take(node))
+            total += length[t].take(node)
         return pd.Series(2.0 ** (-total / normal))
 
     return score

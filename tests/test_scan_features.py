@@ -165,3 +165,24 @@ def test_parts_of_the_event_frame_hold_a_bounded_number_of_rows(spark, monkeypat
     monkeypatch.setattr(feature_queries, "TASK_ROWS", 50, raising=False)
     sizes = feature_queries.event_frame(spark, "/root/testdata/sf0.001").groupBy(F.spark_partition_id()).count().collect()
     assert max(r["count"] for r in sizes) <= 100
+
+
+def test_trees_draw_rows_in_compiled_code_and_score_by_path_length(spark):
+    rows = spark.range(400).select("id", F.array((F.col("id") % 37).cast("double"), F.when(F.col("id") == 7, F.lit(float("nan"))).otherwise(
+        F.sin(F.col("id").cast("double")))).alias("a")).select("id", array_to_vector("a").alias("features"))
+    drawn = anomaly.tree_samples(rows, "id", trees=5, rows=50, seed=3)
+    assert "lambdafunction" not in drawn._jdf.queryExecution().optimizedPlan().toString()
+    spelled = {(r["id"], t) for r in rows.select("id", *[(anomaly._uniform(F.lit(3), F.col("id").cast("string"), F.lit(t)) < 50 / 400).alias(f"t{t}") for t in range(5)]).collect()
+               for t in range(5) if r[f"t{t}"]}
+    assert {(r["id"], r["tree"]) for r in drawn.collect()} == spelled
+
+    nodes = [(0, 0, 0, 10.0, 50), (0, 1, -1, 0.0, 2), (0, 2, 1, 0.5, 48), (0, 5, -1, 0.0, 40), (0, 6, -1, 0.0, 8), (1, 0, -1, 0.0, 1)]
+    forest = spark.createDataFrame(nodes, "tree int, node int, feature int, split double, size int")
+    normal = float(anomaly._expected_path([50, 1]).sum())
+    got = {r["id"]: r["s"] for r in rows.withColumn("s", anomaly.isolation_score(spark, forest)(vector_to_array("features"))).collect()}
+    for i, s in got.items():
+        if i % 37 < 10:
+            depth, size = 1, 2
+        else:
+            depth, size = 2, 8 if math.sin(i) >= 0.5 else 40
+        assert math.isclose(s, 2.0 ** (-(depth + float(anomaly._expected_path([size])[0])) / normal), rel_tol=1e-12)
