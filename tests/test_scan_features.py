@@ -186,3 +186,15 @@ def test_trees_draw_rows_in_compiled_code_and_score_by_path_length(spark):
         else:
             depth, size = 2, 8 if math.sin(i) >= 0.5 else 40
         assert math.isclose(s, 2.0 ** (-(depth + float(anomaly._expected_path([size])[0])) / normal), rel_tol=1e-12)
+
+
+@pytest.mark.parametrize("pattern,want", [(r"\[dbo\]\.", ["[DBO]."]), (r"V\$\w+", ["V$"]), (scan.TABLE_REFERENCE, ["FROM", "JOIN", "INTO", "UPDATE", "TABLE"]),
+                                          (scan.CALL_REFERENCE, ["EXEC", "CALL"]), (r"(?:a|b)?c", []), (r"x|y", [])])
+def test_escaped_marks_and_alternatives_are_searched_before_the_pattern_runs(pattern, want):
+    assert scan.needles(pattern) == want
+
+
+def test_objects_keep_letters_of_all_scripts(spark):
+    files = spark.createDataFrame([("a.txt", "call été\nUPDATE Éan")], "path string, content string")
+    assert {(r["object_type"], r["name"]) for r in scan.objects(files).collect()} == {
+        ("stored_procedure", "call été"), ("table", "Éan")}
