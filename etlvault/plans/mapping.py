@@ -91,8 +91,8 @@ def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, t
     t = target.select(F.col("table_name").alias("target_table"), F.col("column_name").alias("target_column"),
                       F.col("data_type").alias("target_data_type"))
     columns = catalog.filter("role = 'source'")
+    used = mappings.select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name")).distinct()
     if not list_all_sources:
-        used = mappings.select(F.col("source_table").alias("table_name"), F.col("source_column").alias("column_name")).distinct()
         columns = columns.join(used, ["table_name", "column_name"], "left_anti")
 
     blank = F.lit("")
@@ -110,14 +110,21 @@ def build_sttm(catalog: DataFrame, mappings: DataFrame, transforms: DataFrame, t
         rows = with_running_number(rows, ["__section", *order[:3], "__ordinal", *key], "__n")
     rows = rows.withColumn("mapping_id", F.format_string("MAP_%04d", "__n") if numbered else F.lit(None).cast("string"))
 
-    # every lookup side is unique on its key, so the joins keep the mapping rows one to one
+    # every lookup side is unique on its key, so the joins keep the mapping rows one to one; what depends on the source
+    # column alone is looked up once per column, so that the mapping rows are moved for two joins instead of four
+    read_columns = used.select(F.col("table_name").alias("source_table"), F.col("column_name").alias("source_column"))
+    lookups = (
+        read_columns.join(s, ["source_table", "source_column"], "left")
+        .join(schemas.select(F.col("table_name").alias("source_table"), F.col("schema_name").alias("source_schema")), ["source_table"], "left")
+        .withColumn("field", F.upper("source_column"))
+        .join(rules.select("field", F.col("expression").alias("rule")), ["field"], "left").drop("field")
+        .withColumnsRenamed({"source_table": "__table", "source_column": "__column"})
+    )
+    same_column = F.col("source_table").eqNullSafe(F.col("__table")) & F.col("source_column").eqNullSafe(F.col("__column"))
     found = (
         rows.filter("__section = 1").drop(*attributes)
-        .join(s, ["source_table", "source_column"], "left")
-        .join(schemas.select(F.col("table_name").alias("source_table"), F.col("schema_name").alias("source_schema")), ["source_table"], "left")
+        .join(lookups, same_column, "left").drop("__table", "__column")
         .join(t, ["target_table", "target_column"], "left")
-        .withColumn("field", F.upper("source_column"))
-        .join(rules.select("field", F.col("expression").alias("rule")), ["field"], "left")
         .withColumn("expression", F.coalesce(F.nullif("expression", blank), "rule", blank))
         .withColumns({"target_database": F.lit(target_database), "target_schema": F.lit(target_schema), "notes": blank,
                       "transformation_type": expression_class(F.col("expression"))})

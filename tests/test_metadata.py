@@ -416,3 +416,18 @@ def test_relationships_of_shared_stems_are_not_shuffled(spark, rows, monkeypatch
     assert rows(pairs, "parent", "child") == sorted(((p, c) for p in tables for c in tables), key=str)
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Join") < plan.index("Aggregate")  # pairs leave the join as they are
+
+
+def test_mapping_rows_are_joined_once_per_side(spark):
+    kinds = ", ".join(f"{k} {v}" for k, v in artifacts.COLUMN_FIELDS.items())
+    catalog = spark.createDataFrame([], kinds)
+    m = spark.createDataFrame([("job_export", "f", "", 1, None, "first_name", "T", "A", "")], ", ".join(f"{k} {v}" for k, v in artifacts.MAPPING_FIELDS.items()))
+    t = spark.createDataFrame([("job_export", "f", "", 0, "E", "expression", "first_name", "TRIM(FIRST_NAME)", "")],
+                              ", ".join(f"{k} {v}" for k, v in artifacts.TRANSFORM_FIELDS.items()))
+    built = mapping.build_sttm(catalog, m, t, "DB", "S", numbered=False)
+    assert [(r["source_table"], r["source_column"], r["expression"]) for r in built.collect()] == [(None, "first_name", "TRIM(FIRST_NAME)")]
+    node, joins = built._jdf.queryExecution().analyzed(), 0
+    while node.nodeName() != "Aggregate":  # down the side of the mapping rows
+        joins += node.nodeName() == "Join"
+        node = node.children().apply(0)
+    assert joins == 2
