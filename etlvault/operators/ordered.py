@@ -21,12 +21,30 @@ def order_cuts(df: DataFrame, order: str, buckets: int = EQUAL_RUNS) -> list[str
     One aggregate over that column alone; its summaries are of bounded size and at most
     ``buckets - 1`` values come back. Repeated values give one cut.
     """
+    return df.agg(_cuts(df, order, buckets).alias("c")).head()["c"] or []
+
+
+def _cuts(df: DataFrame, order: str, buckets: int) -> Column:
     buckets = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     if buckets < 2:
-        return []
+        return F.lit(None)
     shares = [i / buckets for i in range(1, buckets)]
     found = F.array_sort(F.array_distinct(F.percentile_approx(col(order), shares, 10 * buckets)))
-    return df.agg(F.transform(found, lambda v: v.cast("string")).alias("c")).head()["c"] or []
+    return F.transform(found, lambda v: v.cast("string"))
+
+
+def few_or_cuts(df: DataFrame, order: str, most: int, buckets: int = EQUAL_RUNS) -> tuple[list[str], list[str]]:
+    """All values of ``order``, as text and in order, if there are at most ``most`` and none is NULL, or else no values but the cuts.
+
+    The aggregate that finds the cuts also estimates the number of values; the values are made distinct only if it is small.
+    """
+    count = F.approx_count_distinct(col(order)).alias("n")
+    found = df.agg(count, _cuts(df, order, buckets).alias("c")).head()
+    if found["n"] <= 2 * most:
+        values = [r[0] for r in df.select(col(order).cast("string")).distinct().limit(most + 1).collect()]
+        if len(values) <= most and None not in values:
+            return sorted(values), []
+    return [], found["c"] or []
 
 
 def leading(size: int, holds: Callable[[Column], Column]) -> Column:
@@ -48,13 +66,13 @@ def order_bucket(value: Column, cuts: Sequence[str], kind: str) -> Column:
 
 
 def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, name: str, following: bool = False,
-                   bucket: str | int | None = EQUAL_RUNS, sample: DataFrame | None = None) -> DataFrame:
+                   bucket: str | int | None = EQUAL_RUNS, sample: DataFrame | None = None, cuts: Sequence[str] | None = None) -> DataFrame:
     """Add ``name``: the ``value`` of the previous (or following) row of the same key.
 
     A hot key would put all its rows into one window task, so the window runs per key and
     bucket of ``order``. A number of buckets, by default that of the shuffle partitions, cuts
     all rows into runs of equal size, so that a key holds no more than one run's rows, a fair
-    share, in a bucket, however dense it is in time; the cuts are taken from ``sample``, a cheaper frame with the same column, where given.
+    share, in a bucket, however dense it is in time; the cuts are taken from ``sample``, a cheaper frame with the same column, where given, or handed over as ``cuts``.
     The name of a time unit takes calendar buckets instead. The last (first) row of each
     bucket is carried to the next (previous) bucket of the key, which leaves one row per key
     and bucket to order. ``order`` must be unique per key and ``value`` not NULL.
@@ -66,7 +84,8 @@ def with_neighbour(df: DataFrame, keys: Sequence[str], order: str, value: str, n
             Window.partitionBy(*cols(keys)).orderBy(col(order))))
 
     if isinstance(bucket, int):
-        cuts = order_cuts(df if sample is None else sample, order, bucket)
+        if cuts is None:
+            cuts = order_cuts(df if sample is None else sample, order, bucket)
         spot = order_bucket(col(order), cuts, dict(df.dtypes)[order])
     else:
         spot = F.date_trunc(bucket, col(order))

@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from etlvault.functions.columns import col, cols
 from etlvault.functions.hashing import hash_diff, hash_key
-from etlvault.operators.ordered import EQUAL_RUNS, first_by, leading, with_neighbour
+from etlvault.operators.ordered import EQUAL_RUNS, few_or_cuts, first_by, leading, with_neighbour
 
 LOAD_DATE, RECORD_SOURCE, END_DATE = "LOAD_DATE", "RECORD_SOURCE", "LOAD_END_DATE"
 
@@ -24,6 +24,8 @@ BEGIN_OF_TIME = "1970-01-01 00:00:00"
 END_OF_TIME = "8888-12-31 23:59:59"
 GHOST_SOURCE = "SYSTEM"
 HASH_WIDTH = {"md5": 32, "sha256": 64}
+# Load dates up to which a satellite load keeps the versions of a key in one row, a column per date.
+FEW_DATES = 4
 
 
 def technical_columns(df: DataFrame, load_date: Column | str, record_source: str) -> DataFrame:
@@ -114,13 +116,17 @@ def load_satellite(staged: DataFrame, hub_key: str, diff: str, payload: Sequence
     The row before may be in the batch or in the stored satellite, and older load dates
     arriving late are placed among the stored rows. Rows with the key and load date of a
     stored row are already loaded. Of several batch rows with one key and load date the
-    one with the smallest record source and hash difference counts.
+    one with the smallest record source and hash difference counts. ``dates`` may name a frame
+    that has the load dates of batch and stored rows, all of them, and is cheaper to read.
     """
     identity = [hub_key, LOAD_DATE]
     names = [*identity, RECORD_SOURCE, diff, *payload]
     rows = staged.filter(col(hub_key).isNotNull()).select(*cols(names), F.lit(1).alias("__new"))
     if dates is None:
         dates = staged.select(LOAD_DATE) if stored is None else staged.select(LOAD_DATE).unionByName(stored.select(LOAD_DATE))
+    few, cuts = few_or_cuts(dates, LOAD_DATE, FEW_DATES, bucket) if isinstance(bucket, int) else ([], None)
+    if few:
+        return _load_by_date(rows.drop("__new"), hub_key, diff, stored, few)
     if stored is not None:
         # only the keys of the batch matter, and of them only key, date and hash difference
         touched = rows.select(col(hub_key)).distinct()
@@ -129,11 +135,42 @@ def load_satellite(staged: DataFrame, hub_key: str, diff: str, payload: Sequence
             *cols([*identity, RECORD_SOURCE, diff]), *blank, F.lit(0).alias("__new"))
         rows = rows.unionByName(known)
     rows = first_by(rows, identity, ["__new", RECORD_SOURCE, diff])
-    rows = with_neighbour(rows, [hub_key], LOAD_DATE, diff, "__before", bucket=bucket, sample=dates)
+    rows = with_neighbour(rows, [hub_key], LOAD_DATE, diff, "__before", bucket=bucket, sample=dates, cuts=cuts)
     changed = F.col("__before").isNull() | (F.col("__before") != col(diff))
     return rows.filter((F.col("__new") == 1) & changed).select(*cols(names))
 
 
+def _load_by_date(rows: DataFrame, hub_key: str, diff: str, stored: DataFrame | None, dates: Sequence[str]) -> DataFrame:
+    """The satellite load for rows of few load dates, named in order: the versions of a key are one row.
+
+    A key's row holds the first record of each date, so rows are moved once, by key and after map-side
+    partials, and neither sorted by date nor joined back to find the version before. Stored rows give hash differences only.
+    """
+    when = col(LOAD_DATE)
+    days = [F.lit(d).cast(rows.schema[LOAD_DATE].dataType) for d in dates]
+    rest = [c for c in rows.columns if c not in (hub_key, LOAD_DATE)]
+    lead = [RECORD_SOURCE, diff, *[c for c in rest if c not in (RECORD_SOURCE, diff)]]
+
+    def per_key(df: DataFrame, columns: Sequence[str], mark: str) -> DataFrame:
+        return df.groupBy(col(hub_key)).agg(*[
+            F.min(F.when(when == day, F.struct(*cols(columns)))).alias(f"__{mark}{i}") for i, day in enumerate(days)])
+
+    found = per_key(rows, lead, "new")
+    if stored is not None:
+        # only the keys of the batch matter
+        touched = rows.select(col(hub_key)).distinct()
+        known = stored.select(*cols([hub_key, LOAD_DATE, RECORD_SOURCE, diff])).join(touched, [hub_key], "left_semi")
+        found = found.join(per_key(known, [RECORD_SOURCE, diff], "old"), [hub_key], "left")
+    made, before = [], []
+    for i, day in enumerate(days):
+        new, old = F.col(f"__new{i}"), F.col(f"__old{i}") if stored is not None else F.lit(None)
+        last = F.coalesce(F.lit(None), *reversed(before))
+        changed = new.isNotNull() & old.isNull() & (last.isNull() | (last != new.getField(diff)))
+        made.append(F.when(changed, F.struct(day.alias(LOAD_DATE), *[new.getField(c).alias(c) for c in lead])))
+        before += [new.getField(diff)] if stored is None else [F.coalesce(old.getField(diff), new.getField(diff))]
+    return found.select(col(hub_key), F.inline(F.array_compact(F.array(*made)))).select(*cols(rows.columns))
+
+
 def end_dated(satellite: DataFrame, hub_key: str, bucket: str | int | None = EQUAL_RUNS, dates: DataFrame | None = None) -> DataFrame:
     """Add LOAD_END_DATE: the load date of the next version, or the end of all times.
 

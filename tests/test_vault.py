@@ -208,3 +208,21 @@ def test_a_batch_reads_only_the_partitions_of_its_keys(spark, rows, tmp_path):
     assert folder.read("sat").count() == 301
     folder.load(stage([], "2024-01-03"), 2)
     assert folder.read("hub").count() == 301
+
+
+def test_satellite_of_few_dates_moves_rows_once_and_equals_the_window(spark, rows):
+    """Repeated, late, stored and equal versions over three dates, on the way by date and on the plain window."""
+    days = ["2024-01-01", "2024-01-02", "2024-01-03"]
+    data = [(k, v, None if (k + i) % 5 == 0 else "c", days[i]) for k in range(60) for i in range(3) for v in ("ab"[(k >> i) & 1], "cd"[k & 1])[:1 + (k % 4 == 0)]
+            if (k * 7 + i) % 6]
+    staged = frame(spark, [*data, (None, "n", "n", days[0])])
+    stored = vault.load_satellite(staged.filter("day(LOAD_DATE) = 2 AND id % 3 > 0"), "HK", "HD", ["name", "city"])
+    for known in (None, stored):
+        ours = vault.load_satellite(staged, "HK", "HD", ["name", "city"], known)
+        assert rows(ours) == rows(sat(staged, known, bucket=None)) and ours.columns == sat(staged, known, bucket=None).columns
+        plan = ours._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan
+    many = frame(spark, [(1, str(i), None, f"2024-01-{i:02d}") for i in range(1, 9)])
+    assert "Window" in vault.load_satellite(many, "HK", "HD", ["name"])._jdf.queryExecution().optimizedPlan().toString()
+    lost = frame(spark, [(1, "a", None, None), (1, "b", None, days[0])])
+    assert vault.load_satellite(lost, "HK", "HD", ["name"]).count() == 2
