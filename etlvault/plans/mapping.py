@@ -185,16 +185,20 @@ def sheet(mappings: DataFrame) -> DataFrame:
                            F.when(personal_name, "PII").otherwise("").alias("pii_flag"))
 
 
-def summarise_loads(columns: DataFrame) -> DataFrame:
+def summarise_loads(columns: DataFrame, parts: int | None = None) -> DataFrame:
     """Mappings and their columns per tool and load strategy, per tool, per strategy and in all; NULL stands for all.
 
     Takes mappings as one row per column: ``mapping_name``, ``tool``, ``load_strategy``, ``is_pk``,
     ``transformation_type``. A mapping is one row before the totals are made; tools and strategies that are NULL count as ''.
+    ``parts`` deals the rows by mapping before they are grouped, for mappings of few columns each, where map-side partials hold about all rows
+    of a task: a task then keeps the mappings of one part and no more.
     """
-    direct = F.col("transformation_type") == "DIRECT"
     known = {c: F.coalesce(c, F.lit("")) for c in ("tool", "load_strategy")}
-    per = columns.withColumns(known).groupBy("mapping_name", *known).agg(
-        F.count("*").alias("c"), F.count_if(F.col("is_pk") == "Y").alias("k"), F.count_if(direct).alias("d"))
+    rows = columns.select("mapping_name", *[v.alias(c) for c, v in known.items()], (F.col("is_pk") == "Y").alias("pk"),
+                          (F.col("transformation_type") == "DIRECT").alias("direct"))
+    if parts:
+        rows = rows.repartition(parts, "mapping_name", *known)
+    per = rows.groupBy("mapping_name", *known).agg(F.count("*").alias("c"), F.count_if("pk").alias("k"), F.count_if("direct").alias("d"))
     return per.cube(*known).agg(F.count("*").alias("mappings"), F.sum("c").alias("columns"), F.sum("k").alias("pk_columns"),
                                 F.sum("d").alias("direct"), (F.sum("c") - F.sum("d")).alias("transformed"))
 

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from etlvault.operators import quality
 from etlvault.plans import mapping, model, rules
-from etlvault.session import cut_lineage
+from etlvault.session import cut_lineage, task_parts
 from etlvault.sources import artifacts
 from etlvault.workload import derived
 from etlvault.workload.tables import table
 
 CATALOG_COLUMNS = ["table_name", "ordinal", "column_name", "data_type", "nullable", "key_type"]
 LOAD_DATE = "2024-01-01 00:00:00"
+LOAD_ROWS = 500_000  # mapping rows that a task groups at once
 
 
 def _lines(catalog: DataFrame, text, separator: str) -> DataFrame:
@@ -153,9 +154,10 @@ def sttm_loads(spark, sf_dir):
     found = derived.mappings(spark, sf_dir).join(
         key.groupBy("source_table", "source_column").agg(F.max(F.when(F.col("key_type") == "PRIMARY KEY", "Y").otherwise("N")).alias("is_pk")),
         ["source_table", "source_column"], "left")
+    parts = task_parts(table(spark, sf_dir, "lineitem"), LOAD_ROWS)  # a mapping row per line
     return mapping.summarise_loads(found.select(
         F.concat_ws(" ", "source_table", "target_table").alias("mapping_name"), "tool", F.when(even, "INCREMENTAL").otherwise("FULL").alias("load_strategy"),
-        "is_pk", mapping.expression_class(F.col("expression")).alias("transformation_type")))
+        "is_pk", mapping.expression_class(F.col("expression")).alias("transformation_type")), parts)
 
 
 def sttm_unmapped(spark, sf_dir):

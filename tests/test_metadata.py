@@ -352,6 +352,18 @@ def test_listing_and_loads(spark):
     assert found[("B", "")] == (1, 1, 0, 0, 1) and len(found) == 8
 
 
+def test_loads_are_dealt_into_parts_of_bounded_rows(spark):
+    """The rows are grouped once they are dealt by mapping, and parts grow with the rows."""
+    from etlvault.session import task_parts
+    rows = spark.range(4000).selectExpr("concat('m', id % 900) AS mapping_name", "if(id % 900 < 300, 'A', NULL) AS tool", "'FULL' AS load_strategy",
+                                        "if(id % 3 = 0, 'Y', 'N') AS is_pk", "if(id % 2 = 0, 'DIRECT', 'HASH') AS transformation_type")
+    dealt, plain = mapping.summarise_loads(rows, 13), mapping.summarise_loads(rows)
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, plain.collect())) and not dealt.isEmpty()
+    plan = dealt._jdf.queryExecution().sparkPlan().toString()
+    assert "Expand" in plan and "RepartitionByExpression" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert task_parts(rows, 100) == 40 and task_parts(rows, 4000) == spark.sparkContext.defaultParallelism
+
+
 def test_rules_at_any_level(spark):
     rules = '[{"tableName": "t", "columns": [{"columnName": "a"}, {"columnName": "b"}]}, {"tableName": "u", "columns": [{"columnName": "c"}]}]'
     deep = '{"k": ' * 12 + '{"note": "x \\"tables\\": [", "tableRules": ' + rules + ', "z": [1]}' + "}" * 12
