@@ -234,20 +234,20 @@ def harvest_mappings(files: DataFrame) -> Catalogs:
     kind = f"ARRAY<STRUCT<{_FOLDER_BODY}>>"
     folders = parsed.select("path", F.posexplode(_joined(nested, F.col("x.FOLDER"), plain, kind=kind)).alias("fp", "f"))
 
-    def tables(node: str, fields: str, role: str, kind: str) -> DataFrame:
+    def tables(node: str, fields: str, role: str, kind: str) -> Column:
         inner = F.flatten(F.transform("f.MAPPING", lambda m: F.coalesce(m[node], F.array().cast(kind))))
-        found = folders.select("path", "fp", F.posexplode(_joined(F.col(f"f.{node}"), inner, kind=kind)).alias("p", "t"))
-        cells = found.select(
-            "path", _place("fp", "p").alias("p"),
-            _first(F.col("t._NAME"), F.col("t._DBDNAME"), F.lit(f"UNKNOWN_{role.upper()}")).alias("table_name"),
-            _first(F.col("t._DBDNAME"), F.col("t._SCHEMANAME")).alias("schema_name"), F.posexplode(f"t.{fields}").alias("ordinal", "c"))
-        return _shape(cells, COLUMN_FIELDS, tool=tool, source_file=F.col("path"), position=F.col("p"), table_name=F.col("table_name"),
-                      schema_name=F.col("schema_name"), role=role, ordinal=F.col("ordinal"), column_name=F.coalesce("c._NAME", F.lit("")),
-                      data_type=F.coalesce("c._DATATYPE", F.lit("")), length=F.coalesce("c._LENGTH", F.lit("")),
-                      nullable=is_nullable(F.col("c._NULLABLE")), key_type=F.coalesce("c._KEYTYPE", F.lit("")))
-
-    columns = tables("SOURCE", "SOURCEFIELD", "source", f"ARRAY<{_SRC}>").unionByName(
-        tables("TARGET", "TARGETFIELD", "target", f"ARRAY<{_TGT}>"))
+        return F.transform(_joined(F.col(f"f.{node}"), inner, kind=kind), lambda t, i: F.struct(
+            F.lit(role).alias("role"), i.alias("p"), _first(t["_NAME"], t["_DBDNAME"], F.lit(f"UNKNOWN_{role.upper()}")).alias("table_name"),
+            _first(t["_DBDNAME"], t["_SCHEMANAME"]).alias("schema_name"), t[fields].alias("fields")))
+
+    # both roles come from one explode, so that a file is parsed once for its columns
+    found = folders.select("path", "fp", F.inline(F.concat(
+        tables("SOURCE", "SOURCEFIELD", "source", f"ARRAY<{_SRC}>"), tables("TARGET", "TARGETFIELD", "target", f"ARRAY<{_TGT}>"))))
+    cells = found.select("path", _place("fp", "p").alias("p"), "role", "table_name", "schema_name", F.posexplode("fields").alias("ordinal", "c"))
+    columns = _shape(cells, COLUMN_FIELDS, tool=tool, source_file=F.col("path"), position=F.col("p"), table_name=F.col("table_name"),
+                     schema_name=F.col("schema_name"), role=F.col("role"), ordinal=F.col("ordinal"), column_name=F.coalesce("c._NAME", F.lit("")),
+                     data_type=F.coalesce("c._DATATYPE", F.lit("")), length=F.coalesce("c._LENGTH", F.lit("")),
+                     nullable=is_nullable(F.col("c._NULLABLE")), key_type=F.coalesce("c._KEYTYPE", F.lit("")))
     maps = folders.select("path", "fp", F.posexplode("f.MAPPING").alias("mp", "m")).withColumn(
         "job", F.coalesce("m._NAME", F.lit("UNKNOWN_MAPPING")))
     at = F.shiftleft(F.col("fp").cast("bigint"), 16) + F.col("mp")

@@ -15,6 +15,7 @@ from etlvault.workload.tables import table
 CATALOG_COLUMNS = ["table_name", "ordinal", "column_name", "data_type", "nullable", "key_type"]
 LOAD_DATE = "2024-01-01 00:00:00"
 LOAD_ROWS = 500_000  # mapping rows that a task groups at once
+FILE_PARTS = 50_000  # rows of part whose files a task reads; sixteen rows make eight files
 
 
 def _lines(catalog: DataFrame, text, separator: str) -> DataFrame:
@@ -113,8 +114,9 @@ def harvest_all(spark, sf_dir):
     """All four kinds of files together, routed by extension and merged: columns per tool and role."""
     files = scripts(spark, sf_dir).unionByName(job_exports(spark, sf_dir)).unionByName(mapping_exports(spark, sf_dir)).unionByName(
         replication_tasks(spark, sf_dir))
-    # every harvester reads the folder of files, so it is made once
-    return artifacts.harvest(cut_lineage(files)).columns.groupBy("tool", "role").agg(
+    # every harvester reads the folder of files, so it is made once, with files of all kinds in each part
+    parts = task_parts(table(spark, sf_dir, "part"), FILE_PARTS)
+    return artifacts.harvest(cut_lineage(files.repartition(parts, "path"))).columns.groupBy("tool", "role").agg(
         F.count("*").alias("columns"), F.count_distinct("source_file").alias("files"))
 
 

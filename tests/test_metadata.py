@@ -372,6 +372,25 @@ def test_rules_at_any_level(spark):
     assert names(got, "source_file", "n", "k") == [("a.atl", 3, 2), ("b.atl", 6, 4)]
 
 
+def test_mapping_exports_are_parsed_once_for_sources_and_targets(spark):
+    field = '<{0}FIELD NAME="{1}" DATATYPE="int" NULLABLE="NOT NULL" KEYTYPE="PRIMARY KEY"/>'
+    text = ('<POWERMART><SOURCE NAME="A" DBDNAME="D">' + field.format("SOURCE", "x") + field.format("SOURCE", "y") + '</SOURCE><TARGET NAME="T">' + field.format("TARGET", "z")
+            + '</TARGET><MAPPING NAME="M"><SOURCE>' + field.format("SOURCE", "w") + "</SOURCE></MAPPING></POWERMART>")
+    found = artifacts.harvest_mappings(spark.createDataFrame([("m.xml", text), ("n.xml", "<POWERMART/>"), ("o.xml", "<broken")], "path string, content string")).columns
+    assert names(found, "role", "table_name", "position", "ordinal", "column_name") == [
+        ("source", "A", 0, 0, "x"), ("source", "A", 0, 1, "y"), ("source", "UNKNOWN_SOURCE", 1, 0, "w"), ("target", "T", 0, 0, "z")]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_xml") + found._jdf.queryExecution().optimizedPlan().toString().count("xmltostructs") <= 2
+
+
+def test_files_of_all_kinds_are_mixed_in_each_part(spark, monkeypatch):
+    from etlvault.workload import catalog_queries
+    sizes = []
+    monkeypatch.setattr(catalog_queries, "cut_lineage", lambda df: sizes.append(df) or df)
+    catalog_queries.harvest_all(spark, "/root/testdata/sf0.01")
+    kinds = sizes[0].groupBy(F.spark_partition_id().alias("part")).agg(F.count_distinct(artifacts.extension(F.col("path"))).alias("n")).collect()
+    assert len(kinds) == spark.sparkContext.defaultParallelism and {r.n for r in kinds} == {4}
+
+
 def test_jobs_and_columns_at_any_level(spark):
     text = ('<?xml version="1.0"?><DSExport><Project><Job Identifier="J1"><Stage Identifier="S" StageType="OracleSource"><Record><Column Identifier="A" SqlType="INT"/>'
             '<Group><Column Name="B &gt; 1"></Column></Group></Record></Stage><Link SourceStage="S" TargetStage="T"><Columns><Column Identifier="A"/></Columns></Link></Job>'
